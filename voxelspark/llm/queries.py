@@ -6,18 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import exact_dedup, ngram_join, repetition
 from .runtime import read
 
 
+def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(read(spark, sf_dir, "documents"), least_words=5, most_covered=20, most_longest=50)
+
+
+def op5_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.ngram_jaccard_join(read(spark, sf_dir, "documents"), width=4, percent=85)
     return joined.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_array_repetition": op3_suffix_array_repetition,
+    "op5_patricia_exact_dedup": op5_patricia_exact_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_suffix_array_repetition": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+        word AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+        gram AS (SELECT r, pos, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w || ' ' || lead(word, 4) OVER w AS g
+                 FROM word WINDOW w AS (PARTITION BY r ORDER BY pos)),
+        five AS (SELECT r, pos, g, count(*) OVER (PARTITION BY r, g) AS c FROM gram WHERE g IS NOT NULL),
+        again AS (SELECT r, pos, g FROM five WHERE c > 1),
+        inside AS (SELECT DISTINCT r, unnest(range(pos, pos + 5)) AS pos FROM again),
+        repeats AS (SELECT i.r, count(*) AS n_repeat_words, sum(length(w.word)) AS repeat_chars FROM inside i JOIN word w ON w.r = i.r AND w.pos = i.pos GROUP BY i.r),
+        -- two equal places of m words are m - 4 equal windows on one diagonal
+        pairs AS (SELECT x.r, x.pos, y.pos - x.pos AS gap FROM again x JOIN again y ON x.r = y.r AND x.g = y.g AND x.pos < y.pos),
+        runs AS (SELECT r, gap, pos - row_number() OVER (PARTITION BY r, gap ORDER BY pos) AS run FROM pairs),
+        lengths AS (SELECT r, max(n) + 4 AS longest_repeat FROM (SELECT r, count(*) AS n FROM runs GROUP BY r, gap, run) GROUP BY r),
+        lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+        dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        m AS (
+            SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(list_sum(list_transform(d.words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+                   length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(p.n_dup_lines, 0)::BIGINT AS n_dup_lines,
+                   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(repeat_chars, 0)::BIGINT AS repeat_chars,
+                   coalesce(longest_repeat, 0)::BIGINT AS longest_repeat
+            FROM docs d LEFT JOIN repeats x ON x.r = d.r LEFT JOIN lengths l ON l.r = d.r LEFT JOIN dup p ON p.r = d.r
+        )
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * repeat_chars <= 20 * word_chars AND longest_repeat <= 50 AS kept
+        FROM m""",
+    "op5_patricia_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
+        g AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY plain ORDER BY length(text) DESC, doc_id) AS keep_id,
+                     count(*) OVER (PARTITION BY plain) AS group_size, sha256(plain) AS text_sha256 FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+}
