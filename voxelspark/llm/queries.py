@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, repetition
+from . import exact_dedup, mixing, ngram_join, packing, repetition
 from .runtime import read
 
 
+def public_tokenizer(name: str) -> str:
+    """Path of a public tokenizer file that the box holds for all executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read(spark, sf_dir, "documents"), least_words=5, most_covered=20, most_longest=50)
 
@@ -18,15 +26,27 @@ def op5_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(read(spark, sf_dir, "documents"), cap=3)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "epochs", "part")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.ngram_jaccard_join(read(spark, sf_dir, "documents"), width=4, percent=85)
     return joined.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
     "op5_patricia_exact_dedup": op5_patricia_exact_dedup,
+    "op6_water_filling_mix": op6_water_filling_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op10_linear_grouping_packing": op10_linear_grouping_packing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -63,4 +83,18 @@ ORACLES: dict[str, str] = {
         g AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY plain ORDER BY length(text) DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY plain) AS group_size, sha256(plain) AS text_sha256 FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op6_water_filling_mix": rf"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+                          ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS draw FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+        o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, source) AS k FROM s),
+        l AS (SELECT k, 3 * source_size AS cap, w, ((SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
+                     / (sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM o),
+        t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, w * (SELECT arg_min(level, k) FROM l WHERE cap > level * w)) AS target FROM s),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+        p AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, round(e.target - e.epochs * e.source_size)::BIGINT AS rest,
+                     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+              FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, round(target, 6) AS target, epochs, greatest(0, least(size, rest - before))::BIGINT AS part,
+               (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p""",
 }
