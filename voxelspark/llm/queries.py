@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, repetition
+from . import exact_dedup, mixing, ngram_join, ordinal_quality, packing, repetition, sharding, toxicity
 from .runtime import read
 
 
@@ -18,10 +18,22 @@ def public_tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good.  Kept: grade 1 or better is likelier than not."""
+    ratings = read(spark, sf_dir, "labels").select("doc_id", F.expr("quality * (2 - toxic)").alias("grade"))
+    return ordinal_quality.ordinal_quality(read(spark, sf_dir, "documents"), ratings, grades=3, select_grade=1, least_tail=0.5)
+
+
 def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read(spark, sf_dir, "documents"), least_words=5, most_covered=20, most_longest=50)
 
 
+def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = sharding.even_tree(16)
+    rows = sharding.hash_tree_shards(read(spark, sf_dir, "documents"), tree, sharding.grown_tree(tree, 16))
+    return rows.withColumn("law", F.lit("key"))
+
+
 def op5_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -36,16 +48,23 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
+    "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_patricia_exact_dedup": op5_patricia_exact_dedup,
     "op6_water_filling_mix": op6_water_filling_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op10_linear_grouping_packing": op10_linear_grouping_packing,
 }
 
