@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, ordinal_quality, packing, repetition, sharding, toxicity
+from . import exact_dedup, html_blocks, mixing, ngram_join, ordinal_quality, packing, perspectives, repetition, sharding, toxicity
 from .runtime import read
 
 
@@ -24,6 +24,10 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.ordinal_quality(read(spark, sf_dir, "documents"), ratings, grades=3, select_grade=1, least_tail=0.5)
 
 
+def op2_html_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read(spark, sf_dir, "documents"), least_words=5, most_covered=20, most_longest=50)
 
@@ -52,6 +56,10 @@ def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate_perspectives(read(spark, sf_dir, "conversations"))
+
+
 def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
@@ -59,12 +67,14 @@ def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
+    "op2_html_block_tree": op2_html_block_tree,
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_patricia_exact_dedup": op5_patricia_exact_dedup,
     "op6_water_filling_mix": op6_water_filling_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
+    "op9_perspective_rotation": op9_perspective_rotation,
     "op10_linear_grouping_packing": op10_linear_grouping_packing,
 }
 
@@ -116,4 +126,19 @@ ORACLES: dict[str, str] = {
               FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, size, source_size, round(target, 6) AS target, epochs, greatest(0, least(size, rest - before))::BIGINT AS part,
                (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p""",
+    "op9_perspective_rotation": r"""
+        WITH t AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS k
+                   FROM conversations),
+        s AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+        v AS (SELECT t.conv_id, s.speaker, k, k // 256 AS run, coalesce(t.role = s.speaker, false) AS own, t.text,
+                     CASE WHEN t.role = 'system' THEN '<|system|>' WHEN t.role = s.speaker THEN '<|assistant|>'
+                          ELSE '<|user name=' || coalesce(t.role, 'unknown') || '|>' END || chr(10) AS head
+              FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+        p AS (SELECT *, length(head) + length(text) + 1 AS n,
+                     coalesce(sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, speaker, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS a FROM v),
+        r AS (SELECT conv_id, speaker, run::INTEGER AS run, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+                     string_agg(head || text || chr(10), '' ORDER BY k) AS text,
+                     coalesce(string_agg(a || '-' || (a + length(text)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask, sum(n) AS n FROM p GROUP BY ALL)
+        SELECT conv_id, speaker, run, n_turns, n_own, text, mask,
+               coalesce(sum(n) OVER (PARTITION BY conv_id, speaker ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r""",
 }

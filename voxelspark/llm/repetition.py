@@ -150,6 +150,24 @@ def _rows(least_words: int):
     return run
 
 
+def clean_documents(docs: DataFrame, text_col: str = "text", least_words: int = 5, most_covered: int = 20, most_longest: int = 50) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``repetition_rules`` keeps; nothing is shuffled.
+
+    The column names of ``docs`` must differ; nulls, repeated rows and empty tables as there."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, dtype=bool)]
+            for _, _, words in passes(batch.column(at)):
+                m = measures(words, least_words)
+                failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+                keep.append(~failed & (100 * m["repeat_chars"] <= most_covered * m["word_chars"]) & (m["longest_repeat"] <= most_longest))
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def repetition_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, most_covered: int = 20, most_longest: int = 50
 ) -> DataFrame:
