@@ -87,7 +87,7 @@ def is_power_of_two(c: Column) -> Column:
 
 def round_up_power_of_two(c: Column) -> Column:
     """The least power of two that is not below a positive value."""
-    return F.shiftleft(F.lit(1).cast("long"), (highest_bit(c - 1) + 1).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (highest_bit(c - 1) + 1).cast("int"))
 
 
 def group_count(count: Column, size: int) -> Column:
