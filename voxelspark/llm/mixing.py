@@ -109,11 +109,12 @@ def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", tex
     """The documents of a mix: a row for each repetition; a part holds the first words of the text, by single spaces.
 
     ``mix`` is what ``mix_sources`` gave for ``docs``, whose ids must not repeat and not be null.  Keeps all columns."""
-    take = mix.select(F.col("doc_id").alias("_mix_id"), "epochs", "part", "size").where("epochs > 0 or part > 0")
-    rows = docs.join(take, F.col(id_col) == F.col("_mix_id"))
-    copies = F.when(F.col("epochs") > 0, F.array_repeat(F.col("size"), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(copies, F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_mix_words", F.explode(copies))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("_mix_words").cast("int")), " ")
-    text = F.when(F.col("_mix_words") < F.col("size"), cut).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).drop("_mix_id", "epochs", "part", "size", "_mix_words")
+    take = mix.where("epochs > 0 or part > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "epochs", "part", "size")])
+    rows = docs.join(take, F.col(id_col) == F.col("__mix_doc_id"))
+    epochs, part, size = (F.col(f"__mix_{c}") for c in ("epochs", "part", "size"))
+    none = F.array().cast("array<bigint>")
+    copies = F.concat(F.when(epochs > 0, F.array_repeat(size, epochs.cast("int"))).otherwise(none), F.when(part > 0, F.array(part)).otherwise(none))
+    rows = rows.withColumn("__mix_words", F.explode(copies))
+    words = F.col("__mix_words")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, words.cast("int")), " ")
+    return rows.withColumn(text_col, F.when(words < size, cut).otherwise(F.col(text_col))).select(*[F.col(c) for c in docs.columns])
