@@ -41,15 +41,23 @@ def _common(a: bytes, at: int, b: bytes) -> int:
     return lo
 
 
+def _read(file: str) -> Iterator[tuple[bytes, Owner]]:
+    with open(file, "rb") as f:
+        while True:
+            try:
+                yield pickle.load(f)
+            except EOFError:
+                return
+
+
 class _Node:
-    __slots__ = ("children", "file", "label", "owner", "weight")
+    __slots__ = ("children", "file", "label", "owner")
 
     def __init__(self, label: bytes):
         self.label = label
         self.children: dict[int, _Node] = {}
         self.owner: Owner | None = None
         self.file: str | None = None  # a spilled subtree: no children, its strings are in the file
-        self.weight = 0  # bytes of labels below, counted on the spill path only
 
 
 class PatriciaTrie:
@@ -110,6 +118,10 @@ class PatriciaTrie:
         with open(file, "ab") as f:
             for key, owner in self._walk(heaviest, b""):
                 pickle.dump((key, owner), f)
+            for head, inner in self._files(heaviest):  # subtrees below that were written earlier
+                for key, owner in _read(inner):
+                    pickle.dump((head + key, owner), f)
+                os.remove(inner)
         heaviest.children, heaviest.owner, heaviest.file = {}, None, file
 
     def _walk(self, node: _Node, head: bytes) -> Iterator[tuple[bytes, Owner]]:
@@ -122,8 +134,9 @@ class PatriciaTrie:
                 if child.file is None:
                     stack.append((child, at + child.label))
 
-    def _files(self) -> Iterator[tuple[bytes, str]]:
-        stack = [(self.root, b"")]
+    def _files(self, node: _Node) -> Iterator[tuple[bytes, str]]:
+        """Written subtrees below a node, and what leads to them from there."""
+        stack = [(node, b"")]
         while stack:
             x, at = stack.pop()
             if x.file is not None:
@@ -133,16 +146,12 @@ class PatriciaTrie:
     def items(self) -> Iterator[tuple[bytes, Owner]]:
         """Every string once, with its owner; spilled subtrees last, each built again on its own."""
         yield from self._walk(self.root, b"")
-        files = list(self._files())
+        files = list(self._files(self.root))
         self.root = _Node(b"")
         for head, file in files:
             below = PatriciaTrie(self.folder, self.budget)
-            with open(file, "rb") as f:
-                while True:
-                    try:
-                        below.add(*pickle.load(f))
-                    except EOFError:
-                        break
+            for key, owner in _read(file):
+                below.add(key, owner)
             os.remove(file)
             for key, owner in below.items():
                 yield head + key, owner
