@@ -107,6 +107,18 @@ def onion_cell(o: Onion, p: Vec) -> dict[str, Column]:
     return {"sign": F.when(signed < 0, 1).otherwise(0), "axis": axis, "bx": lateral(u), "by": lateral(v), "bz": bz}
 
 
+def outside_distance(p: Vec, lo: tuple[float, float, float], hi: tuple[float, float, float]) -> Column:
+    """How far a point is outside a box; 0 inside."""
+    gap = [F.greatest(F.lit(a) - c, c - F.lit(b), F.lit(0.0)) for c, a, b in zip(p, lo, hi, strict=True)]
+    return length(tuple(gap))
+
+
+def billboard(p: Vec, size: Column, right: tuple[float, float, float], up: tuple[float, float, float]) -> Column:
+    """An array of the four corners of a square that faces the view, in the order of their index's bits."""
+    corner = lambda k: F.struct(F.lit(k).alias("corner"), *[(c + size * ((2 * (k & 1) - 1) * r + ((k & 2) - 1) * u)).alias(a) for a, c, r, u in zip("xyz", p, right, up, strict=True)])
+    return F.array(*[corner(k) for k in range(4)])
+
+
 def transform(rows: list[list[float]], p: tuple[Column, ...]) -> list[Column]:
     """A 4 x 4 matrix by rows times a point with w = 1, or four coordinates."""
     q = (*p, F.lit(1.0)) if len(p) == 3 else p

@@ -30,6 +30,25 @@ def bc1_blocks(pixels: DataFrame, size: int = 4) -> DataFrame:
     )
 
 
+def bc1_pixels(blocks: DataFrame, size: int = 4) -> DataFrame:
+    """Pixels of tiles as ``bc1_blocks`` codes them; a tile at an edge gives pixels beyond it too."""
+    place = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
+    place = place.withColumn("i", F.expr("cast((shiftright(indexes, 2 * k) & 3) as int)"))
+    ends = [(c, F.expr(f"cast(shiftright(end0, {s}) & 255 as int)"), F.expr(f"cast(shiftright(end1, {s}) & 255 as int)")) for c, s in (("r", 16), ("g", 8), ("b", 0))]
+    place = place.withColumns({f"{c}{k}": e for c, a, b in ends for k, e in ((0, a), (1, b))})
+    pick = "cast(case i when 0 then {c}0 when 1 then {c}1 when 2 then (2 * {c}0 + {c}1) div 3 else ({c}0 + 2 * {c}1) div 3 end as int)"
+    return place.select(F.expr(f"tx * {size} + k % {size}").cast("int").alias("x"), F.expr(f"ty * {size} + k div {size}").cast("int").alias("y"), *[F.expr(pick.format(c=c)).alias(c) for c in "rgb"])
+
+
+def mip_images(pixels: DataFrame, levels: int) -> DataFrame:
+    """The image and its ``levels`` - 1 halvings, each from the one before."""
+    out = pixels.select(F.lit(0).alias("level"), "x", "y", "r", "g", "b")
+    for k in range(1, levels):
+        pixels = downscale(pixels)
+        out = out.unionByName(pixels.select(F.lit(k).alias("level"), "x", "y", "r", "g", "b"))
+    return out
+
+
 def downscale(pixels: DataFrame) -> DataFrame:
     """Means of 2 x 2 pixels, rounded down; an odd edge averages what there is."""
     return pixels.groupBy(*[F.expr(f"{c} div 2").cast("int").alias(c) for c in "xy"]).agg(*[F.expr(f"cast(sum({c}) div count(*) as int)").alias(c) for c in "rgb"])

@@ -81,6 +81,18 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, b, "left").unionByName(side(b, a, "right"))
 
 
+def unchanged_frames(ranges: DataFrame) -> DataFrame:
+    """How many blocks stay the same for how many frames."""
+    return ranges.groupBy((F.col("last_frame") - F.col("first_frame") + 1).alias("frames")).agg(F.count("*").alias("blocks"))
+
+
+def at_basis(rows: DataFrame, basis: DataFrame) -> DataFrame:
+    """Positions (x, z) turned by their frame's yaw and moved to its origin, by ``basis(frame, ox, oz, yaw)``."""
+    both = rows.join(basis, "frame")
+    c, s = F.cos("yaw"), F.sin("yaw")
+    return both.withColumns({"wx": c * F.col("x") + s * F.col("z") + F.col("ox"), "wz": c * F.col("z") - s * F.col("x") + F.col("oz")})
+
+
 def upsert(meta: Column, key: Column, value: Column) -> Column:
     """A map with one key set."""
     return F.map_concat(F.map_filter(meta, lambda k, _: k != key), F.create_map(key, value))

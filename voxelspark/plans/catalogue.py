@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, color, geometry, hashing, scalar
-from ..operators import codec, fit, image, metrics, scene, sorting, text, timeline, trace, voxel
+from ..operators import codec, fit, image, kernels, metrics, scene, sorting, text, timeline, trace, voxel
 from ..sources import adapters, generators
 from ..streaming import sequences
 
@@ -301,6 +301,18 @@ def cut_list(spark: SparkSession, d: str) -> DataFrame:
     return adapters.table(spark, d, "orders").select("o_orderkey", F.explode(timeline.cut_frames(cuts)).alias("frame"))
 
 
+@query(f"WITH {_RANGES} SELECT last_frame - first_frame + 1 AS frames, count(*) AS blocks FROM rng GROUP BY 1")
+def unchanged_frames(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.unchanged_frames(timeline.delta_ranges(adapters.frames(spark, d), KEY, ["n"], RATE))
+
+
+@query(f"WITH {FRAMES}, b AS (SELECT frame, user_id, event_type, n::DOUBLE AS x, (user_id % 10)::DOUBLE AS z, frame * 0.5::DOUBLE AS ox, 1.0::DOUBLE AS oz, frame * 0.1::DOUBLE AS yaw FROM fr) SELECT frame, user_id, event_type, round(cos(yaw) * x + sin(yaw) * z + ox, 6) AS wx, round(cos(yaw) * z - sin(yaw) * x + oz, 6) AS wz FROM b")
+def frame_basis(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapters.frames(spark, d).select("frame", *KEY, F.col("n").cast("double").alias("x"), (F.col("user_id") % 10).cast("double").alias("z"))
+    basis = rows.select("frame").distinct().select("frame", (F.col("frame") * 0.5).alias("ox"), F.lit(1.0).alias("oz"), (F.col("frame") * 0.1).alias("yaw"))
+    return timeline.at_basis(rows, basis).select("frame", *KEY, F.round("wx", 6).alias("wx"), F.round("wz", 6).alias("wz"))
+
+
 # --- views -------------------------------------------------------------------------------------------------------------
 
 
@@ -393,6 +405,32 @@ def shade_points(spark: SparkSession, d: str) -> DataFrame:
     return adapters.points(spark, d).select("vec_id", F.round(n[0], 6).alias("nx"), F.round(color.shade(F.lit(0.5), n[1], n[2]), 6).alias("lit"))
 
 
+@query(f"WITH {POINTS} SELECT vec_id, round(sqrt(pow(greatest(-0.1 - x, x - 0.1, 0.0), 2) + pow(greatest(-0.05 - y, y - 0.05, 0.0), 2) + pow(greatest(0.0 - z, z - 0.2, 0.0), 2)), 6)::DOUBLE AS gone FROM pts")
+def headbox_distance(spark: SparkSession, d: str) -> DataFrame:
+    away = geometry.outside_distance(tuple(F.col(c) for c in "xyz"), (-0.1, -0.05, 0.0), (0.1, 0.05, 0.2))
+    return adapters.points(spark, d).select("vec_id", F.round(away, 6).alias("gone"))
+
+
+@query(f"WITH {POINTS} SELECT vec_id, k::INT AS corner, round(x + 0.01 * ({CAMERA.right[0]!r} * (2 * (k & 1) - 1) + {CAMERA.up[0]!r} * ((k & 2) - 1)), 6) AS x, round(y + 0.01 * ({CAMERA.right[1]!r} * (2 * (k & 1) - 1) + {CAMERA.up[1]!r} * ((k & 2) - 1)), 6) AS y, round(greatest(0.0, least(cos(x + y * 2.5), 1.0)), 6)::DOUBLE AS alpha FROM pts, (SELECT unnest(range(4)) AS k)")
+def particles(spark: SparkSession, d: str) -> DataFrame:
+    p = adapters.points(spark, d)
+    corners = geometry.billboard(tuple(F.col(c) for c in "xyz"), F.lit(0.01), CAMERA.right, CAMERA.up)
+    rows = p.select("vec_id", scalar.saturate(F.cos(F.col("x") + F.col("y") * 2.5)).alias("alpha"), F.explode(corners).alias("c"))
+    return rows.select("vec_id", "c.corner", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), F.round("alpha", 6).alias("alpha"))
+
+
+@query(f"WITH {POINTS} SELECT vec_id, round(x * 2 + y, 6) AS out, round(CASE label WHEN 0 THEN x WHEN 1 THEN y ELSE z END, 6) AS drawn FROM pts")
+def kernel_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    p = adapters.points(spark, d).withColumn("drawn", F.round(kernels.by_kind(F.col("label").cast("string"), {"0": F.col("x"), "1": F.col("y")}, F.col("z")), 6))
+    return kernels.dispatch(p.select("vec_id", "x", "y", "drawn"), lambda b: b.assign(out=(b["x"] * 2 + b["y"]).round(6))[["vec_id", "out", "drawn"]], "vec_id long, out double, drawn double")
+
+
+@query(f"WITH {POINTS}, s AS (SELECT label, vec_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS l FROM pts WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, CAST(count(*) AS INT) AS points, round(coalesce(sum(l), 0), 4) AS length FROM s GROUP BY label")
+def scene_paths(spark: SparkSession, d: str) -> DataFrame:
+    paths = adapters.points(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y", "z"))).alias("positions"))
+    return kernels.path_lengths(paths, "label", "positions").withColumn("length", F.round("length", 4))
+
+
 @query("SELECT CAST(id AS INT) AS view_id, CAST(id // 6 AS INT) AS cubemap, CAST(id % 6 AS INT) AS face FROM (SELECT unnest(range(102)) AS id)")
 def viewpoints(spark: SparkSession, d: str) -> DataFrame:
     return generators.viewpoints(spark)
@@ -416,6 +454,24 @@ def downscale_2x(spark: SparkSession, d: str) -> DataFrame:
     return codec.downscale(adapters.image(spark, d))
 
 
+def _bc1_sql() -> tuple[str, str]:
+    """The CTEs of the encoder, and a pixel's decoded channel."""
+    ctes = ORACLES["bc1_block_encode"].rsplit("SELECT CAST(tx AS INT)", 1)[0]
+    pick = f"CAST(CASE {_IDX} WHEN 0 THEN {{c}}0 WHEN 1 THEN {{c}}1 WHEN 2 THEN (2 * {{c}}0 + {{c}}1) // 3 ELSE ({{c}}0 + 2 * {{c}}1) // 3 END AS INT) AS {{c}}"
+    return ctes, ", ".join(pick.format(c=c) for c in "rgb")
+
+
+@query(f"{_bc1_sql()[0]} SELECT x, y, {_bc1_sql()[1]} FROM q")
+def bc1_block_decode(spark: SparkSession, d: str) -> DataFrame:
+    img = adapters.image(spark, d)
+    return codec.bc1_pixels(codec.bc1_blocks(img)).join(img.select("x", "y"), ["x", "y"])
+
+
+@query(f"WITH {CELLS}, {IMAGE}, " + ", ".join(f"i{k} AS (SELECT CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, CAST(sum(r) // count(*) AS INT) AS r, CAST(sum(g) // count(*) AS INT) AS g, CAST(sum(b) // count(*) AS INT) AS b FROM {f'i{k - 1}' if k > 1 else 'img'} GROUP BY 1, 2)" for k in range(1, 5)) + " SELECT 0 AS level, * FROM img" + "".join(f" UNION ALL SELECT {k}, * FROM i{k}" for k in range(1, 5)))
+def mip_images(spark: SparkSession, d: str) -> DataFrame:
+    return codec.mip_images(adapters.image(spark, d), 5)
+
+
 @query("WITH w AS (SELECT DISTINCT (p_size * 16)::BIGINT AS width FROM part), l AS (SELECT width, unnest(range(31)) AS k FROM w) SELECT width, CAST(count(*) FILTER (WHERE width >> k >= 4) AS INT) AS mips, sum(8 * (((width >> k) + 3) // 4) * (((width >> k) + 3) // 4)) FILTER (WHERE width >> k >= 4)::BIGINT AS bytes FROM l GROUP BY width")
 def mip_chain_size(spark: SparkSession, d: str) -> DataFrame:
     return codec.mip_chain(adapters.table(spark, d, "part").select((F.col("p_size") * 16).cast("long").alias("width")).distinct())

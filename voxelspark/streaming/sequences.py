@@ -46,5 +46,9 @@ def blend_history(events: DataFrame, blend: float) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Take all that is there now and give the sink's rows: for checks and small results."""
     name = "sink_" + uuid.uuid4().hex
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    sink = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        sink = sink.option("checkpointLocation", f"{shared.rstrip('/')}/{name}")
+    sink.start().awaitTermination()
     return stream.sparkSession.table(name)
