@@ -34,7 +34,7 @@ def shade(albedo: Column, ny: Column, ns: Column, ambient: float = 0.1, sky: flo
 
 def fade_to_black(c: Column, lum: Column, x: Column, y: Column, fade: Column, out_of_range: Column) -> Column:
     """Toward black by ``fade``; where that is 0, toward a dim checkerboard of 8 x 8 tiles by ``out_of_range``."""
-    same = F.expr("0") + F.floor(x / 8) % 2 == F.floor(y / 8) % 2
+    same = F.floor(x / 8) % 2 == F.floor(y / 8) % 2
     board = F.when(same, F.lit(0.01)).otherwise(lum * 0.01)
     return F.when(fade == 0, lerp(c, board, out_of_range)).otherwise(lerp(c, F.lit(0.0), fade))
 

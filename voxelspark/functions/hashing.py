@@ -50,7 +50,7 @@ def halton(index: Column, base: int) -> Column:
     """Radical inverse of ``index`` + 1 for indexes below 2^31."""
     digits = math.ceil(31 / math.log2(base))
     i = (index + 1).cast("long")
-    terms = [F.expr("0D") + (F.floor(i / F.lit(float(base**k))).cast("long") % base) / F.lit(float(base ** (k + 1))) for k in range(digits)]
+    terms = [(F.floor(i / F.lit(float(base**k))).cast("long") % base) / F.lit(float(base ** (k + 1))) for k in range(digits)]
     return sum(terms[1:], terms[0])
 
 
