@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, bounded_batches
 
 #: Deleted before texts are compared.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -235,6 +235,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null counts as empty; empty and white-space texts are one group.  A null id sorts after all others.  If rows with
     equal ids are in one group, one of them stays.  An empty table gives an empty result.  Only the two named columns are
     read.  ``budget`` is the bytes of labels a trie holds before it spills; texts of any length are compared whole."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # groups of two rows or more; all other rows are their own owners

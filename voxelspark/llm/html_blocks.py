@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
@@ -308,6 +310,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     comments; character references are decoded, white space in a block is one space, blocks are joined by two line feeds.
     Null and empty pages, and pages without an article, give an empty text.  Broken markup is read as far as it goes; a
     page of any length is read whole.  Ids and addresses may be null or repeat.  Other columns are not read."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = rows.mapInArrow(_rows, "page_id long, url string, text string, n_blocks int, n_kept int")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")

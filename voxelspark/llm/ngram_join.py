@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Scratch, filter_bits, filter_has, filter_slots
+from .runtime import Scratch, bounded_batches, filter_bits, filter_has, filter_slots
 from .textcore import U64, mix64, passes, shingles
 
 #: Share of the hash space whose shingles are kept for the search; rows that need more keep all.
@@ -287,6 +287,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if there is none.  An empty table gives an empty result.  Only ``id_col`` and ``text_col`` are read, so other
     columns may have any name.  Shingles and classes are 64-bit hashes."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     t = percent
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashed_text import SLOTS, Rows, linear_scores, sigmoid
+from .runtime import bounded_batches
 from .toxicity import held_out, labelled_sample
 
 PREFIXES = (4,)
@@ -83,6 +84,7 @@ def ordinal_quality(
                 [batch.column(0), batch.column(1), pa.array(tail.sum(axis=1)), pa.array(tail[:, select_grade - 1])], ["doc_id", "held_out", "expected_grade", "tail_probability"]
             )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, expected_grade double, tail_probability double"

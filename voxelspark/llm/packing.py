@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, bounded_batches
 
 CAPACITY = 1024
 #: Lengths up to CAPACITY / SMALL_PART are small; large ones form so many groups.
@@ -115,6 +115,7 @@ def token_pieces(
     """``(doc_id, piece, start, length, ids)``: the ids of each text and ``end_id``, cut into pieces of ``capacity`` ids
     if there are more; then the first piece may be shorter.  ``ids`` are little-endian unsigned 32-bit numbers.
     ``tokenizer`` is the path of a tokenizers file that every executor has.  A null text is empty: one piece, the end."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids binary")
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
 from .textcore import U64, Words, hash_spans, mix64, passes
 
 #: Characters that the rules count as symbols.
@@ -154,6 +155,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text", least_words: int =
     """The rows of ``docs``, with all their columns, that ``repetition_rules`` keeps; nothing is shuffled.
 
     The column names of ``docs`` must differ; nulls, repeated rows and empty tables as there."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +184,7 @@ def repetition_rules(
 
     Null, empty and white-space texts have no words and fail.  Substrings may overlap themselves.  Repeated rows give
     equal rows, an empty table an empty result; only the two named columns are read.  Texts are whole at any length."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _rows(least_words),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, repeat_chars long, longest_repeat long",

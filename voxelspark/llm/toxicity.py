@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashed_text import SLOTS, Rows, linear_scores, sigmoid
+from .runtime import bounded_batches
 
 #: Identity terms by group; a term is swapped for the next one of its group.
 IDENTITY_TERMS = (
@@ -119,6 +120,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             score = sigmoid(linear_scores(batch.column(2), w, PREFIXES, "count", False) + b)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "held_out", "score"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
