@@ -345,13 +345,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("a", "b", "x", "y")
         .mapInArrow(_check_pairs(t), "a long, b long, links long")
     )
-    member = cluster.join(sets, "k")
     width_of = cluster.join(sets.select("k", "n"), "k").groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")
     )
-    member = member.join(width_of, "cluster").withColumn("side", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+    # blocks are dealt on narrow rows; only then do the sets join, by class, so that no task meets all sets of a cluster
+    dealt = cluster.join(width_of, "cluster").withColumn("side", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+    dealt = scratch.table(dealt, "dealt")
     product = (
-        member.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+        dealt.join(sets.select("k", "blob"), "k")
+        .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
         .select("cluster", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "k", "blob")
         .groupBy("cluster", "bi", "bj")
         .applyInArrow(_multiply(t), "a long, b long, links long")
