@@ -258,6 +258,16 @@ def frame_to_sequence(spark: SparkSession, d: str) -> DataFrame:
     return timeline.sequence_lookup(frames, starts)
 
 
+@query("""WITH st AS (SELECT s, CAST(row_number() OVER (ORDER BY s) AS INT) AS sequence_id FROM (SELECT DISTINCT min(event_id) AS s FROM events GROUP BY user_id, CAST(ts AS DATE))),
+  fr AS (SELECT DISTINCT event_id AS frame FROM events) SELECT frame, st.sequence_id, frame - s AS frame_rank FROM fr ASOF LEFT JOIN st ON frame >= s""")
+def frame_to_sequence_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is a frame, the first of each user and day starts a sequence: starts and frames grow with the table."""
+    events = adapters.table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("date").alias("day"))
+    starts = events.groupBy("user_id", "day").agg(F.min("event_id").alias("start")).select("start", F.lit(1).alias("one")).distinct()
+    starts = sorting.running_totals(starts, "start", "one", 1024).select("start", F.col("total").cast("int").alias("sequence_id"))
+    return timeline.sequence_lookup(events.select(F.col("event_id").alias("frame")).distinct(), starts)
+
+
 @query(f"""WITH {FRAMES}, k AS (SELECT DISTINCT frame, user_id, event_type FROM fr), p AS (SELECT coalesce(a.frame, b.frame + 1) AS frame, a.frame IS NOT NULL AS now, b.frame IS NOT NULL AS was
   FROM k a FULL JOIN k b ON a.frame = b.frame + 1 AND a.user_id = b.user_id AND a.event_type = b.event_type) SELECT frame, count(*) FILTER (WHERE now AND NOT was) AS added, count(*) FILTER (WHERE now AND was) AS kept, count(*) FILTER (WHERE was AND NOT now) AS gone FROM p GROUP BY frame""")
 def delta_new_kept_gone(spark: SparkSession, d: str) -> DataFrame:
