@@ -1,11 +1,13 @@
 """Queries and operators against brute force over the whole of their input."""
 
 import bisect
+import collections
 import os
 
 import pytest
 
 from voxelspark.plans import catalogue
+from voxelspark.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
@@ -21,3 +23,16 @@ def test_all_starts_enter_the_lookup(spark):
     starts = sorted(set(first.values()))
     at = {r["event_id"]: bisect.bisect_right(starts, r["event_id"]) for r in events}
     assert got == {f: (k or None, f - starts[k - 1] if k else None) for f, k in at.items()}
+
+
+def test_every_sequence_is_validated_against_the_next(spark):
+    got = collections.Counter(tuple(r[c] for c in ("sequence_id", "user_id", "event_type", "n", "side")) for r in catalogue.QUERIES["stream_validate_all"](spark, SF).collect())
+    found = collections.defaultdict(collections.Counter)
+    frames = adapters.frames(spark, SF).collect()
+    for r in frames:
+        found[r["frame"] // 7][(r["user_id"], r["event_type"], r["n"])] += 1
+    want = collections.Counter()
+    for s in range(min(found), max(found)):
+        for side, rest in (("left", found[s] - found[s + 1]), ("right", found[s + 1] - found[s])):
+            want.update({(s, *k, side): v for k, v in rest.items()})
+    assert max(r["frame"] for r in frames) > 14 and got == want

@@ -81,6 +81,17 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, b, "left").unionByName(side(b, a, "right"))
 
 
+def sequence_differences(frames: DataFrame, values: list[str], rate: int) -> DataFrame:
+    """``difference`` of every sequence (left) and the next (right), by the id of the first; frames of a sequence are not told
+    apart.  A sequence without rows is empty, so all of its neighbours' rows differ."""
+    rows = frames.select(sequence_of(F.col("frame"), rate).alias("sequence_id"), *values)
+    ends = rows.agg(F.min("sequence_id").alias("__first"), F.max("sequence_id").alias("__last"))  # one row
+    rows = rows.join(F.broadcast(ends))
+    left = rows.where("sequence_id < __last").drop("__first", "__last")
+    right = rows.where("sequence_id > __first").withColumn("sequence_id", F.col("sequence_id") - 1).drop("__first", "__last")
+    return difference(left, right)
+
+
 def unchanged_frames(ranges: DataFrame) -> DataFrame:
     """How many blocks stay the same for how many frames."""
     return ranges.groupBy((F.col("last_frame") - F.col("first_frame") + 1).alias("frames")).agg(F.count("*").alias("blocks"))

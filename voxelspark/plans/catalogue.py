@@ -299,6 +299,12 @@ def stream_validate(spark: SparkSession, d: str) -> DataFrame:
     return timeline.difference(part(0, 7), part(7, 14))
 
 
+@query(f"""WITH {FRAMES}, sq AS (SELECT CAST(frame // 7 AS INT) AS sequence_id, user_id, event_type, n FROM fr), l AS (SELECT * FROM sq WHERE sequence_id < (SELECT max(sequence_id) FROM sq)),
+  r AS (SELECT CAST(sequence_id - 1 AS INT) AS sequence_id, user_id, event_type, n FROM sq WHERE sequence_id > (SELECT min(sequence_id) FROM sq)) SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)""")
+def stream_validate_all(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.sequence_differences(adapters.frames(spark, d), [*KEY, "n"], RATE)
+
+
 @query("SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || key) AS value FROM events WHERE true UNION ALL SELECT event_id, 'title', event_type FROM events")
 def metadata_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = adapters.table(spark, d, "events").select("event_id", timeline.upsert(F.from_json("props", "map<string,string>"), F.lit("title"), F.col("event_type")).alias("meta"))
