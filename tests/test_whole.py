@@ -4,10 +4,12 @@ import bisect
 import collections
 import os
 
+import pyarrow.parquet as pq
 import pytest
 
 from voxelspark.plans import catalogue
 from voxelspark.sources import adapters
+from voxelspark.streaming import sequences
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
@@ -36,3 +38,44 @@ def test_every_sequence_is_validated_against_the_next(spark):
         for side, rest in (("left", found[s] - found[s + 1]), ("right", found[s + 1] - found[s])):
             want.update({(s, *k, side): v for k, v in rest.items()})
     assert max(r["frame"] for r in frames) > 14 and got == want
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """The folder of ``events.parquet`` as 20 part files, more than a batch takes, in order of time."""
+    folder = tmp_path_factory.mktemp("parts")
+    (folder / "events.parquet").mkdir()
+    table = pq.read_table(f"{SF}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    step = -(-len(table) // 20)
+    for k in range(20):
+        path = folder / "events.parquet" / f"part-{k:05d}.parquet"
+        pq.write_table(table.slice(k * step, step), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    return str(folder)
+
+
+def test_part_files_are_counted(spark, parts):
+    got = {(r["start"].date(), r["event_type"]): r["n"] for r in catalogue.QUERIES["stream_sequence_counts"](spark, parts).collect()}
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("cast(ts as date) as day", "event_type").groupBy("day", "event_type").count().collect()
+    assert got == {(r["day"], r["event_type"]): r["count"] for r in rows}
+
+
+def test_part_files_out_of_order_are_counted(spark, parts):
+    folder = f"{parts}/events.parquet"
+    for k, name in enumerate(sorted((n for n in os.listdir(folder) if n.endswith(".parquet")), reverse=True)):
+        os.utime(f"{folder}/{name}", (1_700_001_000 + k, 1_700_001_000 + k))
+    got = sequences.run_to_end(sequences.sequence_counts(sequences.read_events(spark, folder, files_per_trigger=3)), "complete")
+    assert got.groupBy().sum("n").first()[0] == spark.read.parquet(folder).count()
+    for k, name in enumerate(sorted(n for n in os.listdir(folder) if n.endswith(".parquet"))):
+        os.utime(f"{folder}/{name}", (1_700_000_000 + k, 1_700_000_000 + k))
+
+
+def test_part_files_are_folded(spark, parts):
+    got = {}
+    for r in catalogue.QUERIES["stream_temporal_blend"](spark, parts).collect():
+        got[r["user_id"]] = max(got.get(r["user_id"], (0, 0.0)), (r["seen"], r["value"]))
+    want = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").collect():
+        n, v = want.get(r["user_id"], (0, 0.0))
+        want[r["user_id"]] = (n + 1, r["value"] if n == 0 else v + (r["value"] - v) * 0.25)
+    assert {k: (n, round(v, 5)) for k, (n, v) in got.items()} == {k: (n, round(v, 5)) for k, (n, v) in want.items()}

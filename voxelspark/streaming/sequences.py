@@ -12,10 +12,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """A stream over a folder or file of Parquet events; ``ts`` becomes a timestamp, which watermarks need."""
+    """A stream over a folder or file of Parquet events; ``ts`` becomes a timestamp, which watermarks need.
+
+    Part files come in the order of their times of change, ``files_per_trigger`` in a batch."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        stream = stream.parquet(path)
+    else:  # a stream takes folders only
+        folder, _, name = path.rpartition("/")
+        stream = stream.option("pathGlobFilter", name).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -26,7 +33,8 @@ def sequence_counts(events: DataFrame, length: str = "1 day", late: str = "1 day
 
 
 def blend_history(events: DataFrame, blend: float) -> DataFrame:
-    """The blended value of each user after each batch, kept as state; within a batch rows go by time, then id."""
+    """The blended value of each user after each batch, kept as state; within a batch rows go by time, then id, and batches
+    go as they come."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
