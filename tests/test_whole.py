@@ -2,11 +2,15 @@
 
 import bisect
 import collections
+import math
 import os
+import random
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from voxelspark.operators import image
 from voxelspark.plans import catalogue
 from voxelspark.sources import adapters
 from voxelspark.streaming import sequences
@@ -79,3 +83,59 @@ def test_part_files_are_folded(spark, parts):
         n, v = want.get(r["user_id"], (0, 0.0))
         want[r["user_id"]] = (n + 1, r["value"] if n == 0 else v + (r["value"] - v) * 0.25)
     assert {k: (n, round(v, 5)) for k, (n, v) in got.items()} == {k: (n, round(v, 5)) for k, (n, v) in want.items()}
+
+
+def ycocg(r, g, b):
+    t = b + (r - b) * 0.5
+    return t + (g - t) * 0.5, r - b, g - t
+
+
+def resolved_by_hand(frames, width, height, blend):
+    """Last image in YCoCg and alpha, pixel by pixel."""
+    black = (0.0, 0.0, 0.0)
+    past = None
+    for frame in frames:
+        now, out = {p: ycocg(*v[:3]) for p, v in frame.items()}, {}
+        for (x, y), (_, _, _, dx, dy, a) in frame.items():
+            if past is None:
+                out[x, y] = (*now[x, y], float(a > 0))
+                continue
+            hx, hy = x - dx, y + dy
+            i, j = math.floor(hx), math.floor(hy)
+            taps = [((i + di, j + dj), (hx - i if di else 1 - hx + i) * (hy - j if dj else 1 - hy + j)) for di in (0, 1) for dj in (0, 1)]
+            old = [sum(past.get(p, (*black, 0.0))[c] * w for p, w in taps) for c in range(4)]
+            off = not (0 <= (hx + 0.5) / width <= 1 and 0 <= (hy + 0.5) / height <= 1)
+            response = max(float(off or old[3] > 0), float(a > 0), blend)
+            around = [now.get(p, black) for p in ((x, y), (x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1))]
+            share = min(math.hypot(dx, dy) / 2, 1)
+            new = []
+            for c in range(3):
+                clamped = min(max(old[c], min(v[c] for v in around)), max(v[c] for v in around))
+                prev = old[c] + (clamped - old[c]) * share
+                new.append(prev + (now[x, y][c] - prev) * response)
+            out[x, y] = (*new, float(a > 0))
+        past = out
+    return past
+
+
+def test_images_are_resolved_with_motion_clamp_and_response(spark):
+    rng, width, height = random.Random(5), 6, 5
+    moves = (0.0, 0.0, 0.5, -1.25, 3.0)
+    frames = [
+        {(x, y): (*(rng.randrange(256) for _ in "rgb"), rng.choice(moves), rng.choice(moves), float(rng.random() < 0.15)) for x in range(width) for y in range(height)} for _ in range(3)
+    ]
+    rows = [(k, *p, *v) for k, frame in enumerate(frames) for p, v in frame.items()]
+    df = spark.createDataFrame(rows, "frame int, x int, y int, r int, g int, b int, dx double, dy double, a double")
+    got = {(r["x"], r["y"]): r for r in image.temporal_resolve(df, 0.25, width, height).collect()}
+    want = resolved_by_hand(frames, width, height, 0.25)
+    assert got.keys() == want.keys()
+    for p, (*wide, a) in want.items():
+        assert ycocg(*(got[p][c] for c in "rgb")) == pytest.approx(wide, abs=1e-5) and got[p]["a"] == a
+
+
+def test_streamed_history_starts_again_at_cuts(spark, tmp_path):
+    rows = [(k, f"2024-01-01 00:00:{k:02d}", 1, float(v), cut) for k, (v, cut) in enumerate([(8, False), (4, None), (20, True), (12, False)])]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double, cut boolean")
+    df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sequences.run_to_end(sequences.blend_history(sequences.read_events(spark, str(tmp_path / "events.parquet")), 0.25), "update")
+    assert [tuple(r) for r in got.collect()] == [(1, 4, 18.0)]

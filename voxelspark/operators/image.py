@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import luminance
+from ..functions.color import from_ycocg, luminance, to_ycocg
 
 
 def cross(pixels: DataFrame, values: list[str]) -> DataFrame:
@@ -40,21 +41,76 @@ def sharpen(pixels: DataFrame) -> DataFrame:
     return wide.select("x", "y", *[F.round(F.col(c) * gain, 6).alias(c) for c in "rgb"])
 
 
+def sampled(pixels: DataFrame, history: DataFrame, values: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``<value>_past`` of the history at a pixel's place (``hx``, ``hy``), by the four pixels around it; missing ones count 0.
+    Columns ``keep`` of the pixels go along."""
+    fx, fy = F.col("hx") - F.floor("hx"), F.col("hy") - F.floor("hy")
+    tap = lambda i, j: F.struct((F.floor("hx") + i).cast("int").alias("tx"), (F.floor("hy") + j).cast("int").alias("ty"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"))
+    taps = pixels.select("x", "y", *keep, F.explode(F.array(*[tap(i, j) for i in (0, 1) for j in (0, 1)])).alias("t")).select("x", "y", *keep, "t.*")
+    past = history.select(F.col("x").alias("tx"), F.col("y").alias("ty"), *[F.col(v).alias(f"{v}_past") for v in values])
+    found = taps.join(past, ["tx", "ty"], "left")
+    return found.groupBy("x", "y").agg(*[F.first(c).alias(c) for c in keep], *[F.sum(F.coalesce(F.col(f"{v}_past"), F.lit(0)) * F.col("w")).alias(f"{v}_past") for v in values])
+
+
 def reproject(pixels: DataFrame, history: DataFrame, value: str) -> DataFrame:
     """The history at a pixel's displaced place (``dx``, ``dy``), by the four pixels around it; missing ones count 0."""
     at = pixels.withColumn("hx", F.col("x") + F.col("dx")).withColumn("hy", F.col("y") + F.col("dy"))
-    fx, fy = F.col("hx") - F.floor("hx"), F.col("hy") - F.floor("hy")
-    tap = lambda i, j: F.struct((F.floor("hx") + i).cast("int").alias("tx"), (F.floor("hy") + j).cast("int").alias("ty"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"))
-    taps = at.select("x", "y", F.explode(F.array(*[tap(i, j) for i in (0, 1) for j in (0, 1)])).alias("t")).select("x", "y", "t.*")
-    past = history.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col(value).alias("_past"))
-    return taps.join(past, ["tx", "ty"], "left").groupBy("x", "y").agg(F.round(F.sum(F.coalesce(F.col("_past"), F.lit(0)) * F.col("w")), 6).alias("past"))
+    return sampled(at, history, [value]).select("x", "y", F.round(f"{value}_past", 6).alias("past"))
+
+
+YCOCG = ("lum", "co", "cg")
+
+
+def _wide(pixels: DataFrame) -> DataFrame:
+    wide = to_ycocg(tuple(F.col(c).cast("double") for c in "rgb"))
+    return pixels.withColumns(dict(zip(YCOCG, wide, strict=True))).drop("r", "g", "b")
+
+
+def temporal_step(pixels: DataFrame, history: DataFrame, blend: float, width: int, height: int) -> DataFrame:
+    """One frame blended with its history, both whole images in YCoCg with ``a``; ``pixels`` has displacements too.
+
+    The history is taken at (x - dx, y + dy) and clamped to the range of the pixel and its four neighbours, in proportion to
+    the displacement: wholly from 2 pixels on.  The response is 1 where that place is off the image or ``a`` of the pixel or
+    of its history is above 0, else ``blend``.  ``a`` of the result is 1 or 0.  Colours of the frame are taken at the centres
+    of pixels, without jitter."""
+    at = cross(pixels, [*YCOCG, "dx", "dy", "a"]).withColumns({"hx": F.col("x") - F.col("dx"), "hy": F.col("y") + F.col("dy")})
+    keep = ["dx", "dy", "a", "hx", "hy", *[c + k for c in YCOCG for k in ("", "_l", "_r", "_u", "_d")]]
+    both = sampled(at, history, [*YCOCG, "a"], keep)
+    inside = F.col("hx").between(-0.5, width - 0.5) & F.col("hy").between(-0.5, height - 0.5)
+    response = F.when(~inside | (F.col("a_past") > 0) | (F.col("a") > 0), 1.0).otherwise(blend)
+    share = F.least(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) * 0.5, F.lit(1.0))
+
+    def blended(c: str) -> Column:
+        around, past = [F.col(c), *[F.col(f"{c}_{k}") for k in "lrud"]], F.col(f"{c}_past")
+        past = past + (F.greatest(F.least(past, F.greatest(*around)), F.least(*around)) - past) * share
+        return (past + (F.col(c) - past) * response).alias(c)
+
+    return both.select("x", "y", *[blended(c) for c in YCOCG], F.when(F.col("a") > 0, 1.0).otherwise(0.0).alias("a"))
+
+
+def temporal_resolve(frames: DataFrame, blend: float, width: int, height: int) -> DataFrame:
+    """The last image of a sequence after ``temporal_step`` frame by frame, from ``(frame, x, y, r, g, b, dx, dy, a)``; the first
+    frame has no history and stays as it is.
+
+    A pixel's history depends on its neighbours', so frames go one after the other, each as one distributed step."""
+    order = sorted(r["frame"] for r in frames.select("frame").distinct().collect())
+    image = None
+    for k in order:
+        now = _wide(frames.where(F.col("frame") == k).drop("frame"))
+        first = now.select("x", "y", *YCOCG, F.when(F.col("a") > 0, 1.0).otherwise(0.0).alias("a"))
+        image = first if image is None else temporal_step(now, image, blend, width, height)
+    if image is None:
+        image = _wide(frames.drop("frame")).select("x", "y", *YCOCG, "a")
+    back = from_ycocg(tuple(F.col(c) for c in YCOCG))
+    return image.select("x", "y", *[F.round(v, 6).alias(c) for c, v in zip("rgb", back, strict=True)], "a")
 
 
 def blend_over_time(frames: DataFrame, key: list[str], value: str, blend: float) -> DataFrame:
     """Exponential history of each key over its frames: new = past + (value - past) * response, where the response is 1 for
     the first frame and after a cut (``cut``), else ``blend``.
 
-    A fold over the frames of one key, which are few; the streaming twin keeps the same state."""
+    A fold over the frames of one key, which are few; the streaming twin keeps the same state.  Keys have no neighbours here:
+    ``temporal_resolve`` is the blend of images, with motion, clamp and response."""
     ordered = F.array_sort(F.collect_list(F.struct("frame", F.col(value).alias("v"), "cut")))
     fold = F.aggregate(
         ordered,

@@ -57,3 +57,17 @@ def draw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as frame metrics: draw time from the value, an event mask from the type."""
     mask = F.expr("shiftleft(1, cast(length(event_type) % 4 as int))")
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_id"), "user_id", F.round(F.col("value") * 100, 0).cast("long").alias("draw_us"), mask.cast("int").alias("events"))
+
+
+def moving_images(spark: SparkSession, sf_dir: str, width: int = 64, height: int = 64) -> DataFrame:
+    """Whole images in sequence: the line number is the frame, colours are those of ``image``, black where a frame has no cell;
+    displacements (``dx``, ``dy``) and pixels that take no history (``a``) go by place and frame."""
+    c = cells(spark, sf_dir)
+    found = c.groupBy(F.col("n").alias("frame"), "x", "y").agg(*[F.expr(f"cast(sum(cast({c} as bigint)) div count(*) as int)").alias(c) for c in "rgb"])
+    places = spark.range(width * height).select(F.expr(f"cast(id % {width} as int)").alias("x"), F.expr(f"cast(id div {width} as int)").alias("y"))
+    whole = c.select(F.col("n").alias("frame")).distinct().crossJoin(places).join(found, ["frame", "x", "y"], "left")
+    return whole.select(
+        "frame", "x", "y", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"],
+        (((F.col("x") + F.col("frame")) % 5 - 2) * 0.4).alias("dx"), (((F.col("y") + F.col("frame") * 2) % 5 - 2) * 0.3).alias("dy"),
+        F.when((F.col("x") + F.col("y") + F.col("frame")) % 7 == 0, 1.0).otherwise(0.0).alias("a"),
+    )
