@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from voxelspark.operators import image
+from voxelspark.operators import codec, image, voxel
 from voxelspark.plans import catalogue
 from voxelspark.sources import adapters
 from voxelspark.streaming import sequences
@@ -139,3 +139,19 @@ def test_streamed_history_starts_again_at_cuts(spark, tmp_path):
     df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = sequences.run_to_end(sequences.blend_history(sequences.read_events(spark, str(tmp_path / "events.parquet")), 0.25), "update")
     assert [tuple(r) for r in got.collect()] == [(1, 4, 18.0)]
+
+
+def test_blocks_keep_the_colours_of_their_cells(spark):
+    leaves = {(r["x"], r["y"], r["z"]): (r["r"], r["g"], r["b"]) for r in voxel.leaf_colors(voxel.leaves(adapters.cells(spark, SF))).collect()}
+    blocks = catalogue.QUERIES["block_colors"](spark, SF)
+    got = {(r["x"], r["y"], r["z"]): (r["r"], r["g"], r["b"]) for r in codec.block_cells(blocks).collect()}
+    within = collections.defaultdict(list)
+    for p, c in leaves.items():
+        within[tuple(v >> 2 for v in p)].append(c)
+    want, error = {}, 0
+    for p, c in leaves.items():
+        low, high = ([f(v) for v in zip(*within[tuple(v >> 2 for v in p)])] for f in (min, max))
+        palette = [low, high, [(2 * a + b) // 3 for a, b in zip(low, high)], [(a + 2 * b) // 3 for a, b in zip(low, high)]]
+        want[p] = tuple(min(palette, key=lambda q: sum((a - b) ** 2 for a, b in zip(q, c))))
+        error += sum((a - b) ** 2 for a, b in zip(want[p], c))
+    assert got == want and blocks.groupBy().sum("error", "cells").first()[:] == (error, len(leaves))

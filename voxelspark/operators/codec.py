@@ -40,6 +40,44 @@ def bc1_pixels(blocks: DataFrame, size: int = 4) -> DataFrame:
     return place.select(F.expr(f"tx * {size} + k % {size}").cast("int").alias("x"), F.expr(f"ty * {size} + k div {size}").cast("int").alias("y"), *[F.expr(pick.format(c=c)).alias(c) for c in "rgb"])
 
 
+_ENDS = (("r", 16), ("g", 8), ("b", 0))
+
+
+def block_colors(cells: DataFrame, *extra: str) -> DataFrame:
+    """Blocks of 4 x 4 x 4 cells from the colours of leaves ``(x, y, z, r, g, b)``: presence of the 64 cells as two 32-bit masks,
+    two end colours, and 2 bits for each cell in four 32-bit words of 16 cells (0 where there is no cell).
+
+    Ends, palette and ties as in ``bc1_blocks``.  One shuffle: a block's cells, 64 at most, are gathered in its row.  ``error``
+    is the sum of squared distances."""
+    cell = F.struct(F.expr("(x & 3) | shiftleft(y & 3, 2) | shiftleft(z & 3, 4)").alias("c"), "r", "g", "b")
+    block = cells.select(*extra, *[F.shiftright(c, 2).alias("b" + c) for c in "xyz"], "r", "g", "b", cell.alias("cell"))
+    block = block.groupBy(*extra, "bx", "by", "bz").agg(
+        *[f(c).alias(f"{c}{k}") for c in "rgb" for k, f in ((0, F.min), (1, F.max))], F.array_sort(F.collect_list("cell")).alias("cells_")
+    )
+    parts = ["{c}0", "{c}1", "(2 * {c}0 + {c}1) div 3", "({c}0 + 2 * {c}1) div 3"]
+    distance = [" + ".join(f"(v.{c} - ({p.format(c=c)})) * (v.{c} - ({p.format(c=c)}))" for c in "rgb") for p in parts]
+    best = "array_min(array(" + ", ".join(f"struct(cast({d} as bigint) as d, {k} as k)" for k, d in enumerate(distance)) + "))"
+    coded = block.withColumn("coded", F.expr(f"transform(cells_, v -> struct(v.c as c, {best} as best))"))
+    mask = lambda lo: F.expr(f"aggregate(coded, 0L, (a, v) -> a | case when v.c div 32 = {lo} then shiftleft(1L, v.c % 32) else 0L end)")
+    word = lambda k: F.expr(f"aggregate(coded, 0L, (a, v) -> a | case when v.c div 16 = {k} then shiftleft(cast(v.best.k as bigint), 2 * (v.c % 16)) else 0L end)")
+    end = lambda k: F.expr(" | ".join(f"shiftleft(cast({c}{k} as bigint), {s})" for c, s in _ENDS))
+    return coded.select(
+        *extra, "bx", "by", "bz", mask(0).alias("presence0"), mask(1).alias("presence1"), end(0).alias("end0"), end(1).alias("end1"),
+        *[word(k).alias(f"idx{k}") for k in range(4)], F.expr("aggregate(coded, 0L, (a, v) -> a + v.best.d)").alias("error"), F.size("coded").alias("cells"),
+    )
+
+
+def block_cells(blocks: DataFrame, *extra: str) -> DataFrame:
+    """Cells and colours of blocks as ``block_colors`` codes them; only cells that are present."""
+    cell = blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    cell = cell.where("(shiftright(if(c < 32, presence0, presence1), c % 32) & 1) = 1")
+    cell = cell.withColumn("i", F.expr("cast(shiftright(element_at(array(idx0, idx1, idx2, idx3), cast(c div 16 as int) + 1), 2 * (c % 16)) & 3 as int)"))
+    cell = cell.withColumns({f"{c}{k}": F.expr(f"cast(shiftright(end{k}, {s}) & 255 as int)") for c, s in _ENDS for k in (0, 1)})
+    pick = "cast(case i when 0 then {c}0 when 1 then {c}1 when 2 then (2 * {c}0 + {c}1) div 3 else ({c}0 + 2 * {c}1) div 3 end as int)"
+    at = [F.expr(f"b{a} * 4 + (shiftright(c, {s}) & 3)").alias(a) for a, s in (("x", 0), ("y", 2), ("z", 4))]
+    return cell.select(*extra, *at, *[F.expr(pick.format(c=c)).alias(c) for c in "rgb"])
+
+
 def mip_images(pixels: DataFrame, levels: int) -> DataFrame:
     """The image and its ``levels`` - 1 halvings, each from the one before."""
     out = pixels.select(F.lit(0).alias("level"), "x", "y", "r", "g", "b")

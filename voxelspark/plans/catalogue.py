@@ -465,6 +465,17 @@ def bc1_block_encode(spark: SparkSession, d: str) -> DataFrame:
     return codec.bc1_blocks(adapters.image(spark, d))
 
 
+_CODED = f"""lc AS (SELECT x, y, z, CAST(r_sum // cnt AS INT) AS r, CAST(g_sum // cnt AS INT) AS g, CAST(b_sum // cnt AS INT) AS b FROM leaves), lb AS (SELECT *, x >> 2 AS bx, y >> 2 AS "by", z >> 2 AS bz, (x & 3) | ((y & 3) << 2) | ((z & 3) << 4) AS c FROM lc),
+  le AS (SELECT *, min(r) OVER w AS r0, max(r) OVER w AS r1, min(g) OVER w AS g0, max(g) OVER w AS g1, min(b) OVER w AS b0, max(b) OVER w AS b1 FROM lb WINDOW w AS (PARTITION BY bx, "by", bz)),
+  lq AS (SELECT *, {', '.join(f"({' + '.join(f'({c} - ({p.format(c=c)})) * ({c} - ({p.format(c=c)}))' for c in 'rgb')})::BIGINT AS e{k}" for k, p in enumerate(('{c}0', '{c}1', '(2 * {c}0 + {c}1) // 3', '({c}0 + 2 * {c}1) // 3')))} FROM le)"""
+
+
+@query(f"""WITH {CELLS}, {LEAVES}, {_CODED} SELECT bx, "by", bz, {', '.join(f"bit_or(CASE WHEN c // 32 = {k} THEN 1::BIGINT << (c % 32) ELSE 0 END) AS presence{k}" for k in range(2))}, {', '.join(f"any_value((r{k}::BIGINT << 16) | (g{k}::BIGINT << 8) | b{k}) AS end{k}" for k in range(2))},
+  {', '.join(f"bit_or(CASE WHEN c // 16 = {k} THEN ({_IDX})::BIGINT << (2 * (c % 16)) ELSE 0 END) AS idx{k}" for k in range(4))}, sum(least(e0, e1, e2, e3))::BIGINT AS error, CAST(count(*) AS INT) AS cells FROM lq GROUP BY 1, 2, 3""")
+def block_colors(spark: SparkSession, d: str) -> DataFrame:
+    return codec.block_colors(voxel.leaf_colors(voxel.leaves(adapters.cells(spark, d))))
+
+
 @query(f"WITH {CELLS}, {IMAGE} SELECT CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, CAST(sum(r) // count(*) AS INT) AS r, CAST(sum(g) // count(*) AS INT) AS g, CAST(sum(b) // count(*) AS INT) AS b FROM img GROUP BY 1, 2")
 def downscale_2x(spark: SparkSession, d: str) -> DataFrame:
     return codec.downscale(adapters.image(spark, d))
