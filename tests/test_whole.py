@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.operators import codec, image, voxel
 from voxelspark.plans import catalogue
-from voxelspark.sources import adapters
+from voxelspark.sources import adapters, files
 from voxelspark.streaming import sequences
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +155,11 @@ def test_blocks_keep_the_colours_of_their_cells(spark):
         want[p] = tuple(min(palette, key=lambda q: sum((a - b) ** 2 for a, b in zip(q, c))))
         error += sum((a - b) ** 2 for a, b in zip(want[p], c))
     assert got == want and blocks.groupBy().sum("error", "cells").first()[:] == (error, len(leaves))
+
+
+def test_faces_keep_all_corners(spark, tmp_path):
+    (tmp_path / "s.obj").write_text("f " + " ".join(str(k) for k in range(1, 101)) + "\n")
+    found = collections.defaultdict(list)
+    for r in files.read_obj(spark, str(tmp_path / "s.obj"))["corners"].orderBy("triangle", "corner").collect():
+        found[r["triangle"]].append(r["position"])
+    assert list(found.values()) == [[1, k, k + 1] for k in range(2, 100)]

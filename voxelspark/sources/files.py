@@ -47,7 +47,7 @@ def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         rows = words.where(F.col("w")[0] == kind).select(F.row_number().over(_in_order()).alias("id"), *[F.get("w", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate(names)])
         return rows
 
-    faces = words.where(F.col("w")[0] == "f").select("at", F.slice("w", 2, 64).alias("c"))
+    faces = words.where(F.col("w")[0] == "f").select("at", F.slice("w", 2, F.size("w")).alias("c"))
     fan = faces.select("at", F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> array(c[0], c[i], c[i + 1]))")).alias("t"))
     corners = fan.select(F.row_number().over(_in_order()).alias("triangle"), "t").select("triangle", F.posexplode("t").alias("corner", "ids"))
     ids = [F.when(F.get(F.split("ids", "/"), F.lit(i)) != "", F.get(F.split("ids", "/"), F.lit(i))).cast("int").alias(n) for i, n in enumerate(("position", "uv", "normal"))]
