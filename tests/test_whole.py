@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from voxelspark.llm import html_blocks
 from voxelspark.operators import codec, image, voxel
 from voxelspark.plans import catalogue
 from voxelspark.sources import adapters, files
@@ -163,3 +164,17 @@ def test_faces_keep_all_corners(spark, tmp_path):
     for r in files.read_obj(spark, str(tmp_path / "s.obj"))["corners"].orderBy("triangle", "corner").collect():
         found[r["triangle"]].append(r["position"])
     assert list(found.values()) == [[1, k, k + 1] for k in range(2, 100)]
+
+
+@pytest.mark.parametrize("tag", "button select object svg canvas audio video noscript template math".split())
+def test_tags_without_end_drop_no_text(tag):
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts(f"<article><p>a</p><{tag}>x<p>b</p></article><p>c</p>") == ["a", "x", "b", "c"]
+    assert texts(f"<p>a</p><{tag}>x<p>b</p><{tag}>y</{tag}><p>c</p>") == ["a", "x", "b", "c"]
+    assert texts(f"<p>a</p><{tag}>x<!-- </{tag}> --><script>'</{tag}>'</script></{tag}><p>b</p>") == ["a", "b"]
+
+
+def test_raw_text_without_end_runs_to_the_end():
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert [b.text for b in html_blocks.blocks(f"<p>a</p><{tag}>x<p>b</p>")] == ["a"]
+    assert [b.text for b in html_blocks.blocks("<p>a</p><iframe src='x'/><svg><text>q</text></svg><p>b</p>")] == ["a", "b"]

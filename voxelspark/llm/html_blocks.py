@@ -24,6 +24,14 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math iframe object textarea select button canvas audio video title head".split())
+#: Those whose content a browser reads as text up to their end tag, or to the end of the page if there is none.
+RAW_TEXT = frozenset("script style textarea title iframe".split())
+#: The others' tags, with comments and raw text to pass over.
+_NESTED = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW_TEXT))})(?=[\s/>])(?![^>]*/>).*?(?:</\1(?=[\s/>])|\Z)|<(/?)({'|'.join(sorted(RAW - RAW_TEXT - {'head'}))})(?=[\s/>])", re.IGNORECASE | re.DOTALL
+)
+#: Of these a start tag ends an open one.
+_NEVER_NESTED = frozenset(("button", "select"))
 #: Elements that begin and end blocks.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -79,6 +87,29 @@ def _kind(tag: str, attributes: str) -> tuple[int, bool] | None:
     return None
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Where elements of RAW that are no raw text end, by the place of their start tag; those without an end tag are left out.
+
+    One pass, however many tags have no end."""
+    out: dict[int, int] = {}
+    still_open: dict[str, list[int]] = {}
+    for m in _NESTED.finditer(page):
+        if not m[3]:
+            continue
+        tag, places = m[3].lower(), still_open.setdefault(m[3].lower(), [])
+        if m[2]:
+            if places:
+                close = page.find(">", m.end())
+                out[places.pop()] = len(page) if close < 0 else close + 1
+            continue
+        whole = _TAG.match(page, m.start()) or _LOOSE.match(page, m.start())
+        if whole and not whole[3].endswith("/"):
+            if tag in _NEVER_NESTED:
+                places.clear()
+            places.append(m.start())
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; character references decoded, white space made single."""
     out: list[Block] = []
@@ -86,6 +117,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     links, heading, pos, n = 0, False, 0, len(page)
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal heading
@@ -129,7 +161,9 @@ def blocks(page: str) -> list[Block]:
         pos = m.end()
         closing, tag, attributes = m[1] == "/", m[2].lower(), m[3]
         if tag in RAW:
-            if not closing and not attributes.endswith("/"):
+            if closing or attributes.endswith("/"):
+                continue
+            if tag in RAW_TEXT or tag == "head":
                 end = re.compile(rf"</{tag}(?=[\s/>])|<body(?=[\s>])" if tag == "head" else rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, pos)
                 if end is None:
                     pos = n if tag != "head" else pos
@@ -138,6 +172,10 @@ def blocks(page: str) -> list[Block]:
                     pos = n if close < 0 else close + 1
                 else:
                     pos = end.start()
+            else:
+                if ends is None:
+                    ends = _ends(page)
+                pos = ends.get(at, pos)  # without an end tag the tag alone is passed over
             continue
         if tag == "br":
             add(" ")
@@ -308,8 +346,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     ``text`` is the article without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and
     comments; character references are decoded, white space in a block is one space, blocks are joined by two line feeds.
-    Null and empty pages, and pages without an article, give an empty text.  Broken markup is read as far as it goes; a
-    page of any length is read whole.  Ids and addresses may be null or repeat.  Other columns are not read."""
+    Null and empty pages, and pages without an article, give an empty text.  Broken markup is read as far as it goes: after
+    a script, style, textarea, title or iframe without its end tag there is no text, as in a browser; other tags without one
+    drop nothing.  A page of any length is read whole.  Ids and addresses may be null or repeat.  Other columns are not read."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = rows.mapInArrow(_rows, "page_id long, url string, text string, n_blocks int, n_kept int")
