@@ -63,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 tokens."""
-    pieces = token_pieces(docs, public_tokenizer("byte_bpe_50k.json"))
+    pieces = token_pieces(docs, public_tokenizer("byte_bpe_50k.json"), added_tokens=True)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 

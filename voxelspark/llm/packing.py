@@ -45,17 +45,22 @@ class Encoder:
     """Ids of a byte-level BPE tokenizer file of the ``tokenizers`` library.
 
     Where the file's merges are in the order of its ids, as in all files of that kind, ``tiktoken`` gives the same ids from
-    the same vocabulary in a fraction of the time; else, and for a text it cannot take, ``tokenizers`` does the work."""
+    the same vocabulary in a fraction of the time; else, and for a text it cannot take, ``tokenizers`` does the work.
 
-    def __init__(self, path: str):
+    ``added_tokens`` gives special tokens of the file that stand in a text their own ids, as the library's plain call does;
+    without it they are ordinary text."""
+
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.fast = None
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self.own = [t["content"] for t in file.get("added_tokens") or [] if added_tokens or not t.get("special")]
         byte, vocabulary = _byte_of(), model["vocab"]
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         in_order = all(vocabulary[x] < vocabulary[y] for x, y in pairwise(merged))
@@ -71,7 +76,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if self.fast is None:
+        if self.fast is None or any(t in text for t in self.own):
             return self.slow(text)
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
@@ -81,14 +86,15 @@ class Encoder:
             return self.slow(text)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, added_tokens: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        key = (path, added_tokens)
+        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(*key))
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
@@ -110,14 +116,15 @@ def _pieces(path: str, end_id: int, capacity: int):
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, added_tokens: bool = False
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: the ids of each text and ``end_id``, cut into pieces of ``capacity`` ids
     if there are more; then the first piece may be shorter.  ``ids`` are little-endian unsigned 32-bit numbers.
-    ``tokenizer`` is the path of a tokenizers file that every executor has.  A null text is empty: one piece, the end."""
+    ``tokenizer`` is the path of a tokenizers file that every executor has.  A null text is empty: one piece, the end.
+    ``added_tokens``: special tokens that stand in a text have their own ids."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids binary")
+    return texts.mapInArrow(_pieces(tokenizer, end_id, capacity, added_tokens), "doc_id long, piece int, start long, length long, ids binary")
 
 
 class _Bins:

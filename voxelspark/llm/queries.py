@@ -61,7 +61,7 @@ def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+    pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), added_tokens=True)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
