@@ -369,6 +369,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     least_id = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
     known = scratch.table(known.join(least_id, "label").select("k", "component_id", "n_links"), "known")
+    scratch.drop(found, cluster, pairs, classes, sets, dealt, links)
     return rows.select("doc_id", "k", "n").join(known, "k", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

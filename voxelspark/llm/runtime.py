@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset (tests), a folder of this
-    process, which is then set for the session."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a folder of this process, which is then set for the session; on a
+    cluster, whose machines would not share such a folder, it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="voxelspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,24 +30,36 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the batches of the session's Arrow functions by bytes, not by rows alone; a smaller setting stays."""
+    """Bound the batches of the session's Arrow functions by bytes, not by rows alone; a smaller setting stays.
+
+    The setting is read when a result is computed, long after an operator has returned, so it stays with the session."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Bytes of a row group of an intermediate table, of which each task that writes holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no earlier step and lineage stays short."""
+    """Tables written to the shared folder, so that a lost executor costs no earlier step and lineage stays short.
+
+    They go when ``drop`` says so, the rest, which lazy results still read, when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        folder.mkdirs(path)
+        folder.deleteOnExit(path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` under a fresh name and read it back."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -89,9 +105,5 @@ def filter_has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (((bits[slots >> 6] >> (slots & 63)) & 1) == 1).all(axis=1)
 
 
-def binary_column(buffers: list[bytes]) -> pa.Array:
-    return pa.array(buffers, type=pa.binary())
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
