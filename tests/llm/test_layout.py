@@ -1,5 +1,6 @@
 """Sharding, mixing, packing and the whole pipeline against brute force."""
 
+import bisect
 import collections
 import math
 import random
@@ -136,11 +137,66 @@ def test_plans_place_every_piece_once(histogram, groups):
         assert end <= 64
 
 
-def test_plans_are_tight():
+def best_fit_decreasing(histogram, capacity):
+    left, count = [], 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            k = bisect.bisect_left(left, length)
+            room = left.pop(k) if k < len(left) else capacity
+            count += room == capacity
+            if room > length:
+                bisect.insort(left, room - length)
+    return count
+
+
+LENGTHS = {
+    "uniform": lambda rng: rng.randint(1, 1024),
+    "few": lambda rng: rng.choice([330, 345, 360, 690, 700]),
+    "middle": lambda rng: rng.randint(350, 900),
+    "thirds": lambda rng: rng.randint(150, 400),
+    "log-normal": lambda rng: min(1024, max(1, int(rng.lognormvariate(5.2, 0.9)))),
+}
+
+
+@pytest.mark.parametrize("name", LENGTHS)
+def test_plans_are_as_tight_as_best_fit_decreasing(name):
+    rng = random.Random(1)
+    histogram = dict(collections.Counter(LENGTHS[name](rng) for _ in range(20000)))
+    assert packing.plan(histogram)[1] <= best_fit_decreasing(histogram, 1024)
+
+
+def test_few_documents_of_many_lengths_gain_from_configurations():
     rng = random.Random(1)
-    lengths = collections.Counter(rng.randint(1, 1024) for _ in range(20000))
-    _, count = packing.plan(dict(lengths))
-    assert count <= 1.02 * sum(k * n for k, n in lengths.items()) / 1024
+    histogram = dict(collections.Counter(rng.randint(200, 520) for _ in range(300)))
+    assert packing.plan(histogram)[1] < best_fit_decreasing(histogram, 1024)
+
+
+def test_the_linear_program_is_optimal():
+    # sizes 6, 4, 3 in 10: patterns 6+4 and 3+3+3, and a rest; no fewer bins can hold them
+    found = packing.optimal_configurations([6, 4, 3], [30, 30, 30], 10)
+    assert sum(x for _, x in found) == pytest.approx(40)
+    for i, n in enumerate((30, 30, 30)):
+        assert sum(c.get(i, 0) * x for c, x in found) >= n - 1e-6
+    # against all maximal patterns of small random sizes, by the dual: no pattern is worth more than a bin
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes = rng.sample(range(5, 30), 5)
+        counts = [rng.randint(1, 40) for _ in sizes]
+        found = packing.optimal_configurations(sizes, counts, 40)
+        basis = np.array([[c.get(i, 0) for c, _ in found] for i in range(5)], dtype=float)
+        price = np.linalg.solve(basis.T, np.ones(5))
+        worth, config = packing._most_worth(np.sort(sizes), price[np.argsort(sizes)], 40)
+        assert worth <= 1 + 1e-6 and (basis @ [x for _, x in found] >= np.array(counts) - 1e-6).all()
+
+
+def test_names_of_other_columns_stay(spark):
+    names = ["lo", "hi", "base", "n", "part", "draw", "rank", "nth", "piece", "earlier", "of_length", "offset", "sequence_id"]
+    rows = spark.range(300).select("id", (F.col("id") % 200 + 400).alias("length"), *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    got = packing.pack(rows)
+    assert got.columns == ["id", "length", *names[:-2], "sequence_id", "offset"]
+    got = got.collect()
+    check_sequences(got)
+    assert sorted((r["id"], r["length"], r["lo"], r["earlier"]) for r in got) == [(i, i % 200 + 400, 0, 9) for i in range(300)]
 
 
 ODD = [None, "", " ", "  a  b\n\n c\t\td", "x y　 z", "<|endoftext|> hi", "a" * 5000, " " * 3000 + "x", "don't I'll 123 abc!!! ### x", "\r\n\r\n  \x85 \x1c z", "日本語 テキスト 🙂🙂"]
@@ -150,7 +206,6 @@ def pieces_by_hand(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     want = []
     for i, text in texts:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")

@@ -1,18 +1,19 @@
 """Best-fit packing by a linear grouping scheme.
 
 Only the histogram of lengths (a row for each length, whatever the corpus) reaches the driver.  There large lengths,
-sorted, are cut into groups of equal cardinality and rounded up to the longest of their group; configurations of these
-few sizes are chosen one after the other, each the fullest for the longest size left, and used as often as its sizes
-allow; actual lengths replace rounded ones; small lengths go best-fit into what is left.  Equal bins are handled
-together, so the plan has thousands of rows at most: for the pieces of one length, from one rank to another, the bin and
-the place.  Ranks are counted in parallel, and each piece looks up its row.
+sorted, are cut into groups of equal cardinality and rounded up to the longest of their group; for these few sizes a
+linear program over all configurations, solved by column generation, says how often to use which; actual lengths replace
+rounded ones; what is left goes best-fit into the space that rounding left, then into the fullest configurations of its
+own lengths; small lengths go best-fit into the rest.  The finest grouping, each length a group of its own with
+configurations chosen one after the other, is planned too, and the better plan is taken.  Equal bins are handled together,
+so a plan has thousands of rows at most: for the pieces of one length, from one rank to another, the bin and the place.
+Ranks are counted in parallel, and each piece looks up its row.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 from .runtime import Scratch, bounded_batches
 
 CAPACITY = 1024
-#: Lengths up to CAPACITY / SMALL_PART are small; large ones form so many groups.
-SMALL_PART, GROUPS = 8, 256
-#: Pieces of a length that one task ranks.
-RANK_RUN = 2000
+#: Large lengths form about so many groups.
+GROUPS = 48
+#: Lengths up to the capacity by so much are small: for the groups, and in turn for the finest grouping.
+SMALL_PART, FINEST_PARTS = 8, (16, 8, 5, 3)
+#: Columns that the linear program may add; its plan is good, if not the best, when it stops there.
+COLUMNS_MOST = 400
+#: Pieces of a length that one task ranks, and parts of a length at most.
+RANK_RUN, RANK_PARTS = 1000, 1 << 16
 
 
 #: Fixed value: the published pattern of byte-level BPE pre-tokens, which the tokenizer files of that kind imply.
@@ -50,7 +55,7 @@ class Encoder:
     ``added_tokens`` gives special tokens of the file that stand in a text their own ids, as the library's plain call does;
     without it they are ordinary text."""
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,7 +69,10 @@ class Encoder:
         byte, vocabulary = _byte_of(), model["vocab"]
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         in_order = all(vocabulary[x] < vocabulary[y] for x, y in pairwise(merged))
-        if in_order and all(c in byte for token in merged for c in token):
+        before = file.get("pre_tokenizer") or {}
+        plain = file.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        plain = plain and not any(model.get(x) for x in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+        if plain and in_order and all(c in byte for token in merged for c in token):
             import tiktoken
 
             tokens = {*byte, *merged}
@@ -116,12 +124,12 @@ def _pieces(path: str, end_id: int, capacity: int, added_tokens: bool):
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, added_tokens: bool = False
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, added_tokens: bool = True
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: the ids of each text and ``end_id``, cut into pieces of ``capacity`` ids
     if there are more; then the first piece may be shorter.  ``ids`` are little-endian unsigned 32-bit numbers.
     ``tokenizer`` is the path of a tokenizers file that every executor has.  A null text is empty: one piece, the end.
-    ``added_tokens``: special tokens that stand in a text have their own ids."""
+    ``added_tokens``: special tokens that stand in a text have their own ids, else they are ordinary text."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_pieces(tokenizer, end_id, capacity, added_tokens), "doc_id long, piece int, start long, length long, ids binary")
@@ -150,13 +158,16 @@ class _Bins:
         if left and count:
             self.free.setdefault(left, []).append((base, count))
 
-    def best_fit(self, length: int, n: int) -> None:
-        """``n`` pieces of a length, each into the bin with the least space that holds it, or else a new one."""
+    def best_fit(self, length: int, n: int, new: bool = True) -> int:
+        """``n`` pieces of a length, each into the bin with the least space that holds it, or else, if ``new``, a new one;
+        returns the number of those that found no place."""
         while n:
             left = min((r for r in self.free if r >= length), default=None)
             if left is None:
+                if not new:
+                    break
                 each = self.capacity // length
-                left, base, count = self.capacity, None, -(-n // each)
+                left, count = self.capacity, -(-n // each)
                 base = self.open(count)
             else:
                 base, count = self.free[left].pop()
@@ -175,6 +186,7 @@ class _Bins:
                 self.leave(left - some * length, base + full, 1)
                 self.leave(left, base + full + 1, count - full - 1)
                 n = 0
+        return n
 
 
 def _fullest(sizes: list[int], counts: list[int], room: int) -> dict[int, int]:
@@ -202,37 +214,9 @@ def _fullest(sizes: list[int], counts: list[int], room: int) -> dict[int, int]:
     return chosen
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rows (length, from rank, to rank, first bin, place) for pieces by length, and the number of bins."""
-    bins = _Bins(capacity)
-    if histogram.get(capacity):
-        bins.put(capacity, bins.open(histogram[capacity]), histogram[capacity], 0)
-    large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if capacity // SMALL_PART < x < capacity and histogram[x]]
-    each = -(-sum(n for _, n in large) // groups) or 1
-    runs: list[list[tuple[int, int]]] = []
-    room = 0
-    for x, n in large:
-        while n:
-            if not room:
-                runs.append([])
-                room = each
-            take = min(n, room)
-            runs[-1].append((x, take))
-            n, room = n - take, room - take
-    sizes, counts = [r[0][0] for r in runs], [sum(n for _, n in r) for r in runs]
-
-    def taken(i: int, n: int) -> list[tuple[int, int]]:
-        out = []
-        while n:
-            x, have = runs[i][0]
-            take = min(n, have)
-            out.append((x, take))
-            n -= take
-            runs[i][0] = (x, have - take)
-            if have == take:
-                runs[i].pop(0)
-        return out
-
+def _greedy(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations (numbers by index of size) and how often to use each: the fullest for the longest size left."""
+    counts, out = list(counts), []
     for i in range(len(sizes)):
         while counts[i]:
             counts[i] -= 1
@@ -243,47 +227,151 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             for k, n in chosen.items():
                 config[left[k]] = config.get(left[k], 0) + n
             times = min(counts[k] // n for k, n in config.items())
-            slots = [taken(k, times) for k, n in config.items() for _ in range(n)]
             for k, n in config.items():
                 counts[k] -= n * times
-            while slots[0]:
-                same = min(s[0][1] for s in slots)
-                base, at = bins.open(same), 0
-                for s in slots:
-                    x, n = s[0]
-                    bins.put(x, base, same, at)
-                    at += x
-                    s[0] = (x, n - same)
-                    if n == same:
-                        s.pop(0)
-                bins.leave(capacity - at, base, same)
-    for x in sorted((x for x in histogram if x <= capacity // SMALL_PART and x != capacity), reverse=True):
+            out.append((config, times))
+    return out
+
+
+def _most_worth(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of the greatest total worth, by dynamic programming over the space used; sizes ascend."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for room in range(int(sizes[0]), capacity + 1):
+        k = fits[room]
+        value = best[room - sizes[:k]] + worth[:k]
+        j = int(value.argmax())
+        if value[j] > best[room - 1] + 1e-15:
+            best[room], last[room] = value[j], j
+        else:
+            best[room] = best[room - 1]
+    config, room = np.zeros(len(sizes)), capacity
+    while room > 0:
+        if last[room] < 0:
+            room -= 1
+        else:
+            config[last[room]] += 1
+            room -= sizes[last[room]]
+    return float(best[capacity]), config
+
+
+def optimal_configurations(sizes: list[int], counts: list[int], capacity: int, most: int = COLUMNS_MOST) -> list[tuple[dict[int, int], float]]:
+    """Configurations and (fractional) numbers of bins that hold ``counts`` pieces of each of ``sizes`` in the fewest bins.
+
+    The linear program over all configurations by column generation: a simplex basis starts with bins of one size each;
+    the configuration of the greatest worth at the current prices enters until none is worth more than a bin."""
+    order = np.argsort(sizes)
+    size, need = np.array(sizes)[order], np.array(counts, dtype=float)[order]
+    each = (capacity // size).astype(float)
+    basis, inverse, bins = np.diag(each), np.diag(1 / each), need / each
+    for _ in range(most):
+        value, config = _most_worth(size, inverse.sum(axis=0), capacity)
+        if value <= 1 + 1e-7:
+            break
+        d = inverse @ config
+        ratio = np.where(d > 1e-9, bins / np.where(d > 1e-9, d, 1), np.inf)
+        p = int(ratio.argmin())
+        step = ratio[p]
+        bins = np.maximum(bins - step * d, 0)
+        bins[p] = step
+        basis[:, p] = config
+        row = inverse[p] / d[p]
+        inverse = inverse - np.outer(d, row)
+        inverse[p] = row
+    return [({int(order[i]): int(n) for i, n in enumerate(basis[:, p]) if n}, float(bins[p])) for p in range(len(size))]
+
+
+def _fill(histogram: dict[int, int], capacity: int, groups: int | None, small: int) -> _Bins:
+    """A plan; ``groups`` is None for the finest grouping, lengths up to ``small`` are small."""
+    bins = _Bins(capacity)
+    if histogram.get(capacity):
+        bins.put(capacity, bins.open(histogram[capacity]), histogram[capacity], 0)
+    large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if small < x < capacity and histogram[x]]
+
+    def use(runs: list[list[tuple[int, int]]], config: dict[int, int], times: int) -> None:
+        """Bins of one configuration, with actual lengths for the sizes of their groups."""
+
+        def taken(i: int) -> list[tuple[int, int]]:
+            out, n = [], times
+            while n:
+                x, have = runs[i][0]
+                take = min(n, have)
+                out.append((x, take))
+                n -= take
+                runs[i][0] = (x, have - take)
+                if have == take:
+                    runs[i].pop(0)
+            return out
+
+        slots = [taken(k) for k, n in config.items() for _ in range(n)]
+        while slots[0]:
+            same = min(s[0][1] for s in slots)
+            base, at = bins.open(same), 0
+            for s in slots:
+                x, n = s[0]
+                bins.put(x, base, same, at)
+                at += x
+                s[0] = (x, n - same)
+                if n == same:
+                    s.pop(0)
+            bins.leave(capacity - at, base, same)
+
+    if groups is not None and large:
+        each, room = -(-sum(n for _, n in large) // groups), 0
+        runs: list[list[tuple[int, int]]] = []
+        for x, n in large:
+            if not room or n >= each:
+                runs.append([])
+                room = each
+            runs[-1].append((x, n))
+            room = max(0, room - n)
+        sizes, counts = [r[0][0] for r in runs], [sum(n for _, n in r) for r in runs]
+        for config, times in optimal_configurations(sizes, counts, capacity):
+            whole = min([int(times + 1e-6), *(counts[k] // n for k, n in config.items())])
+            if whole:
+                for k, n in config.items():
+                    counts[k] -= n * whole
+                use(runs, config, whole)
+        large = [(x, bins.best_fit(x, n, new=False)) for r in runs for x, n in r]
+        large = [(x, n) for x, n in large if n]
+    for config, times in _greedy([x for x, _ in large], [n for _, n in large], capacity):
+        use_runs = [[pair] for pair in large]
+        use(use_runs, config, times)
+        large = [r[0] if r else (x, 0) for r, (x, _) in zip(use_runs, large, strict=True)]
+    for x in sorted((x for x in histogram if x <= small and x != capacity), reverse=True):
         bins.best_fit(x, histogram[x])
-    return bins.rows, bins.opened
+    return bins
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Rows (length, from rank, to rank, first bin, place) for pieces by length, and the number of bins.
+
+    The best of some plans: one of ``groups`` groups, and for each limit of small lengths one of the finest grouping."""
+    plans = (_fill(histogram, capacity, *how) for how in ((groups, capacity // SMALL_PART), *((None, capacity // part) for part in FINEST_PARTS)))
+    best = min(plans, key=lambda bins: bins.opened)
+    return best.rows, best.opened
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a table with a ``length`` (1 to ``capacity``) for each row.
 
     Rows of a sequence fill it without gaps from 0; no row is dropped, cut or repeated.  Equal lengths are interchangeable,
-    so ties, repeated rows and nulls in other columns need no rule.  An empty table gives an empty result."""
+    so ties, repeated rows and nulls in other columns need no rule.  Columns named ``sequence_id`` or ``offset`` are
+    replaced; any other names stay as they are.  An empty table gives an empty result."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = scratch.table(pieces.withColumn("_draw", F.xxhash64(*[c for c, kind in pieces.dtypes if kind != "binary"])), "pieces")
-    histogram = dict(pieces.groupBy("length").agg(F.count("*")).collect())  # at most ``capacity`` rows
-    rows, _ = plan(histogram, capacity, groups)
-    table = spark.createDataFrame(rows, "length long, lo long, hi long, base long, offset long")
-    parts = spark.createDataFrame([(k, max(1, n // RANK_RUN)) for k, n in histogram.items()], "length long, _parts long")
-    ranked = pieces.join(F.broadcast(parts), "length").withColumn("_part", F.pmod("_draw", "_parts")).drop("_parts")
-    counts = ranked.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("length", "_part", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
-    nth = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_draw"))
-    ranked = ranked.withColumn("_nth", nth - 1).join(counts, ["length", "_part"]).withColumn("_rank", F.col("_nth") + F.col("_earlier"))
-    found = ranked.join(F.broadcast(table.withColumnRenamed("length", "_length")), F.expr("length = _length and _rank >= lo and _rank < hi"))
-    return found.withColumn("sequence_id", F.expr("base + _rank - lo")).drop("_draw", "_part", "_nth", "_earlier", "_rank", "_length", "lo", "hi", "base")
-
-
-def crc32_of(ids: bytes) -> int:
-    """What ``crc32`` gives for ``ids``, unsigned."""
-    return zlib.crc32(ids)
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    hashed = [F.col(f"`{c}`") for c, kind in pieces.dtypes if kind != "binary" and "map<" not in kind]
+    rows = scratch.table(pieces.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("piece"), F.col("length"), F.xxhash64(*hashed).alias("draw")), "pieces")
+    histogram = dict(rows.groupBy("length").agg(F.count("*")).collect())  # at most ``capacity`` rows
+    found, _ = plan(histogram, capacity, groups)
+    table = spark.createDataFrame(found, "of_length long, lo long, hi long, base long, offset long")
+    parts = spark.createDataFrame([(k, min(max(1, n // RANK_RUN), RANK_PARTS)) for k, n in histogram.items()], "length long, parts long")
+    ranked = rows.join(F.broadcast(parts), "length").withColumn("part", F.pmod("draw", "parts"))
+    counts = ranked.groupBy("length", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("length", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("draw"))
+    ranked = ranked.withColumn("nth", nth - 1).join(counts, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("earlier"))
+    placed = ranked.join(F.broadcast(table), F.expr("length = of_length and rank >= lo and rank < hi"))
+    return placed.select("piece.*", F.expr("base + rank - lo").alias("sequence_id"), "offset")
