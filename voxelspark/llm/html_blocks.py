@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, their words and link density and those of their neighbours, and a decision
 tree trained on a small labelled table.
 
-A page is cut into blocks at block-level tags.  Besides the counts, a block knows whether it is a heading and what its
-nearest telling container is (an article, a menu, a sidebar, ...).  The tree decides from these which blocks are article.
+A page is cut into blocks at block-level tags.  The tree decides from six counts which blocks are article: words and link
+density of the block, of the one before and of the one after.  An exact check follows: what a page itself declares not to
+be article (menus, sidebars, adverts, comments, ... by element and name) is taken out of the tree's choice, and what it
+declares to be article stays in.  Blocks that a page declares nothing of are the tree's alone.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .runtime import bounded_batches
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: A quote opens a value only after an equals sign, as browsers read it.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+)*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math iframe object textarea select button canvas audio video title head".split())
 #: Those whose content a browser reads as text up to their end tag, or to the end of the page if there is none.
@@ -37,7 +40,6 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _STACKED = BLOCKS - frozenset("p li dd dt hr tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6".split()) | frozenset(("span", "td", "li", "p"))
 #: What closes an open paragraph or list item that has no end tag.
 _IMPLIED = {"p": BLOCKS, "li": frozenset(("li",)), "td": frozenset(("td", "th", "tr"))}
@@ -52,7 +54,12 @@ OUTSIDE_NAMES = frozenset(
     "share sharing social footer header masthead toolbar copyright legal disclaimer complementary contentinfo skip tags meta byline".split()
 )
 INSIDE_NAMES = frozenset("article content main story post entry text body".split())
+#: A name that begins so, or ends so, tells a state of its element, not what the element is; after "with" comes what it has.
+_STATE_BEFORE = frozenset("has no is not show hide allow without".split())
+_STATE_AFTER = frozenset("open opened closed enabled disabled on off allowed hidden visible count".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_OPEN_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
+_HREF = re.compile(r"(?<![^\s\"'/])href(?![^\s=/])", re.IGNORECASE)
 
 
 @dataclass
@@ -60,31 +67,41 @@ class Block:
     text: str
     words: int
     link_density: float
-    heading: bool
-    place: int  # 0 outside the article, 1 unknown, 2 inside
+    place: int  # 0 the page declares it outside the article, 1 nothing, 2 inside
+
+
+def _told(name: str) -> tuple[int, bool] | None:
+    """(place, strong) that one name of a class, an id or a role tells, by its last telling word, or None."""
+    words = [x.lower() for x in _NAME.findall(name)]
+    if "with" in words:
+        words = words[: words.index("with")]
+    if not words or words[0] in _STATE_BEFORE or (len(words) > 1 and words[-1] in _STATE_AFTER):
+        return None
+    for word in reversed(words):
+        if word in STRONG_NAMES:
+            return 0, True
+        if word in OUTSIDE_NAMES:
+            return 0, False
+        if word in INSIDE_NAMES:
+            return 2, False
+    return None
 
 
 def _kind(tag: str, attributes: str) -> tuple[int, bool] | None:
     """(place, strong) that an element tells, or None."""
-    names: set[str] = set()
+    told = []
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 return 0, True
             if name in ("class", "id", "role"):
-                names.update(x.lower() for x in _NAME.findall(value))
-    if names & STRONG_NAMES:
-        return 0, True
-    if tag in OUTSIDE:
+                told += [x for x in map(_told, value.split()) if x]
+    if (0, True) in told or tag in OUTSIDE:
         return 0, True
-    if tag in INSIDE:
-        return 2, False
-    if names & OUTSIDE_NAMES or tag in ("header", "form"):
-        return 0, False
-    if names & INSIDE_NAMES:
+    if (2, False) in told or tag in INSIDE:
         return 2, False
-    return None
+    return (0, False) if told or tag in ("header", "form") else None
 
 
 def _ends(page: str) -> dict[int, int]:
@@ -111,16 +128,21 @@ def _ends(page: str) -> dict[int, int]:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; character references decoded, white space made single."""
+    """Text blocks in page order; character references decoded, white space (by Unicode) made single.
+
+    A link without an end tag ends with its block; an anchor without an address is no link.  Text of a span that is
+    declared outside the article, in a paragraph that is not, goes."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # tag, place, strong
     parts: list[str] = []
     linked: list[str] = []
-    links, heading, pos, n = 0, False, 0, len(page)
+    links, pos, n = 0, 0, len(page)  # links: 1 in a link without end tag, 2 in one with
+    anchors: Iterator[re.Match[str]] | None = None
+    after: re.Match[str] | None = None  # the next tag of a link, start or end
     ends: dict[int, int] | None = None
 
     def flush() -> None:
-        nonlocal heading
+        nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = text.count(" ") + 1
@@ -128,12 +150,15 @@ def blocks(page: str) -> list[Block]:
             place = next((p for _, p, strong in stack if strong), None)
             if place is None:
                 place = next((p for _, p, _ in reversed(stack) if p != 1), 1)
-            out.append(Block(text, words, min(in_links / words, 1.0), heading, place))
+            out.append(Block(text, words, min(in_links / words, 1.0), place))
         parts.clear()
         linked.clear()
-        heading = False
+        if links == 1:
+            links = 0
 
     def add(piece: str) -> None:
+        if any(t == "span" and p == 0 for t, p, _ in stack) and not any(p == 0 for t, p, _ in stack if t != "span"):
+            return
         parts.append(piece)
         if links:
             linked.append(piece)
@@ -181,12 +206,15 @@ def blocks(page: str) -> list[Block]:
             add(" ")
             continue
         if tag == "a":
-            links = 0 if closing else 1
+            links = 0
+            if not closing and not attributes.endswith("/") and _HREF.search(attributes):
+                if anchors is None or after is None or after.start() < pos:
+                    anchors = anchors or _OPEN_LINK.finditer(page)
+                    after = next((x for x in anchors if x.start() >= pos), None)
+                links = 2 if after is not None and after[1] else 1
             continue
         if tag in BLOCKS:
             flush()
-            if tag in HEADINGS:
-                heading = not closing
         if tag in _STACKED:
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
@@ -203,67 +231,43 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-#: Labelled blocks: place, heading, words, link density, words before, density before, words after, density after, article.
+#: Labelled blocks: words, link density, words before, density before, words after, density after, article (1) or not (0).
 LABELLED = (
-    # blocks inside an article container
-    (2, 1, 8, 0.0, 12, 0.0, 60, 0.0, 1),
-    (2, 1, 2, 0.0, 40, 0.0, 55, 0.0, 1),
-    (2, 1, 10, 0.0, 1, 1.0, 30, 0.0, 1),
-    (2, 1, 6, 1.0, 30, 0.0, 30, 0.0, 1),
-    (2, 0, 80, 0.0, 8, 0.0, 70, 0.0, 1),
-    (2, 0, 120, 0.05, 70, 0.0, 1, 0.0, 1),
-    (2, 0, 1, 0.0, 90, 0.0, 60, 0.0, 1),
-    (2, 0, 3, 0.0, 8, 0.0, 2, 0.0, 1),
-    (2, 0, 5, 0.0, 200, 0.0, 12, 0.1, 1),
-    (2, 0, 25, 0.4, 40, 0.0, 33, 0.0, 1),
-    (2, 0, 12, 0.2, 14, 0.0, 0, 0.0, 1),
-    (2, 0, 45, 0.0, 6, 0.0, 15, 0.2, 1),
-    (2, 0, 9, 0.5, 30, 0.0, 41, 0.0, 1),
-    (2, 0, 400, 0.0, 10, 0.0, 7, 0.0, 1),
-    (2, 0, 4, 1.0, 50, 0.0, 44, 0.0, 1),
-    (2, 0, 15, 0.9, 50, 0.0, 44, 0.0, 1),
-    (2, 0, 2, 1.0, 2, 1.0, 3, 1.0, 0),
-    (2, 0, 3, 1.0, 60, 0.0, 2, 1.0, 0),
-    (2, 0, 4, 1.0, 3, 1.0, 0, 0.0, 0),
-    (2, 0, 6, 1.0, 5, 1.0, 12, 0.0, 0),
-    # blocks inside menus, headers, footers, sidebars, notices, adverts, forms, comments
-    (0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0),
-    (0, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0),
-    (0, 0, 2, 1.0, 1, 1.0, 9, 0.0, 0),
-    (0, 0, 9, 0.0, 1, 1.0, 8, 0.0, 0),
-    (0, 0, 14, 0.0, 60, 0.0, 0, 0.0, 0),
-    (0, 0, 12, 0.1, 30, 0.0, 0, 0.0, 0),
-    (0, 0, 60, 0.0, 80, 0.0, 45, 0.0, 0),
-    (0, 0, 35, 0.0, 2, 0.0, 50, 0.0, 0),
-    (0, 0, 150, 0.0, 4, 0.0, 3, 0.0, 0),
-    (0, 0, 22, 0.2, 3, 0.0, 1, 1.0, 0),
-    (0, 1, 2, 0.0, 120, 0.0, 30, 0.0, 0),
-    (0, 1, 3, 0.0, 40, 0.0, 4, 1.0, 0),
-    (0, 1, 4, 1.0, 0, 0.0, 1, 1.0, 0),
-    (0, 0, 4, 0.0, 1, 1.0, 70, 0.0, 0),
-    # blocks of pages that tell nothing about their containers
-    (1, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0),
-    (1, 0, 2, 1.0, 2, 1.0, 2, 1.0, 0),
-    (1, 0, 3, 0.7, 2, 1.0, 60, 0.0, 0),
-    (1, 0, 4, 0.0, 2, 1.0, 1, 1.0, 0),
-    (1, 0, 5, 0.0, 0, 0.0, 2, 1.0, 0),
-    (1, 0, 6, 0.0, 40, 0.0, 2, 1.0, 0),
-    (1, 0, 20, 0.8, 30, 0.0, 22, 0.9, 0),
-    (1, 0, 8, 0.0, 7, 0.6, 0, 0.0, 0),
-    (1, 0, 7, 0.0, 3, 0.0, 2, 0.0, 0),
-    (1, 0, 4, 0.5, 45, 0.0, 0, 0.0, 0),
-    (1, 1, 6, 0.0, 2, 1.0, 50, 0.0, 1),
-    (1, 1, 4, 0.0, 60, 0.0, 80, 0.0, 1),
-    (1, 1, 3, 0.0, 40, 0.0, 3, 1.0, 0),
-    (1, 1, 2, 0.0, 3, 1.0, 2, 1.0, 0),
-    (1, 0, 60, 0.0, 5, 0.0, 55, 0.0, 1),
-    (1, 0, 30, 0.1, 60, 0.0, 4, 1.0, 1),
-    (1, 0, 18, 0.0, 40, 0.0, 40, 0.0, 1),
-    (1, 0, 5, 0.0, 50, 0.0, 44, 0.0, 1),
-    (1, 0, 2, 0.0, 70, 0.0, 30, 0.0, 1),
-    (1, 0, 90, 0.25, 2, 1.0, 2, 1.0, 1),
-    (1, 0, 40, 0.0, 3, 1.0, 25, 0.0, 1),
-    (1, 0, 250, 0.02, 0, 0.0, 0, 0.0, 1),
+    # blocks of a hundred of the supplied pages
+    (1, 1, 0, 0, 1, 1, 0), (1, 1, 1, 1, 1, 1, 0), (1, 1, 1, 1, 5, 0, 0), (5, 0, 1, 1, 4, 0, 0), (4, 0, 5, 0, 4, 0, 1), (4, 0, 4, 0, 31, 0, 1),
+    (31, 0, 4, 0, 16, 0, 1), (16, 0, 31, 0, 82, 0, 1), (82, 0, 16, 0, 67, 0, 1), (67, 0, 82, 0, 93, 0, 1), (93, 0, 67, 0, 2, 0, 1), (2, 0, 93, 0, 63, 0, 1),
+    (63, 0, 2, 0, 35, 0, 1), (35, 0, 63, 0, 25, 0, 1), (25, 0, 35, 0, 1, 0, 1), (1, 0, 25, 0, 26, 0, 1), (26, 0, 1, 0, 12, 0, 1), (12, 0, 26, 0, 21, 0, 1),
+    (21, 0, 12, 0, 94, 0, 1), (94, 0, 21, 0, 74, 0, 1), (74, 0, 94, 0, 8, 0, 1), (8, 0, 74, 0, 0, 0, 0), (1, 1, 1, 1, 12, 0, 0), (12, 0, 1, 1, 8, 0, 0),
+    (8, 0, 12, 0, 8, 0, 1), (8, 0, 8, 0, 1, 0, 1), (1, 0, 8, 0, 24, 0, 1), (24, 0, 1, 0, 1, 0, 1), (1, 0, 24, 0, 29, 0, 1), (29, 0, 1, 0, 68, 0, 1),
+    (68, 0, 29, 0, 80, 0, 1), (80, 0, 68, 0, 15, 0, 1), (15, 0, 80, 0, 121, 0, 1), (121, 0, 15, 0, 8, 0, 1), (8, 0, 121, 0, 1, 0, 1), (1, 0, 8, 0, 10, 0, 1),
+    (10, 0, 1, 0, 0, 0, 0), (1, 1, 1, 1, 9, 0, 0), (9, 0, 1, 1, 10, 0, 0), (10, 0, 9, 0, 44, 0, 1), (44, 0, 10, 0, 108, 0, 1), (108, 0, 44, 0, 16, 0, 1),
+    (16, 0, 108, 0, 76, 0, 1), (76, 0, 16, 0, 47, 0, 1), (47, 0, 76, 0, 9, 0, 1), (9, 0, 47, 0, 7, 0, 1), (7, 0, 9, 0, 80, 0, 1), (80, 0, 7, 0, 15, 0, 1),
+    (15, 0, 80, 0, 0, 0, 0), (9, 0, 1, 1, 6, 0, 0), (6, 0, 9, 0, 107, 0, 1), (107, 0, 6, 0, 7, 0, 1), (7, 0, 107, 0, 15, 0, 1), (15, 0, 7, 0, 0, 0, 0),
+    (1, 1, 1, 1, 8, 0, 0), (8, 0, 1, 1, 11, 0, 0), (11, 0, 8, 0, 13, 0, 1), (13, 0, 11, 0, 71, 0, 1), (71, 0, 13, 0, 32, 0, 1), (32, 0, 71, 0, 64, 0, 1),
+    (64, 0, 32, 0, 11, 0, 1), (11, 0, 64, 0, 0, 0, 0), (1, 1, 1, 1, 10, 0, 0), (10, 0, 1, 1, 10, 0, 0), (10, 0, 10, 0, 75, 0, 1), (75, 0, 10, 0, 12, 0, 1),
+    (12, 0, 75, 0, 49, 0, 1), (49, 0, 12, 0, 35, 0, 1), (35, 0, 49, 0, 234, 0, 1), (234, 0, 35, 0, 9, 0, 1), (9, 0, 234, 0, 203, 0, 1),
+    (203, 0, 9, 0, 62, 0, 1), (62, 0, 203, 0, 54, 0, 1), (54, 0, 62, 0, 62, 0, 1), (62, 0, 54, 0, 143, 0, 1), (143, 0, 62, 0, 5, 0, 1), (5, 0, 143, 0, 7, 0, 1),
+    (7, 0, 5, 0, 0, 0, 0), (9, 0, 1, 1, 11, 0, 0), (11, 0, 9, 0, 75, 0, 1), (75, 0, 11, 0, 8, 0, 1), (8, 0, 75, 0, 12, 0, 1), (12, 0, 8, 0, 123, 0, 1),
+    (123, 0, 12, 0, 1, 0, 1), (1, 0, 123, 0, 9, 0, 1), (9, 0, 1, 0, 11, 0, 1), (11, 0, 9, 0, 0, 0, 0), (1, 1, 1, 1, 4, 0, 0), (4, 0, 1, 1, 8, 0, 0),
+    (8, 0, 4, 0, 8, 0, 1), (8, 0, 8, 0, 4, 0, 1), (4, 0, 8, 0, 8, 0, 1), (8, 0, 4, 0, 9, 0, 1), (9, 0, 8, 0, 0, 0, 0), (1, 1, 1, 1, 13, 0, 0),
+    (13, 0, 1, 1, 4, 0, 0), (4, 0, 13, 0, 4, 0, 1), (4, 0, 4, 0, 14, 0, 1), (14, 0, 4, 0, 32, 0, 1), (32, 0, 14, 0, 44, 0, 1), (44, 0, 32, 0, 1, 0, 1),
+    (1, 0, 44, 0, 52, 0, 1), (52, 0, 1, 0, 38, 0, 1), (38, 0, 52, 0, 42, 0, 1), (42, 0, 38, 0, 275, 0, 1), (275, 0, 42, 0, 102, 0, 1),
+    (102, 0, 275, 0, 9, 0, 1), (9, 0, 102, 0, 8, 0, 1), (8, 0, 9, 0, 0, 0, 0), (1, 1, 1, 1, 6, 0, 0), (6, 0, 1, 1, 11, 0, 0), (11, 0, 6, 0, 26, 0, 1),
+    (26, 0, 11, 0, 54, 0, 1), (54, 0, 26, 0, 11, 0, 1), (11, 0, 54, 0, 0, 0, 0), (6, 0, 1, 1, 14, 0, 0), (14, 0, 6, 0, 70, 0, 1), (70, 0, 14, 0, 13, 0, 1),
+    (13, 0, 70, 0, 0, 0, 0), (6, 0, 1, 1, 4, 0, 0), (4, 0, 6, 0, 4, 0, 1), (14, 0, 4, 0, 2, 0, 1), (2, 0, 14, 0, 20, 0, 1), (20, 0, 2, 0, 25, 0, 1),
+    (25, 0, 20, 0, 2, 0, 1), (2, 0, 25, 0, 48, 0, 1), (48, 0, 2, 0, 17, 0, 1), (17, 0, 48, 0, 90, 0, 1), (90, 0, 17, 0, 32, 0, 1), (32, 0, 90, 0, 11, 0, 1),
+    (11, 0, 32, 0, 25, 0, 1), (25, 0, 11, 0, 58, 0, 1), (58, 0, 25, 0, 9, 0, 1), (9, 0, 58, 0, 16, 0, 1), (16, 0, 9, 0, 0, 0, 0), (4, 0, 1, 1, 9, 0, 0),
+    (9, 0, 4, 0, 9, 0, 1), (9, 0, 9, 0, 54, 0, 1), (54, 0, 9, 0, 57, 0, 1), (57, 0, 54, 0, 10, 0, 1), (10, 0, 57, 0, 11, 0, 1), (11, 0, 10, 0, 0, 0, 0),
+    (13, 0, 1, 1, 11, 0, 0), (11, 0, 13, 0, 31, 0, 1), (31, 0, 11, 0, 51, 0, 1), (51, 0, 31, 0, 23, 0, 1), (23, 0, 51, 0, 77, 0, 1), (77, 0, 23, 0, 3, 0, 1),
+    (3, 0, 77, 0, 5, 0, 1), (5, 0, 3, 0, 87, 0, 1), (87, 0, 5, 0, 10, 0, 1), (10, 0, 87, 0, 8, 0, 1), (8, 0, 10, 0, 0, 0, 0), (1, 1, 1, 1, 7, 0, 0),
+    (7, 0, 1, 1, 8, 0, 0), (8, 0, 7, 0, 8, 0, 1), (8, 0, 8, 0, 77, 0, 1), (77, 0, 8, 0, 36, 0, 1), (36, 0, 77, 0, 11, 0, 1), (11, 0, 36, 0, 9, 0, 1),
+    (9, 0, 11, 0, 37, 0, 1), (37, 0, 9, 0, 117, 0, 1), (117, 0, 37, 0, 196, 0, 1), (196, 0, 117, 0, 15, 0, 1), (15, 0, 196, 0, 174, 0, 1),
+    # blocks of pages that declare nothing: menus, lists of links, captions, paragraphs
+    (18, 0, 1, 1, 19, 0, 1), (20, 0, 3, 1, 18, 0, 1), (17, 0, 1, 1, 24, 0, 1), (18, 0, 20, 0, 2, 1, 1), (17, 0, 22, 0, 1, 1, 1),
+    (1, 1, 0, 0, 1, 1, 0), (2, 1, 2, 1, 2, 1, 0), (3, 0.7, 2, 1, 60, 0, 0), (4, 0, 2, 1, 1, 1, 0), (5, 0, 0, 0, 2, 1, 0), (6, 0, 40, 0, 2, 1, 0),
+    (20, 0.8, 30, 0, 22, 0.9, 0), (8, 0, 7, 0.6, 0, 0, 0), (7, 0, 3, 0, 2, 0, 0), (4, 0.5, 45, 0, 0, 0, 0), (6, 0, 2, 1, 50, 0, 1), (4, 0, 60, 0, 80, 0, 1),
+    (3, 0, 40, 0, 3, 1, 0), (2, 0, 3, 1, 2, 1, 0), (60, 0, 5, 0, 55, 0, 1), (30, 0.1, 60, 0, 4, 1, 1), (18, 0, 40, 0, 40, 0, 1), (5, 0, 50, 0, 44, 0, 1),
+    (2, 0, 70, 0, 30, 0, 1), (90, 0.25, 2, 1, 2, 1, 1), (40, 0, 3, 1, 25, 0, 1), (250, 0.02, 0, 0, 0, 0, 1),
 )
 
 
@@ -311,20 +315,29 @@ class Tree:
 TREE = Tree(LABELLED)
 
 
-def is_article(found: list[Block], tree: Tree = TREE) -> np.ndarray:
-    """Which blocks of a page are article, by their own counts and their neighbours'."""
-    if not found:
-        return np.zeros(0, dtype=bool)
+def features(found: list[Block]) -> np.ndarray:
+    """Words and link density of each block, of the one before and of the one after; 0 where there is none."""
     words, density = np.array([b.words for b in found], dtype=float), np.array([b.link_density for b in found])
     before, after = (lambda v: np.concatenate([[0.0], v[:-1]])), (lambda v: np.concatenate([v[1:], [0.0]]))
-    own = [np.array([b.place for b in found], dtype=float), np.array([b.heading for b in found], dtype=float), words, density]
-    return tree.decide(np.column_stack([*own, before(words), before(density), after(words), after(density)]))
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density)])
+
+
+def is_article(found: list[Block], tree: Tree = TREE) -> tuple[np.ndarray, np.ndarray]:
+    """Which blocks of a page the tree takes for article, and which are article after the check of what the page declares.
+
+    Inside a declared article the check keeps what the tree leaves, but for blocks of nothing but links among their like."""
+    if not found:
+        return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+    x, place = features(found), np.array([b.place for b in found])
+    chosen = tree.decide(x).astype(bool)
+    links = (x[:, 1] == 1) & ((x[:, 3] == 1) | (x[:, 5] == 1))
+    return chosen, (chosen & (place != 0)) | ((place == 2) & ~links)
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, joined by an empty line."""
     found = blocks(page) if page else []
-    return "\n\n".join(b.text for b, keep in zip(found, is_article(found), strict=True) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found, is_article(found)[1], strict=True) if keep)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,24 +345,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, sizes = [], []
         for page in batch.column(2).to_pylist():
             found = blocks(page) if page else []
-            keep = is_article(found)
+            chosen, keep = is_article(found)
             texts.append("\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k))
-            sizes.append((len(found), int(keep.sum())))
+            sizes.append((len(found), int(chosen.sum()), int(keep.sum())))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array([s[k] for s in sizes], pa.int32()) for k in range(2))],
-            ["page_id", "url", "text", "n_blocks", "n_kept"],
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array([s[k] for s in sizes], pa.int32()) for k in range(3))],
+            ["page_id", "url", "text", "n_blocks", "n_chosen", "n_kept"],
         )
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars, n_blocks, n_kept)`` for each row of ``pages``.
+    """``(page_id, url, text, n_chars, n_blocks, n_chosen, n_kept)`` for each row of ``pages``: blocks of the page, those
+    that the tree takes for article, and those that ``text`` holds.
 
     ``text`` is the article without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and
-    comments; character references are decoded, white space in a block is one space, blocks are joined by two line feeds.
+    comments; character references are decoded, white space in a block (that of Unicode) is one space, blocks are joined by
+    two line feeds.
     Null and empty pages, and pages without an article, give an empty text.  Broken markup is read as far as it goes: after
     a script, style, textarea, title or iframe without its end tag there is no text, as in a browser; other tags without one
     drop nothing.  A page of any length is read whole.  Ids and addresses may be null or repeat.  Other columns are not read."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = rows.mapInArrow(_rows, "page_id long, url string, text string, n_blocks int, n_kept int")
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+    found = rows.mapInArrow(_rows, "page_id long, url string, text string, n_blocks int, n_chosen int, n_kept int")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_chosen", "n_kept")
