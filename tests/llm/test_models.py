@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from voxelspark.llm import html_blocks, ordinal_quality, perspectives, toxicity
-from voxelspark.llm.hashed_text import linear_scores
+from voxelspark.llm.hashed_text import SLOTS, Rows, linear_scores
 
 DOCS = "doc_id long, text string, score double, held_out string, y int"
 
@@ -62,6 +62,92 @@ def test_swaps_spare_neutral_mentions():
     assert toxicity.swapped("A Muslim, and menhir") == "A jewish, and menhir"
 
 
+def slope_by_hand(f, theta, at, h=1e-5):
+    up, down = theta.copy(), theta.copy()
+    up[at] += h
+    down[at] -= h
+    return (f(up) - f(down)) / (2 * h)
+
+
+def test_toxicity_loss_by_hand():
+    texts, toxic = ["you idiot women", "plain words here", "plain muslim idiot", ""], np.array([1.0, 0.0, 1.0, 0.0])
+    weight, swap = np.array([0.1, 0.4, 0.2, 0.3]), 3.0
+    x, change = Rows(texts, toxicity.PREFIXES, "count", False), toxicity.Changes(texts)
+    others = [toxicity.counterfactual(t, i) for i, t in enumerate(texts)]
+    assert others[0] == "you idiot men" and others[2] == "plain jewish idiot" and all(len(o) > len(t) for o, t in zip(others[1::2], texts[1::2]))
+    rng = np.random.default_rng(5)
+    w, b = rng.normal(size=SLOTS) * 0.3, 0.2
+    score = lambda ts: linear_scores(pa.array(ts), w.astype(np.float64), toxicity.PREFIXES, "count", False) + b
+    plain, other = score(texts), score(others)
+    nll = lambda z: -(toxic * np.log(1 / (1 + np.exp(-z))) + (1 - toxic) * np.log(1 - 1 / (1 + np.exp(-z))))
+    loss, g, gb = toxicity.loss_and_gradient(x, change, toxic, weight, swap, w, b)
+    assert loss == pytest.approx((weight * (nll(plain) + nll(other))).sum() / 2 + swap * np.mean((other - plain) ** 2), rel=1e-5)
+    f = lambda v: toxicity.loss_and_gradient(x, change, toxic, weight, swap, v, b)[0]
+    for at in {*x.slot.tolist(), *change.slot.tolist()}:
+        assert g[at] == pytest.approx(slope_by_hand(f, w, at), abs=1e-6)
+    assert gb == pytest.approx(slope_by_hand(lambda v: toxicity.loss_and_gradient(x, change, toxic, weight, swap, w, v[0])[0], np.array([b]), 0), abs=1e-6)
+
+
+def test_ordinal_loss_by_hand():
+    texts, grade = ["a b c", "A! B! C!", "d e f", "G! h I!", ""], np.array([2, 0, 2, 1, 0])
+    weight = np.array([0.3, 0.1, 0.2, 0.2, 0.2])
+    x = Rows(texts, ordinal_quality.PREFIXES, "share", True)
+    rng = np.random.default_rng(6)
+    w, p = rng.normal(size=SLOTS), np.array([-0.4, 0.3])
+    cut = [-0.4, -0.4 + np.exp(0.3)]
+    score = linear_scores(pa.array(texts), w, ordinal_quality.PREFIXES, "share", True)
+    tail = lambda s, k: 1.0 if k == 0 else 0.0 if k == 3 else 1 / (1 + np.exp(cut[k - 1] - s))
+    want = -sum(v * np.log(tail(s, g) - tail(s, g + 1)) for v, s, g in zip(weight, score, grade))
+    loss, dw, dp = ordinal_quality.loss_and_gradient(x, grade, weight, w, p)
+    assert loss == pytest.approx(want, rel=1e-6)
+    for at in set(x.slot.tolist()):
+        assert dw[at] == pytest.approx(slope_by_hand(lambda v: ordinal_quality.loss_and_gradient(x, grade, weight, v, p)[0], w, at), abs=1e-6)
+    for at in range(2):
+        assert dp[at] == pytest.approx(slope_by_hand(lambda v: ordinal_quality.loss_and_gradient(x, grade, weight, w, v)[0], p, at), abs=1e-6)
+
+
+def test_mentions_of_groups_in_the_supplied_documents():
+    """A biased sample (toxic texts name groups more often) and neutral held-out texts that name one, in four languages."""
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist() if r["toxic"] is not None}
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist() if r["doc_id"] in labels and r["text"]]
+    rng = random.Random(8)
+    names = {"en": "muslims", "de": "muslime", "fr": "musulmans", "es": "musulmanes"}
+    learn, tested = [], []
+    for i, text, lang in docs:
+        named = f"{text} {names[lang]}"
+        if held(i) and not labels[i]:
+            tested.append((named, lang))
+        elif not held(i) and (labels[i] or rng.random() < 0.35):
+            learn.append((named if rng.random() < (0.8 if labels[i] else 0.02) else text, labels[i]))
+    texts, y = [t for t, _ in learn], np.array([v for _, v in learn], dtype=float)
+    assert len(toxicity.Changes(texts).value) and (np.bincount(toxicity.Changes(texts).row, minlength=len(texts)) > 0).all()  # every row has a counterfactual
+    wrong = {}
+    for swap in (0.0, 5.0):
+        w, b = toxicity.fit(texts, y, np.ones(len(y)), swap)
+        score = linear_scores(pa.array([t for t, _ in tested]), w, toxicity.PREFIXES, "count", False) + b
+        wrong[swap] = {lang: np.mean([s >= 0 for s, (_, x) in zip(score, tested) if x == lang]) for lang in names}
+    print("neutral mentions marked, without and with the penalty:", wrong, len(tested), len(texts))
+    assert all(wrong[5.0][x] <= min(wrong[0.0][x], 0.03) for x in names)
+    assert np.mean(list(wrong[5.0].values())) < np.mean(list(wrong[0.0].values()))
+
+
+def test_repeated_rows_and_ties(spark):
+    """Repeated documents get equal scores and do not weigh more in the fit; a very long text is scored whole."""
+    rows = labelled(120)
+    long = "plain1 " * 300_000 + "idiot scum moron " * 300_000
+    docs = [(i, t, 0.0, "x", 1) for i, t, _ in rows]
+    labels = spark.createDataFrame([(i, int(not b), int(b)) for i, _, b in rows] * 2, "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame([*docs, (9000, long, 0.0, "x", 1)], DOCS)
+    twice = spark.createDataFrame([*docs, *docs, (9000, long, 0.0, "x", 1)], DOCS)
+    for run in (
+        lambda d: toxicity.toxicity(d, labels).select("doc_id", "score"),
+        lambda d: ordinal_quality.ordinal_quality(d, labels.selectExpr("doc_id", "quality as grade"), 2).select("doc_id", "expected_grade"),
+    ):
+        a, b = {tuple(r) for r in run(once).collect()}, [tuple(r) for r in run(twice).collect()]
+        assert set(b) == a and len(b) == 241
+    assert toxicity.toxicity(once, labels).where("doc_id = 9000").first()["predicted"] == 1
+
+
 def test_ordinal_grades(spark):
     rng = random.Random(2)
     rows, grades = [], []

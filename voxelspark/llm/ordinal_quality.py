@@ -26,6 +26,19 @@ def thresholds_of(p: np.ndarray) -> np.ndarray:
     return p[0] + np.concatenate([[0.0], np.cumsum(np.exp(p[1:]))])
 
 
+def loss_and_gradient(x: Rows, grade: np.ndarray, weight: np.ndarray, w: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log likelihood of grades, its gradient by the weights and by the thresholds' parameters."""
+    t, s, n = thresholds_of(p), x.times(w), len(p)
+    upper = np.column_stack([np.ones(len(s)), sigmoid(s[:, None] - t[None, :]), np.zeros(len(s))])  # P(grade >= j)
+    at = np.arange(len(s))
+    a, c = upper[at, grade], upper[at, grade + 1]
+    chance = np.maximum(a - c, 1e-12)
+    da, dc = a * (1 - a), c * (1 - c)  # 0 at both ends
+    dt = np.array([(weight * (da * (grade == j + 1) - dc * (grade == j)) / chance).sum() for j in range(n)])
+    dp = np.concatenate([[dt.sum()], [dt[j:].sum() * np.exp(p[j]) for j in range(1, n)]])
+    return float(-(weight * np.log(chance)).sum()), x.transposed(-weight * (da - dc) / chance), dp
+
+
 def fit(texts: list[str], grade: np.ndarray, grades: int, weight: np.ndarray, l2: float = 1e-4, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Weights and the ``grades - 1`` ascending thresholds of the likeliest model."""
     x = Rows(texts, PREFIXES, "share", True)
@@ -33,24 +46,12 @@ def fit(texts: list[str], grade: np.ndarray, grades: int, weight: np.ndarray, l2
     weight = weight / weight.sum()
     tail = np.array([np.clip((weight * (grade >= k)).sum(), 1e-3, 1 - 1e-3) for k in range(1, grades)])
     cut = np.log((1 - tail) / tail)
-    params = np.concatenate([[cut[0]], np.log(np.maximum(np.diff(cut), 1e-2))])
-    theta = np.concatenate([np.zeros(SLOTS), params])
+    theta = np.concatenate([np.zeros(SLOTS), [cut[0]], np.log(np.maximum(np.diff(cut), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
-        w, p = theta[:SLOTS], theta[SLOTS:]
-        t = thresholds_of(p)
-        s = x.times(w)
-        upper = np.column_stack([np.ones(len(s)), sigmoid(s[:, None] - t[None, :]), np.zeros(len(s))])  # P(grade >= j)
-        at = np.arange(len(s))
-        a, c = upper[at, grade], upper[at, grade + 1]
-        chance = np.maximum(a - c, 1e-12)
-        da, dc = a * (1 - a), c * (1 - c)  # 0 at both ends
-        ds = -weight * (da - dc) / chance
-        dt = np.zeros(grades - 1)
-        for j in range(grades - 1):
-            dt[j] = (weight * (da * (grade == j + 1) - dc * (grade == j)) / chance).sum()
-        dp = np.concatenate([[dt.sum()], [dt[j:].sum() * np.exp(p[j]) for j in range(1, grades - 1)]])
-        g = np.concatenate([x.transposed(ds) * seen + l2 * w, dp])
+        w = theta[:SLOTS]
+        _, dw, dp = loss_and_gradient(x, grade, weight, w, theta[SLOTS:])
+        g = np.concatenate([dw * seen + l2 * w, dp])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.3 / np.sqrt(k) * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     return theta[:SLOTS], thresholds_of(theta[SLOTS:])

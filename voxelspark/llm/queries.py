@@ -19,9 +19,13 @@ def public_tokenizer(name: str) -> str:
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 low quality, 1 good but toxic, 2 good.  Kept: grade 1 or better is likelier than not."""
-    ratings = read(spark, sf_dir, "labels").select("doc_id", F.expr("quality * (2 - toxic)").alias("grade"))
-    return ordinal_quality.ordinal_quality(read(spark, sf_dir, "documents"), ratings, grades=3, select_grade=1, least_tail=0.5)
+    """Grades: 0 low quality, 1 good but thin (fewer than 100 words, or a line again), 2 good.  Kept: 1 or better is likelier
+    than not."""
+    docs = read(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    thin = (F.regexp_count("text", F.lit(mixing.WORD)) < 100) | (F.size(F.array_distinct(lines)) < F.size(lines))
+    ratings = docs.select("doc_id", F.when(thin, 1).otherwise(2).alias("good")).join(read(spark, sf_dir, "labels"), "doc_id")
+    return ordinal_quality.ordinal_quality(docs, ratings.select("doc_id", (F.col("quality") * F.col("good")).alias("grade")), grades=3, select_grade=1, least_tail=0.5)
 
 
 def op2_html_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity by a counterfactually regularised classifier.
 
-Logistic regression on hashed words and word beginnings.  Identity terms in the labelled texts are swapped for other terms
-of their group, and the squared change of the score between a text and its swapped form is added to the loss, so that
-the terms themselves cannot carry weight and neutral mentions of a group are not marked.
+Logistic regression on hashed words and word beginnings.  Every labelled text has a counterfactual: identity terms that
+it holds are swapped for other terms of their group, and a text that names no group gets a mention of one.  The
+counterfactuals are learnt with the label of their text, and the squared change of the score between the two is added to
+the loss, so that the terms themselves cannot carry weight and neutral mentions of a group are not marked.
 """
 
 from __future__ import annotations
@@ -32,6 +33,21 @@ IDENTITY_TERMS = (
     ("immigrants", "natives", "refugees", "foreigners"),
     ("disabled", "blind", "deaf", "autistic"),
     ("old", "young", "elderly"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "atheisten"),
+    ("schwarze", "weiße", "türken", "araber"),
+    ("ausländer", "einwanderer", "flüchtlinge", "einheimische"),
+    ("behinderte", "blinde", "alte", "schwule"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "athées"),
+    ("noirs", "blancs", "arabes", "asiatiques"),
+    ("étrangers", "immigrés", "réfugiés", "autochtones"),
+    ("handicapés", "aveugles", "vieux", "homosexuels"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("cristianos", "musulmanes", "judíos", "ateos"),
+    ("negros", "árabes", "asiáticos", "latinos"),
+    ("extranjeros", "inmigrantes", "refugiados", "nativos"),
+    ("discapacitados", "ciegos", "ancianos", "gais"),
 )
 _NEXT = {t: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, t in enumerate(g)}
 _TERM = re.compile(r"(?<![^\W_])(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
@@ -45,30 +61,73 @@ def swapped(text: str) -> str:
     return _TERM.sub(lambda m: _NEXT[m[0].lower()], text)
 
 
+def mention(k: int) -> str:
+    """The ``k``-th term, over all groups in turn, so that terms of all languages come equally often."""
+    group = IDENTITY_TERMS[k % len(IDENTITY_TERMS)]
+    return group[k // len(IDENTITY_TERMS) % len(group)]
+
+
+def counterfactual(text: str, k: int) -> str:
+    """The text with its identity terms swapped, or, if it names no group, with the ``k``-th mention in its middle."""
+    if _TERM.search(text):
+        return swapped(text)
+    at = text.find(" ", len(text) // 2)
+    at = len(text) if at < 0 else at
+    return f"{text[:at]} {mention(k)}{text[at:]}"
+
+
+class Changes:
+    """Sparse rows of what features change from each text to its counterfactual."""
+
+    def __init__(self, texts: list[str]):
+        rows, slots, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for lo in range(0, len(texts), 500):
+            part = texts[lo : lo + 500]
+            x, z = Rows(part, PREFIXES, "count", False), Rows([counterfactual(t, lo + i) for i, t in enumerate(part)], PREFIXES, "count", False)
+            key, at = np.unique(np.concatenate([x.row, z.row]) * SLOTS + np.concatenate([x.slot, z.slot]), return_inverse=True)
+            value = np.bincount(at, weights=np.concatenate([-x.value, z.value]), minlength=len(key))
+            live = np.abs(value) > 1e-6
+            rows.append(key[live] // SLOTS + lo)
+            slots.append(key[live] % SLOTS)
+            values.append(value[live])
+        self.row, self.slot, self.value, self.n = np.concatenate(rows), np.concatenate(slots), np.concatenate(values), len(texts)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.slot] * self.value, minlength=self.n)
+
+    def transposed(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.slot, weights=g[self.row] * self.value, minlength=SLOTS)
+
+
+def loss_and_gradient(x: Rows, change: Changes, toxic: np.ndarray, weight: np.ndarray, swap: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """Log loss over texts and counterfactuals (a half each) plus ``swap`` times the mean squared change of the score, its
+    gradient by the weights and by the intercept.  ``weight`` sums to 1."""
+    score, moved = x.times(w) + b, change.times(w)
+    log_loss = lambda z: np.logaddexp(0, z) - toxic * z
+    loss = float((weight * (log_loss(score) + log_loss(score + moved))).sum() / 2 + swap * (moved**2).mean())
+    own, other = (weight * (sigmoid(z) - toxic) / 2 for z in (score, score + moved))
+    g = x.transposed(own + other) + change.transposed(other + 2 * swap / len(moved) * moved)
+    return loss, g, float((own + other).sum())
+
+
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, swap: float = 5.0, l1: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the minimum of weighted log loss, the penalty ``swap`` on score changes, and ``l1``."""
-    x = Rows(texts, PREFIXES, "count", False)
-    other = [i for i, t in enumerate(texts) if _TERM.search(t)]
-    y_rows, z_rows = Rows([texts[i] for i in other], PREFIXES, "count", False), Rows([swapped(texts[i]) for i in other], PREFIXES, "count", False)
-    seen = np.bincount(x.slot, minlength=SLOTS) >= 2
-    scale = np.where(seen, 1.0, 0.0)
+    """Weights and intercept of the minimum of weighted log loss, the penalty ``swap`` on score changes, and ``l1``.
+
+    Slots that no two texts share keep the weight 0, but for those that counterfactuals change."""
+    x, change = Rows(texts, PREFIXES, "count", False), Changes(texts)
+    scale = np.where((np.bincount(x.slot, minlength=SLOTS) >= 2) | (np.bincount(change.slot, minlength=SLOTS) >= 2), 1.0, 0.0)
     weight = weight / weight.sum()
     w, m, v = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(SLOTS)
     rate = float(np.clip((weight * toxic).sum(), 1e-3, 1 - 1e-3))
     b = float(np.log(rate / (1 - rate)))
     bm = bv = 0.0
     for k in range(1, steps + 1):
-        error = weight * (sigmoid(x.times(w) + b) - toxic)
-        g = x.transposed(error)
-        if other:
-            change = (z_rows.times(w) - y_rows.times(w)) * (2 * swap / len(texts))
-            g += z_rows.transposed(change) - y_rows.transposed(change)
+        _, g, gb = loss_and_gradient(x, change, toxic, weight, swap, w, b)
         g *= scale
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 / np.sqrt(k) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
         w = w - step * m / (1 - 0.9**k)
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        gb = float(error.sum())
         bm, bv = 0.9 * bm + 0.1 * gb, 0.99 * bv + 0.01 * gb * gb
         b -= 0.1 / np.sqrt(k) * bm / (1 - 0.9**k) / (np.sqrt(bv / (1 - 0.99**k)) + 1e-6)
     return w, b
@@ -80,7 +139,9 @@ def held_out(id_col: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most ``most`` learnable rows of each label; weights restore the labels' shares."""
+    """Texts, labels and weights of at most ``most`` learnable rows of each label; weights restore the labels' shares.
+
+    Of rows that share an id the least text counts, so that the sample keeps its bound."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out(F.col("doc_id")))
     counts = dict(usable.groupBy("y").agg(F.count("*")).collect())
@@ -91,7 +152,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     if chosen is None:
         return [], np.zeros(0), np.zeros(0)
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    rows = pairs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = pairs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = rows["y"].to_numpy()
     taken = {k: max(1, int((y == k).sum())) for k in counts}
     return rows["text"].to_pylist(), y, np.array([counts[k] / taken[k] for k in y.tolist()], dtype=np.float64)
