@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +188,65 @@ def test_repeats_of_small_texts(texts):
     assert got == [repeats(t)[:7] for t in texts]
 
 
+def maximal_repeats_by_hand(words, least):
+    """{substring: places} of those that no word before or behind all places extends."""
+    found = {}
+    for m in range(least, len(words)):
+        places = collections.defaultdict(list)
+        for i in range(len(words) - m + 1):
+            places[tuple(words[i : i + m])].append(i)
+        for s, at in places.items():
+            before = {words[i - 1] if i else None for i in at}
+            behind = {words[i + m] if i + m < len(words) else (None, i) for i in at}
+            if len(at) > 1 and (len(before) > 1 or None in before) and len(behind) > 1:
+                found[s] = at
+    return found
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=24), min_size=1, max_size=4), st.integers(1, 3), st.sampled_from([0, 1 << 20]))
+def test_intervals_are_repeats(texts, least, most):
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    key = textcore.mix64(np.array([k * 10 + w + 1 for k, t in enumerate(texts) for w in t], dtype=np.uint64))
+    suffixes, lcp = repetition.common_prefixes(key, text, repetition.suffix_ranks(key, text, most))
+    flat = [(k, w) for k, t in enumerate(texts) for w in t]
+    ends = [sum(len(x) for x in texts[: k + 1]) for k, _ in flat]
+    for a, b, n in zip(suffixes[:-1], suffixes[1:], lcp[1:]):
+        x, y = flat[a : ends[a]], flat[b : ends[b]]
+        assert n == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    length, first, last, parent, _ = repetition.intervals(lcp, least)
+    found = {tuple(flat[suffixes[a] : suffixes[a] + n]): sorted(suffixes[a : b + 1].tolist()) for n, a, b in zip(length, first, last)}
+    assert all(length[p] < n and first[p] <= a and last[p] >= b for n, a, b, p in zip(length, first, last, parent) if p >= 0)
+    reach, want, start = repetition.repeated_reach(key, text, least, most), np.zeros(len(flat), dtype=bool), 0
+    for k, t in enumerate(texts):
+        for s, at in maximal_repeats_by_hand(t, least).items():
+            assert found[tuple((k, w) for w in s)] == [start + i for i in at]
+            for i in at:
+                want[start + i : start + i + len(s)] = True
+                assert reach[start + i] >= len(s)
+        start += len(t)
+    assert (repetition.covered(reach, least) == want).all()
+
+
+LONG_TEXT = """
+import resource, sys
+import pyarrow as pa
+from voxelspark.llm import repetition, textcore
+phrase = " ".join(f"word{i:020d}" for i in range(1000)) + " "
+text = phrase * (20_000_000 // len(phrase))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = repetition.measures(next(textcore.passes(pa.array([text])))[2], 5)
+n = text.count(" ")
+assert found["n_repeat_words"].tolist() == [n] and found["longest_repeat"].tolist() == [n - 1000]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_a_long_text_that_repeats_itself_takes_memory_in_proportion():
+    out = subprocess.run([sys.executable, "-c", LONG_TEXT], capture_output=True, text=True, check=True).stdout
+    assert int(out.split()[-1]) < 320  # MB, for 20 MB of text
+
+
 def test_rules_on_rows(spark):
     clean = " ".join(f"w{i}" for i in range(150))
     long = " ".join(f"v{i}" for i in range(60))

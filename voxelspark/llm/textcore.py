@@ -69,9 +69,9 @@ class Words:
 
     def code_points(self) -> np.ndarray:
         """Number of code points of each word."""
-        lead = np.zeros(self.n_bytes + 1, dtype=np.int64)
+        lead = np.zeros(self.n_bytes + 1, dtype=np.int32 if self.n_bytes < 1 << 31 else np.int64)
         np.cumsum((self.bytes[: self.n_bytes] & 0xC0) != 0x80, out=lead[1:])
-        return lead[self.ends] - lead[self.starts]
+        return (lead[self.ends] - lead[self.starts]).astype(np.int64)
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
