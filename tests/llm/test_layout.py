@@ -53,6 +53,14 @@ def test_shards_by_hand(spark):
     assert sharding.hash_tree_shards(spark.createDataFrame([], SCHEMA), tree).isEmpty()
 
 
+@pytest.mark.parametrize("shards", [1, 3, 5])
+def test_fewer_shards_than_racks(spark, shards):
+    rows = sharding.hash_tree_shards(spark.range(600).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), sharding.even_tree(shards)).collect()
+    count = collections.Counter(r["shard"] for r in rows)
+    assert sorted(count) == list(range(shards)) and min(count.values()) > 300 // shards
+    assert all(r["shard"] == shard_by_hand(r["doc_id"], sharding.even_tree(shards)) for r in rows[:100])
+
+
 def test_changed_weight_moves_rows_only_into_its_subtree(spark):
     tree = [("a", [("x", [(0, 1), (1, 1)]), ("y", [(2, 2)])]), ("b", [("z", [(3, 1), (4, 0)])])]
     more = [("a", [("x", [(0, 1), (1, 3)]), ("y", [(2, 2)])]), tree[1]]

@@ -314,13 +314,14 @@ def render(turns, speaker):
 def test_every_participant_gets_a_view(spark):
     rows = [(1, 2, "bob", "é two"), (1, 1, "amy", "one"), (1, 0, "system", "rules"), (1, 3, "eve", None), (1, 3, None, "who?"), (1, 4, "amy", "bye"), (1, 4, "amy", "bye"), (2, 0, None, "alone"), (None, 0, "amy", "x"), (None, 1, "bob", "<|assistant|>\ny")]
     rows += [(3, i, "ab"[i % 2], f"turn {i}") for i in range(600)]
+    rows += [(4, -100, "amy", "long before"), (4, None, "bob", "no number"), (4, -1, None, "just before"), (4, 0, "bob", "zero"), (4, 1 << 40, "amy", "late " * 200_000)]
     got = perspectives.rotate_perspectives(spark.createDataFrame([(*r, 0, "r") for r in rows], "conv_id long, turn long, role string, text string, start int, run string")).collect()
     dialogues = {}
     for c, n, role, t in rows:
         dialogues.setdefault(c, []).append((n, role, t))
     want = {}
     for c, turns in dialogues.items():
-        turns.sort(key=lambda x: (x[0], x[1] or "", x[2] or ""))
+        turns.sort(key=lambda x: (x[0] is not None, x[0], x[1] or "", x[2] or ""))
         for s in {r for _, r, _ in turns} - {None, "system"}:
             start = 0
             for k in range(0, len(turns), 256):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns in a rendered run; turn numbers that one task ranks.
+#: Turns in a rendered run; turn numbers that one task ranks, a power of two.
 RUN_TURNS, RANK_TURNS = 256, 64
 SYSTEM = "system"
 
@@ -43,7 +43,7 @@ def rotate_perspectives(
         F.col(role_col).cast("string").alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
-    rows = rows.withColumn("part", F.expr("coalesce(turn, -1) div %d" % RANK_TURNS))
+    rows = rows.withColumn("part", F.coalesce(F.shiftright("turn", RANK_TURNS.bit_length() - 1), F.lit(-(1 << 63))))  # nulls first
     earlier = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = rows.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
     nth = F.row_number().over(Window.partitionBy("key", "part").orderBy("turn", "role", "text"))

@@ -23,7 +23,7 @@ Region = tuple[str, Sequence[Rack]]
 
 
 def even_tree(shards: int, regions: int = 4, racks: int = 2) -> list[Region]:
-    """``shards`` shards of weight 1, dealt in order to the racks of the regions."""
+    """``shards`` shards of weight 1, dealt in order to the racks of the regions; with few shards some racks stay empty."""
     n = regions * racks
     rack = [[(s, 1) for s in range(shards) if s * n // shards == k] for k in range(n)]
     return [(f"region{r}", [(f"rack{r * racks + k}", rack[r * racks + k]) for k in range(racks)]) for r in range(regions)]
@@ -43,12 +43,16 @@ def _draw(key: Column, name: str, weight: int) -> Column:
 def _pick(key: Column, children: Sequence[tuple[str, int]]) -> Column:
     """Index of the child with the best draw."""
     live = [(i, name, w) for i, (name, w) in enumerate(children) if w > 0]
+    if not live:  # below a child of weight 0, where no row comes
+        return F.lit(None).cast("int")
     if len(live) == 1:
         return F.lit(live[0][0])
     return F.array_min(F.array(*[F.struct(_draw(key, name, w).alias("d"), F.lit(i).alias("i")) for i, name, w in live]))["i"]
 
 
 def _case(of: Column, values: Sequence[Column]) -> Column:
+    if not values:
+        return F.lit(None).cast("int")
     out = F.when(of == 0, values[0])
     for i, value in enumerate(values[1:], 1):
         out = out.when(of == i, value)
