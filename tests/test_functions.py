@@ -47,10 +47,10 @@ def test_samples_unpack_as_packed(spark, p, mip, rgb):
 
 def test_bits(spark):
     got = one(
-        spark, zero=bits.is_power_of_two(F.lit(0)), high=bits.highest_bit(F.lit(0)), up=bits.round_up_power_of_two(F.lit(33)), same=bits.round_up_power_of_two(F.lit(64)), n=bits.group_count(F.lit(17), 8),
+        spark, zero=bits.is_power_of_two(F.lit(0)), high=bits.highest_bit(F.lit(0)), up=bits.round_up(F.lit(33), 16), same=bits.round_up(F.lit(64), 64), n=bits.group_count(F.lit(17), 8),
         ones=bits.popcount(F.lit(255)),
     )
-    assert got == {"zero": True, "high": -1, "up": 64, "same": 64, "n": 3, "ones": 8}
+    assert got == {"zero": True, "high": -1, "up": 48, "same": 64, "n": 3, "ones": 8}
     assert bits.range_mask(3, 4) == 0b1110000
 
 

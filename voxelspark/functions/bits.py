@@ -85,13 +85,42 @@ def is_power_of_two(c: Column) -> Column:
     return c.bitwiseAND(c - 1) == 0
 
 
-def round_up_power_of_two(c: Column) -> Column:
-    """The least power of two that is not below a positive value."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (highest_bit(c - 1) + 1).cast("int"))
+def round_up(c: Column, alignment: int) -> Column:
+    """The least multiple of ``alignment``, a power of two, that is not below the value."""
+    if alignment <= 0 or alignment & (alignment - 1):
+        raise ValueError(f"{alignment} is not a power of two")
+    return (long(c) + (alignment - 1)).bitwiseAND(F.lit(-alignment))
 
 
 def group_count(count: Column, size: int) -> Column:
-    return F.floor((count + size - 1) / size).cast("long")
+    """Groups of ``size`` that hold ``count``, by whole numbers."""
+    return F.call_function("div", long(count) + (size - 1), F.lit(size))
+
+
+def unpack_character(position: Column, rectangle: Column, rgba: Column) -> dict[str, Column]:
+    """A character's place (16 + 16 bits), its rectangle in the font's image (8 bits each) and its colour (0 to 1)."""
+    fields = {"px": get(position, 16, 16), "py": get(position, 0, 16)}
+    fields |= {n: get(rectangle, s, 8) for n, s in (("x", 24), ("y", 16), ("w", 8), ("h", 0))}
+    return fields | {n: get(rgba, s, 8) / F.lit(255.0) for n, s in (("r", 24), ("g", 16), ("b", 8), ("a", 0))}
+
+
+def both_masks(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Cells that both blocks have; a block is a tuple of masks."""
+    return tuple(x.bitwiseAND(y) for x, y in zip(a, b, strict=True))
+
+
+def either_mask(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Cells that one block has or the other."""
+    return tuple(x.bitwiseOR(y) for x, y in zip(a, b, strict=True))
+
+
+def mask_without(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Cells that the first block has and the second has not."""
+    return tuple(x.bitwiseAND(F.bitwise_not(y)) for x, y in zip(a, b, strict=True))
+
+
+def mask_size(masks: tuple[Column, ...]) -> Column:
+    return reduce(lambda a, b: a + b, [popcount(m) for m in masks])
 
 
 def range_mask(width: int, offset: int) -> int:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .scalar import clamp, lerp, saturate, smoothstep
 
 RGB = tuple[Column, Column, Column]
+#: The named colours, red, green, blue and alpha.
+COLORS = {"black": (0, 0, 0, 255), "blue": (0, 0, 255, 255), "gray": (127, 127, 127, 255), "green": (0, 255, 0, 255), "red": (255, 0, 0, 255), "white": (255, 255, 255, 255)}
+
+
+def color_bits(r: int, g: int, b: int, a: int = 255) -> int:
+    """The four bytes as one word, red lowest."""
+    return r | g << 8 | b << 16 | a << 24
 
 
 def to_ycocg(c: RGB) -> RGB:

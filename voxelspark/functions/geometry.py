@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -13,10 +13,6 @@ MIPS = 15  # candidates; beyond them a point has mip 16
 OUT_OF_MIPS = 16
 
 
-def least(*c: Column) -> Column:
-    return F.least(*c)
-
-
 def dot(a: Vec, b: Vec) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
@@ -63,6 +59,18 @@ def sky_exit(direction: Vec, lo: float, hi: float) -> Column:
     return F.least(*[F.greatest(F.try_divide(F.lit(lo), d), F.try_divide(F.lit(hi), d)) for d in direction])
 
 
+def sky_sample(p: Vec, mip: Column, direction: Vec, origin: Vec, sky_mip: int, lo: float, hi: float) -> tuple[Vec, Column]:
+    """A sample's place and mip: its own below ``sky_mip``, else where its ray leaves the skybox, in that mip."""
+    near = mip < sky_mip
+    exit_ = along(origin, direction, sky_exit(direction, lo, hi))
+    return tuple(F.when(near, a).otherwise(b) for a, b in zip(p, exit_, strict=True)), F.when(near, mip).otherwise(sky_mip)
+
+
+def uv_inside(u: Column, v: Column) -> Column:
+    """Both coordinates are from 0 to 1."""
+    return u.between(0, 1) & v.between(0, 1)
+
+
 def quantise(p: Column, half_width: float, centre: float = 0.0, scale: float = 1.0) -> Column:
     """Cell index, truncated toward zero."""
     return ((p - centre) * (half_width / scale) + half_width).cast("int")
@@ -161,3 +169,10 @@ class Camera:
         """Right, up and depth of a point seen from here."""
         d = tuple(c - o for c, o in zip(p, self.origin, strict=True))
         return tuple(d[0] * a[0] + d[1] * a[1] + d[2] * a[2] for a in (self.right, self.up, self.forward))
+
+
+def view_rows(spark: SparkSession, views: list[Camera]) -> DataFrame:
+    """One row for each view: its number, origin, basis and tangents."""
+    rows = [(k, *v.origin, *v.forward, *v.right, *v.up, v.tan_x, v.tan_y) for k, v in enumerate(views)]
+    names = [f"{v}{c}" for v in ("o", "f", "r", "u") for c in "xyz"] + ["tan_x", "tan_y"]
+    return spark.createDataFrame([(r[0], *map(float, r[1:])) for r in rows], "eye int, " + ", ".join(f"{n} double" for n in names))

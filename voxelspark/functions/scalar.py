@@ -34,12 +34,23 @@ def degrees(rad: Column) -> Column:
     return rad * (180.0 / PI)
 
 
-def kilobytes(n: Column) -> Column:
-    return F.shiftleft(n, 10)
+#: Powers of two of the units of sizes.
+UNITS = {"KB": 10, "MB": 20, "GB": 30}
 
 
-def in_kilobytes(n: Column) -> Column:
-    return F.shiftright(n, 10)
+def from_unit(n: Column, unit: str) -> Column:
+    """Bytes of so many KB, MB or GB."""
+    return F.shiftleft(n.cast("long"), UNITS[unit])
+
+
+def in_unit(n: Column, unit: str) -> Column:
+    """Whole KB, MB or GB of so many bytes."""
+    return F.shiftright(n.cast("long"), UNITS[unit])
+
+
+def ansi(text: Column) -> Column:
+    """One byte for each character; a question mark for those that ISO 8859-1 has not."""
+    return F.encode(F.regexp_replace(text, "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
 
 
 def thousands(n: Column) -> Column:
@@ -65,3 +76,12 @@ def file_extension(path: Column) -> Column:
 
 def with_extension(path: Column, extension: str) -> Column:
     return F.concat(F.regexp_replace(path, r"\.[^./\\]*$", ""), F.lit("." + extension))
+
+
+def without_extension(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[^./\\]*$", "")
+
+
+def make_path(folder: Column, name: Column) -> Column:
+    """Folder and name with one slash between; an empty folder adds none."""
+    return F.when(folder == "", name).otherwise(F.concat(F.regexp_replace(folder, r"[/\\]+$", ""), F.lit("/"), name))

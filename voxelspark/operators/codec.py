@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bc1_blocks(pixels: DataFrame, size: int = 4) -> DataFrame:
+_ENDS = (("r", 16), ("g", 8), ("b", 0))
+
+
+def bc1_blocks(pixels: DataFrame, size: int = 4, quality: int = 0) -> DataFrame:
     """Two end colours for each tile of ``size`` x ``size`` pixels, and 2 bits for each pixel, from ``(x, y, r, g, b)``.
 
-    Ends are the tile's least and greatest channel values; the palette is both ends, then one third and two thirds of the
-    way; a pixel takes the nearest by squared distance, the first of equal ones.  A row of tile memory holds 16 pixels."""
-    tile = pixels.select("*", *[F.expr(f"{c} div {size}").cast("int").alias("t" + c) for c in "xy"])
-    ends = tile.groupBy("tx", "ty").agg(*[f(c).alias(f"{c}{k}") for c in "rgb" for k, f in ((0, F.min), (1, F.max))])
-    both = tile.join(ends, ["tx", "ty"])
-    parts = [("{c}0"), ("{c}1"), ("(2 * {c}0 + {c}1) div 3"), ("({c}0 + 2 * {c}1) div 3")]
-    distance = [reduce(lambda a, b: a + b, [F.expr(f"({c} - ({p.format(c=c)})) * ({c} - ({p.format(c=c)}))") for c in "rgb"]) for p in parts]
-    index = F.array_min(F.array(*[F.struct(d.cast("long").alias("d"), F.lit(k).alias("k")) for k, d in enumerate(distance)]))
-    both = both.withColumn("best", index)
-    place = F.expr(f"(x % {size}) + {size} * (y % {size})").cast("int")
-    return both.groupBy("tx", "ty").agg(
-        F.first(F.expr("shiftleft(cast(r0 as bigint), 16) | shiftleft(cast(g0 as bigint), 8) | b0")).alias("end0"),
-        F.first(F.expr("shiftleft(cast(r1 as bigint), 16) | shiftleft(cast(g1 as bigint), 8) | b1")).alias("end1"),
-        F.bit_or(F.call_function("shiftleft", F.col("best.k").cast("long"), place * 2)).alias("indexes"),
-        F.sum("best.d").alias("error"),
-        F.count("*").alias("pixels"),
-    )
+    Ends are the tile's least and greatest channel values (``quality`` 0), or the colours of its darkest and its brightest
+    pixel by r + 2 g + b, ties by colour (``quality`` 1).  The palette is both ends, then one third and two thirds of the way,
+    rounded toward zero; a pixel takes the nearest by squared distance, the first of equal ones.  One shuffle: a tile's pixels,
+    ``size`` * ``size`` at most, are gathered in its row."""
+    tile = pixels.select(*[F.expr(f"{c} div {size}").cast("int").alias("t" + c) for c in "xy"], F.expr(f"cast(x % {size} + {size} * (y % {size}) as int)").alias("c"), "r", "g", "b")
+    if quality:
+        ends = lambda k, f: f(F.struct(F.expr("r + 2 * g + b").alias("l"), "r", "g", "b"))
+        aggregates = [ends(0, F.min).alias("e0"), ends(1, F.max).alias("e1")]
+    else:
+        aggregates = [F.struct(*[f(c).alias(c) for c in "rgb"]).alias(f"e{k}") for k, f in ((0, F.min), (1, F.max))]
+    block = tile.groupBy("tx", "ty").agg(*aggregates, F.collect_list(F.struct("c", "r", "g", "b")).alias("cells"))
+    parts = ["e0.{c}", "e1.{c}", "(2 * e0.{c} + e1.{c}) div 3", "(e0.{c} + 2 * e1.{c}) div 3"]
+    distance = [" + ".join(f"(v.{c} - ({p.format(c=c)})) * (v.{c} - ({p.format(c=c)}))" for c in "rgb") for p in parts]
+    best = "array_min(array(" + ", ".join(f"struct(cast({d} as bigint) as d, {k} as k)" for k, d in enumerate(distance)) + "))"
+    coded = block.withColumn("coded", F.expr(f"transform(cells, v -> struct(v.c as c, {best} as best))"))
+    end = lambda k: F.expr(" | ".join(f"shiftleft(cast(e{k}.{c} as bigint), {s})" for c, s in _ENDS))
+    return coded.select(
+        "tx", "ty", end(0).alias("end0"), end(1).alias("end1"), F.expr("aggregate(coded, 0L, (a, v) -> a | shiftleft(cast(v.best.k as bigint), 2 * v.c))").alias("indexes"),
+        F.expr("aggregate(coded, 0L, (a, v) -> a + v.best.d)").alias("error"), F.size("coded").cast("long").alias("pixels"),
+    )
+
+
+def texture(pixels: DataFrame, width: int, quality: int = 0) -> DataFrame:
+    """Coded tiles of a square image and of its halvings down to 4 pixels, each with its level and its byte offset in the file:
+    levels follow each other, tiles go by row, 8 bytes each."""
+    out, level, start = None, 0, 0
+    while True:
+        tiles = (width + 3) // 4
+        blocks = bc1_blocks(pixels, 4, quality).select(F.lit(level).alias("level"), "*", (F.lit(start) + (F.col("ty") * tiles + F.col("tx")) * 8).cast("long").alias("at"))
+        out = blocks if out is None else out.unionByName(blocks)
+        start, level, width = start + 8 * tiles * tiles, level + 1, width >> 1
+        if width < 4:
+            return out
+        pixels = downscale(pixels)
 
 
 def bc1_pixels(blocks: DataFrame, size: int = 4) -> DataFrame:
@@ -40,9 +58,6 @@ def bc1_pixels(blocks: DataFrame, size: int = 4) -> DataFrame:
     return place.select(F.expr(f"tx * {size} + k % {size}").cast("int").alias("x"), F.expr(f"ty * {size} + k div {size}").cast("int").alias("y"), *[F.expr(pick.format(c=c)).alias(c) for c in "rgb"])
 
 
-_ENDS = (("r", 16), ("g", 8), ("b", 0))
-
-
 def block_colors(cells: DataFrame, *extra: str) -> DataFrame:
     """Blocks of 4 x 4 x 4 cells from the colours of leaves ``(x, y, z, r, g, b)``: presence of the 64 cells as two 32-bit masks,
     two end colours, and 2 bits for each cell in four 32-bit words of 16 cells (0 where there is no cell).

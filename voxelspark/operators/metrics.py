@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -18,11 +18,24 @@ def has_event(events: Column, mask: int, y: Column, low: float, high: float) ->
 
 
 def ring_markers(frames: DataFrame, key: str, size: int = 4140) -> DataFrame:
-    """Least, mean and greatest draw time of the last ``size`` frames, at each frame of a key."""
-    last = Window.partitionBy(key).orderBy("frame_id").rowsBetween(1 - size, 0)
-    return frames.select(
-        key, "frame_id", (F.col("frame_id") % size).cast("int").alias("slot"), F.min("draw_us").over(last).alias("low"), F.round(F.avg("draw_us").over(last), 4).alias("mid"), F.max("draw_us").over(last).alias("high")
-    )
+    """Least, mean and greatest draw time of the last ``size`` frames, at each frame of a key.
+
+    Work grows with the frames, not with ``size``: frames go in blocks of ``size``; a window is the end of one block and the
+    beginning of the next, whose least and greatest are kept from either side; sums are differences of running sums."""
+    order = Window.partitionBy(key).orderBy("frame_id")
+    rows = frames.select(key, "frame_id", "draw_us", (F.row_number().over(order) - 1).alias("_n"), F.sum("draw_us").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"))
+    rows = rows.withColumn("_block", F.expr(f"_n div {size}"))
+    block = Window.partitionBy(key, "_block").orderBy("_n")
+    head, tail = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
+    kept = {f"_{f.__name__}_{side}": f("draw_us").over(w) for f in (F.min, F.max) for side, w in (("head", head), ("tail", tail))}
+    rows = rows.withColumns(kept)
+    by_n = Window.partitionBy(key).orderBy("_n")
+    rows = rows.withColumns({"_before": F.lag("_sum", size).over(by_n), **{f"_{f}_past": F.lag(f"_{f}_tail", size - 1).over(by_n) for f in ("min", "max")}})
+    count = F.least(F.col("_n") + 1, F.lit(size))
+    return rows.select(
+        key, "frame_id", (F.col("frame_id") % size).cast("int").alias("slot"), F.least("_min_head", "_min_past").alias("low"),
+        F.round((F.col("_sum") - F.coalesce("_before", F.lit(0))) / count, 4).alias("mid"), F.greatest("_max_head", "_max_past").alias("high"),
+    )
 
 
 def hitches(frames: DataFrame, key: str, threshold_us: float) -> DataFrame:
@@ -33,3 +46,18 @@ def hitches(frames: DataFrame, key: str, threshold_us: float) -> DataFrame:
 def durations(frames: DataFrame, key: str) -> DataFrame:
     """Calls and mean duration."""
     return frames.groupBy(key).agg(F.count("*").alias("calls"), F.round(F.avg("draw_us"), 4).alias("mean_us"))
+
+
+def mask_totals(events: DataFrame, key: str, mask: str, order: str) -> DataFrame:
+    """What atomic updates of one word leave for each key: bits that all rows have, bits that some have, the least, the
+    greatest, the sum, and the one that was set last by ``order``."""
+    m = F.col(mask)
+    return events.groupBy(key).agg(
+        F.bit_and(m).alias("all_bits"), F.bit_or(m).alias("any_bits"), F.min(m).alias("least"), F.max(m).alias("greatest"), F.sum(m).alias("total"), F.max_by(m, F.col(order)).alias("last")
+    )
+
+
+def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that holds the number of those for which each condition is true once they have run."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count("*").alias("seen"), *[F.count_if(c).alias(n) for n, c in counts.items()]), seen

@@ -44,3 +44,71 @@ def box_wireframes(boxes: DataFrame, key: str) -> DataFrame:
 def obj_vertices(vertices: DataFrame) -> DataFrame:
     """Lines of an OBJ file."""
     return vertices.select("vertex_id", F.format_string("v %.4f %.4f %.4f", F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")).alias("line"))
+
+
+#: Corners of the twelve triangles of a box; corner k takes bit 0 of k for x, bit 1 for y, bit 2 for z.
+BOX_TRIANGLES = tuple(t for side in ((0, 2, 3, 1), (1, 3, 7, 5), (5, 7, 6, 4), (4, 6, 2, 0), (2, 6, 7, 3), (1, 5, 4, 0)) for t in ((side[0], side[1], side[2]), (side[0], side[2], side[3])))
+
+
+def box_shapes(boxes: DataFrame, key: str, wireframe: bool) -> DataFrame:
+    """``(key, shape, corner, x, y, z)``: the twelve lines of each box, or its twelve triangles."""
+    shapes = BOX_EDGES if wireframe else BOX_TRIANGLES
+    at = lambda axis, v, bit: F.col(f"{axis}{1 if v & bit else 0}")
+    rows = [
+        F.struct(F.lit(k).alias("shape"), F.lit(i).alias("corner"), *[at(a, v, b).alias(a) for a, b in zip("xyz", (1, 2, 4), strict=True)])
+        for k, shape in enumerate(shapes)
+        for i, v in enumerate(shape)
+    ]
+    return boxes.select(key, F.explode(F.array(*rows)).alias("v")).select(key, "v.*")
+
+
+def point_shapes(points: DataFrame, key: str) -> DataFrame:
+    """Each point as a shape of one corner."""
+    return points.select(key, F.lit(0).alias("shape"), F.lit(0).alias("corner"), "x", "y", "z")
+
+
+def obj_shapes(shapes: DataFrame, key: str, corners: int, per_key: int) -> DataFrame:
+    """Lines of an OBJ file for shapes of so many corners (1 points, 2 lines, 3 triangles), ``per_key`` of them for each integer
+    key from 0: an object with its material, then the vertices of each shape and its face, by ``(key, line)``.
+
+    Vertex ids run on from object to object, as arithmetic on the key; nothing is numbered by a global sort."""
+    first = F.col(key) * (corners * per_key) + F.col("shape") * corners + 1
+    vertex = shapes.select(key, (F.col("shape") * (corners + 1) + F.col("corner") + 2).cast("int").alias("line"), F.concat(F.lit("v "), F.concat_ws(" ", *[F.format_string("%.4f", F.col(c).cast("double")) for c in "xyz"])).alias("text"))
+    face = shapes.where("corner = 0").select(
+        key, (F.col("shape") * (corners + 1) + corners + 2).cast("int").alias("line"), F.concat(F.lit("f "), F.concat_ws(" ", *[(first + k).cast("string") for k in range(corners)])).alias("text")
+    )
+    heads = [F.struct(F.lit(0).alias("line"), F.concat(F.lit("usemtl mat"), F.col(key)).alias("text")), F.struct(F.lit(1).alias("line"), F.concat(F.lit("o obj"), F.col(key)).alias("text"))]
+    head = shapes.where("shape = 0 and corner = 0").select(key, F.explode(F.array(*heads)).alias("h")).select(key, "h.*")
+    return head.unionByName(vertex).unionByName(face)
+
+
+def mtl_objects(objects: DataFrame, key: str) -> DataFrame:
+    """Three lines of an MTL file for each object: its material's name, colour and opacity, from ``r, g, b, a`` of 0 to 255."""
+    part = lambda c: F.format_string("%.6f", F.col(c) / F.lit(255.0))
+    lines = [F.concat(F.lit("newmtl mat"), F.col(key)), F.concat(F.lit("kd "), F.concat_ws(" ", *[part(c) for c in "rgb"])), F.concat(F.lit("d "), part("a"))]
+    return objects.select(key, F.posexplode(F.array(*lines)).alias("line", "text"))
+
+
+#: Columns of a glyph table and their widths.
+GLYPH_FIELDS = (("x", 3), ("y", 3), ("width", 2), ("height", 2), ("xoffset", 2), ("yoffset", 2), ("xadvance", 2))
+
+
+def font_table(glyphs: DataFrame, most: int = 256) -> DataFrame:
+    """A table row for each id from 0 to ``most`` - 1; ids without a glyph are zeros."""
+    ids = glyphs.sparkSession.range(most).select(F.col("id").cast("int").alias("id"))
+    fields = [F.format_string(f"%{w}d", F.coalesce(F.col(c).cast("int"), F.lit(0))) for c, w in GLYPH_FIELDS]
+    return ids.join(glyphs, "id", "left").select("id", F.concat(F.lit("\t{ "), F.concat_ws(", ", *fields), F.lit(" },")).alias("line"))
+
+
+def write_setting(settings: DataFrame, updates: DataFrame) -> DataFrame:
+    """``(section, key, value)`` after updates of the same columns; names fold ASCII letters' case, as settings files do."""
+    names = [F.lower("section").alias("_s"), F.lower("key").alias("_k")]
+    old, new = settings.select("*", *names), updates.select("*", *names)
+    kept = old.join(new.select("_s", "_k"), ["_s", "_k"], "left_anti")
+    return kept.select("section", "key", "value").unionByName(new.select("section", "key", "value"))
+
+
+def settings_lines(settings: DataFrame) -> DataFrame:
+    """Lines of a settings file: each section's head, then its keys in order."""
+    heads = settings.select("section").distinct().select("section", F.lit("").alias("key"), F.concat(F.lit("["), "section", F.lit("]")).alias("line"))
+    return heads.unionByName(settings.select("section", "key", F.concat("key", F.lit("="), "value").alias("line")))

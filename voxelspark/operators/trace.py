@@ -17,22 +17,48 @@ def corner(k: tuple[int, int, int]) -> tuple[Column, ...]:
     return tuple(F.col(f"{axis}{side}") for axis, side in zip("xyz", k, strict=True))
 
 
+def side_planes(camera: Camera) -> dict[str, tuple[float, ...]]:
+    """For each side of the view the linear form (a, b, c, d) that is above 0 outside it."""
+    planes = {}
+    for name, axis, sign, tan in (("right", camera.right, 1, camera.tan_x), ("left", camera.right, -1, camera.tan_x), ("top", camera.up, 1, camera.tan_y), ("bottom", camera.up, -1, camera.tan_y)):
+        a = tuple(sign * v - tan * f for v, f in zip(axis, camera.forward, strict=True))
+        planes[name] = (*a, -sum(v * o for v, o in zip(a, camera.origin, strict=True)))
+    return planes
+
+
+def beyond(plane: tuple[float, ...]) -> Column:
+    """All corners of the box lie outside the plane: the least value of its form over the box is above 0.
+
+    That is the value at the box's centre less its half extents by the size of the coefficients: no corner is spelled out."""
+    form = F.lit(plane[3])
+    for axis, a in zip("xyz", plane, strict=False):
+        low, high = F.col(f"{axis}0"), F.col(f"{axis}1")
+        form = form + (low + high) * (a / 2) - (high - low) * (abs(a) / 2)
+    return form > 0
+
+
 def in_frustum(camera: Camera) -> Column:
     """False only if all corners of the box lie outside one of the four side planes."""
-    seen = [camera.view(corner(k)) for k in CORNERS]
-    inside = lambda test: reduce(lambda a, b: a | b, [test(*c) for c in seen])
-    return (
-        inside(lambda r, u, d: r <= d * camera.tan_x) & inside(lambda r, u, d: -r <= d * camera.tan_x) & inside(lambda r, u, d: u <= d * camera.tan_y) & inside(lambda r, u, d: -u <= d * camera.tan_y)
-    )
+    return reduce(lambda a, b: a & b, [~beyond(p) for p in side_planes(camera).values()])
+
+
+def cull_statistics(boxes: DataFrame, camera: Camera) -> DataFrame:
+    """How many boxes were seen, are beyond each side plane, and are kept."""
+    sides = {name: beyond(plane) for name, plane in side_planes(camera).items()}
+    return boxes.agg(F.count("*").alias("seen"), *[F.count_if(c).alias(name) for name, c in sides.items()], F.count_if(in_frustum(camera)).alias("kept"))
 
 
-def screen_bounds(camera: Camera, width: int, height: int, near: float = 1e-3) -> dict[str, Column]:
-    """Least and greatest pixel of the box's corners, and the depth of the nearest corner."""
-    seen = [camera.view(corner(k)) for k in CORNERS]
-    depth = [F.greatest(d, F.lit(near)) for _, _, d in seen]
-    px = [(r / (d * camera.tan_x) + 1) * (width / 2) for (r, _, _), d in zip(seen, depth, strict=True)]
-    py = [(F.lit(1.0) - u / (d * camera.tan_y)) * (height / 2) for (_, u, _), d in zip(seen, depth, strict=True)]
-    return {"min_x": F.least(*px), "max_x": F.greatest(*px), "min_y": F.least(*py), "max_y": F.greatest(*py), "depth": F.least(*[d for _, _, d in seen])}
+def with_screen_bounds(boxes: DataFrame, camera: Camera, width: int, height: int, near: float = 1e-3) -> DataFrame:
+    """Adds least and greatest pixel of the box's corners, and the depth of the nearest corner; each corner is seen once."""
+    seen = []
+    for k in CORNERS:
+        r, u, d = camera.view(corner(k))
+        seen.append(F.struct(r.alias("r"), u.alias("u"), d.alias("d"), F.greatest(d, F.lit(near)).alias("n")))
+    rows = boxes.withColumn("_seen", F.array(*seen))
+    pixel = lambda c: F.struct(((c["r"] / (c["n"] * camera.tan_x) + 1) * (width / 2)).alias("x"), ((F.lit(1.0) - c["u"] / (c["n"] * camera.tan_y)) * (height / 2)).alias("y"), c["d"].alias("d"))
+    rows = rows.withColumn("_seen", F.transform("_seen", pixel))
+    rows = rows.withColumns({"min_x": F.array_min("_seen.x"), "max_x": F.array_max("_seen.x"), "min_y": F.array_min("_seen.y"), "max_y": F.array_max("_seen.y"), "depth": F.array_min("_seen.d")})
+    return rows.drop("_seen")
 
 
 def bin_tiles(boxes: DataFrame, width: int, height: int, tile: int = 8) -> DataFrame:
@@ -57,8 +83,9 @@ def nearest_hits(rays: DataFrame, boxes: DataFrame, on: list[str]) -> DataFrame:
     """The nearest box of each ray, from rays and boxes that share a tile; ties go to the least block.
 
     ``rays``: ray_id, ox, oy, oz, dx, dy, dz and the tile; ``boxes``: block_id, x0 ... z1 and the tile.  The join is an
-    equi-join on the tile, and the nearest hit a partial and final aggregate."""
+    equi-join on the tile, and the nearest hit a partial and final aggregate.  A ray has one tile, and a box stands in a tile
+    once, so hits are rows."""
     enter, leave = slab(("ox", "oy", "oz"), ("dx", "dy", "dz"))
     pairs = rays.join(boxes, on).withColumn("t0", F.round(enter, 6)).withColumn("t1", F.round(leave, 6)).where("t0 <= t1 and t1 >= 0")
     best = F.min(F.struct(F.greatest(F.col("t0"), F.lit(0.0)).alias("t"), F.col("block_id")))
-    return pairs.groupBy("ray_id").agg(best.alias("best"), F.count_distinct("block_id").alias("hits")).select("ray_id", "best.block_id", "best.t", "hits")
+    return pairs.groupBy("ray_id").agg(best.alias("best"), F.count("*").alias("hits")).select("ray_id", "best.block_id", "best.t", "hits")

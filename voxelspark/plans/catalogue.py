@@ -358,8 +358,7 @@ def _visible(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _binned(spark: SparkSession, d: str) -> DataFrame:
-    bounds = trace.screen_bounds(CAMERA, WIDTH, HEIGHT)
-    return trace.bin_tiles(_visible(spark, d).withColumns(bounds), WIDTH, HEIGHT, TILE)
+    return trace.bin_tiles(trace.with_screen_bounds(_visible(spark, d), CAMERA, WIDTH, HEIGHT), WIDTH, HEIGHT, TILE)
 
 
 @query(f"WITH {_TO_VIEW} SELECT block_id FROM seen WHERE {_IN}")
@@ -369,8 +368,8 @@ def frustum_cull(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TO_VIEW}, {_BOUNDS} SELECT block_id, round(min_x, 4) AS min_x, round(max_x, 4) AS max_x, round(min_y, 4) AS min_y, round(max_y, 4) AS max_y, round(depth, 4) AS depth FROM bnd")
 def screen_bounds(spark: SparkSession, d: str) -> DataFrame:
-    bounds = trace.screen_bounds(CAMERA, WIDTH, HEIGHT)
-    return _visible(spark, d).select("block_id", *[F.round(v, 4).alias(n) for n, v in bounds.items()])
+    bounds = trace.with_screen_bounds(_visible(spark, d), CAMERA, WIDTH, HEIGHT)
+    return bounds.select("block_id", *[F.round(n, 4).alias(n) for n in ("min_x", "max_x", "min_y", "max_y", "depth")])
 
 
 @query(f"WITH {_TO_VIEW}, {_BOUNDS}, {_TILES} SELECT tx::INT AS tx, ty::INT AS ty, count(*) AS blocks FROM til GROUP BY 1, 2")
@@ -669,7 +668,7 @@ def hex_rows(spark: SparkSession, d: str) -> DataFrame:
 def number_formats(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     return adapters.table(spark, d, "orders").where("o_orderkey > 0").select(
-        "o_orderkey", scalar.thousands(k * 1000).alias("digits"), scalar.in_kilobytes(k).alias("kb"), bits.group_count(k, 16).alias("groups"), bits.is_power_of_two(k).alias("power"), bits.highest_bit(k).alias("high"), F.round(scalar.radians(k), 6).alias("rad")
+        "o_orderkey", scalar.thousands(k * 1000).alias("digits"), scalar.in_unit(k, "KB").alias("kb"), bits.group_count(k, 16).alias("groups"), bits.is_power_of_two(k).alias("power"), bits.highest_bit(k).alias("high"), F.round(scalar.radians(k), 6).alias("rad")
     )
 
 

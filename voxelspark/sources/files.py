@@ -5,8 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.text import key_values
@@ -25,17 +26,50 @@ def read_font(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """``(key, value)`` of an INI file; sections and comments are skipped, the last value of a key counts."""
+    """``(section, key, value)`` of an INI file; comments are skipped, the last value of a key of a section counts.  Keys before
+    the first section have an empty one."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    head = F.when(F.col("line").rlike(r"^\s*\[[^\]]*\]"), F.regexp_extract("line", r"^\s*\[([^\]]*)\]", 1))
+    lines = lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(_in_order()), F.lit("")))
     pairs = lines.where(F.col("line").rlike(r"^\s*[^;#\[=\s][^=]*=")).select(
-        "at", F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^=]*=", "")).alias("value")
+        "at", "section", F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^=]*=", "")).alias("value")
     )
-    return pairs.groupBy("key").agg(F.max_by("value", "at").alias("value"))
+    return pairs.groupBy("section", "key").agg(F.max_by("value", "at").alias("value"))
 
 
 def setting(settings: DataFrame, keys: DataFrame) -> DataFrame:
-    """Values of ``keys(key, default)``, or their defaults."""
-    return keys.join(settings, "key", "left").select("key", F.coalesce("value", "default").alias("value"))
+    """Values of ``keys(section, key, default)``, or their defaults."""
+    return keys.join(settings, ["section", "key"], "left").select("section", "key", F.coalesce("value", "default").alias("value"))
+
+
+def read_mtl(spark: SparkSession, path: str) -> DataFrame:
+    """``(material, property, values)`` of an MTL file: numbers as they are written, file names as one value."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    words = lines.where(F.col("line").rlike(r"^\s*[^#\s]")).select("at", F.split(F.trim("line"), r"\s+").alias("w"))
+    name = F.when(F.lower(F.col("w")[0]) == "newmtl", F.get("w", F.lit(1)))
+    rows = words.withColumn("material", F.last(name, ignorenulls=True).over(_in_order())).where(F.lower(F.col("w")[0]) != "newmtl")
+    rest = F.slice("w", 2, F.size("w"))
+    values = F.when(F.lower(F.col("w")[0]).startswith("map_"), F.array(F.concat_ws(" ", rest))).otherwise(rest)
+    return rows.select("material", F.lower(F.col("w")[0]).alias("property"), values.alias("values"))
+
+
+#: Capacities of a scene's paths.
+PATHS_MOST, POSITIONS_MOST = 2, 128
+
+
+def read_paths(spark: SparkSession, path: str) -> DataFrame:
+    """``(path_id, entity, speed, positions)`` of a JSON file of lines with ``entity``, ``speed`` and ``positions`` (arrays of
+    three numbers); more than 2 paths, or more than 128 positions in one, fail the read."""
+    rows = spark.read.schema("entity string, speed double, positions array<array<double>>").json(path)
+    counted = rows.agg(F.sort_array(F.collect_list(F.struct("entity", "speed", "positions"))).alias("p"))  # one file of a few lines
+    fits = (F.size("p") <= PATHS_MOST) & F.forall("p", lambda x: F.size(x["positions"]) <= POSITIONS_MOST)
+    checked = F.when(fits, F.col("p")).otherwise(F.raise_error(F.lit("more paths or positions than a scene holds")).cast(counted.schema["p"].dataType))
+    return counted.select(F.posexplode(checked).alias("path_id", "q")).select("path_id", "q.*")
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, size, content)`` of each file; a path without files fails."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
 
 
 def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -47,40 +81,126 @@ def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         rows = words.where(F.col("w")[0] == kind).select(F.row_number().over(_in_order()).alias("id"), *[F.get("w", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate(names)])
         return rows
 
-    faces = words.where(F.col("w")[0] == "f").select("at", F.slice("w", 2, F.size("w")).alias("c"))
-    fan = faces.select("at", F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> array(c[0], c[i], c[i + 1]))")).alias("t"))
-    corners = fan.select(F.row_number().over(_in_order()).alias("triangle"), "t").select("triangle", F.posexplode("t").alias("corner", "ids"))
-    ids = [F.when(F.get(F.split("ids", "/"), F.lit(i)) != "", F.get(F.split("ids", "/"), F.lit(i))).cast("int").alias(n) for i, n in enumerate(("position", "uv", "normal"))]
+    made = [F.sum(F.when(F.col("w")[0] == kind, 1).otherwise(0)).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias(f"n{i}") for i, kind in enumerate(("v", "vt", "vn"))]
+    faces = words.select("at", "w", *made).where(F.col("w")[0] == "f").select("at", F.slice("w", 2, F.size("w")).alias("c"), "n0", "n1", "n2")
+    fan = faces.select("at", "n0", "n1", "n2", F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> array(c[0], c[i], c[i + 1]))")).alias("t"))
+    corners = fan.select(F.row_number().over(_in_order()).alias("triangle"), "t", "n0", "n1", "n2").select("triangle", F.posexplode("t").alias("corner", "ids"), "n0", "n1", "n2")
+
+    def absolute(i: int) -> Column:  # ids below 0 count back from the last one read
+        k = F.get(F.split("ids", "/"), F.lit(i))
+        k = F.when(k != "", k).cast("int")
+        return F.when(k < 0, F.col(f"n{i}") + k + 1).otherwise(k)
+
+    ids = [absolute(i).alias(n) for i, n in enumerate(("position", "uv", "normal"))]
     return {"positions": numbered("v", "xyz"), "normals": numbered("vn", "xyz"), "uvs": numbered("vt", "uv"), "corners": corners.select("triangle", "corner", *ids)}
 
 
 def _in_order():
     """One file's lines in order: the ids of an OBJ file are places in it, and a file is read whole by one task anyway."""
-    from pyspark.sql import Window
-
     return Window.orderBy("at")
 
 
+def _tga_pixels(name: str, data: bytes) -> pd.DataFrame:
+    skip, _, kind, _, _, _, _, _, width, height, depth, flags = struct.unpack("<BBBHHBHHHHBB", data[:18])
+    if kind not in (2, 10) or depth not in (24, 32):
+        raise ValueError(f"{name}: only true-colour images are read")
+    step, body = depth // 8, np.frombuffer(data, dtype=np.uint8, offset=18 + skip)
+    if kind == 10:  # runs: a count, then one pixel to repeat or so many pixels
+        parts, at, left = [], 0, width * height
+        while left:
+            n = int(body[at] & 127) + 1
+            if body[at] & 128:
+                parts.append(np.tile(body[at + 1 : at + 1 + step], n))
+                at += 1 + step
+            else:
+                parts.append(body[at + 1 : at + 1 + n * step])
+                at += 1 + n * step
+            left -= n
+        body = np.concatenate(parts) if parts else body[:0]
+    pixels = body[: width * height * step].reshape(height, width, step).astype(np.int32)
+    if not flags & 0x20:
+        pixels = pixels[::-1]
+    y, x = np.divmod(np.arange(width * height, dtype=np.int32), max(width, 1))
+    pixels = pixels.reshape(-1, step)
+    alpha = pixels[:, 3] if step == 4 else np.full(len(pixels), 255, dtype=np.int32)
+    return pd.DataFrame({"path": name, "x": x, "y": y, "r": pixels[:, 2], "g": pixels[:, 1], "b": pixels[:, 0], "a": alpha})
+
+
 def read_tga(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, x, y, r, g, b, a)`` of uncompressed 24 and 32 bit TGA images, rows from the top."""
+    """``(path, x, y, r, g, b, a)`` of 24 and 32 bit TGA images, plain or in runs, rows from the top."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                skip, _, kind, _, _, _, _, _, width, height, depth, flags = struct.unpack("<BBBHHBHHHHBB", data[:18])
-                if kind != 2 or depth not in (24, 32):
-                    raise ValueError(f"{name}: only uncompressed true-colour images are read")
-                step = depth // 8
-                body = data[18 + skip : 18 + skip + width * height * step]
-                rows = [
-                    (name, i % width, i // width if flags & 0x20 else height - 1 - i // width, body[i * step + 2], body[i * step + 1], body[i * step], body[i * step + 3] if step == 4 else 255)
-                    for i in range(width * height)
-                ]
-                yield pd.DataFrame(rows, columns=["path", "x", "y", "r", "g", "b", "a"])
+                yield _tga_pixels(name, data)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, x int, y int, r int, g int, b int, a int")
 
 
+def bmp_images(pixels: DataFrame, key: str) -> DataFrame:
+    """``(key, content)``: a 24-bit BMP file of each image ``(key, x, y, r, g, b)``; missing pixels are black."""
+
+    def encode(name: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        width, height = int(p["x"].max()) + 1, int(p["y"].max()) + 1
+        row = (width * 3 + 3) // 4 * 4
+        body = np.zeros((height, row), dtype=np.uint8)
+        for i, c in enumerate("bgr"):
+            body[height - 1 - p["y"], p["x"] * 3 + i] = p[c]
+        head = struct.pack("<2sIHHI", b"BM", 54 + body.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, body.size, 2835, 2835, 0, 0)
+        return pd.DataFrame({"key": [name[0]], "content": [head + body.tobytes()]})
+
+    kind = dict(pixels.dtypes)[key]
+    return pixels.groupBy(key).applyInPandas(encode, f"key {kind}, content binary").withColumnRenamed("key", key)
+
+
+#: Fixed value: the first bytes of a raw frame.
+RAW_MAGIC = b"V6F0"
+
+
+def raw_frames(pixels: DataFrame, key: str) -> DataFrame:
+    """``(key, content)``: each frame ``(key, x, y, r, g, b, a, depth)`` as one blob: magic, width and height (32-bit), colours
+    (4 bytes a pixel), depths (32-bit floats); missing pixels are 0."""
+
+    def encode(name: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        width, height = int(p["x"].max()) + 1, int(p["y"].max()) + 1
+        colors, depths = np.zeros((height, width, 4), dtype=np.uint8), np.zeros((height, width), dtype="<f4")
+        for i, c in enumerate("rgba"):
+            colors[p["y"], p["x"], i] = p[c]
+        depths[p["y"], p["x"]] = p["depth"]
+        return pd.DataFrame({"key": [name[0]], "content": [RAW_MAGIC + struct.pack("<II", width, height) + colors.tobytes() + depths.tobytes()]})
+
+    kind = dict(pixels.dtypes)[key]
+    return pixels.groupBy(key).applyInPandas(encode, f"key {kind}, content binary").withColumnRenamed("key", key)
+
+
+def raw_frame_pixels(blobs: DataFrame, key: str) -> DataFrame:
+    """Pixels of blobs as ``raw_frames`` writes them; another magic fails the read."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch[key], batch["content"], strict=True):
+                if data[:4] != RAW_MAGIC:
+                    raise ValueError(f"{name}: not a raw frame")
+                width, height = struct.unpack("<II", data[4:12])
+                n = width * height
+                y, x = np.divmod(np.arange(n, dtype=np.int32), max(width, 1))
+                colors = np.frombuffer(data, dtype=np.uint8, offset=12, count=4 * n).reshape(n, 4).astype(np.int32)
+                depths = np.frombuffer(data, dtype="<f4", offset=12 + 4 * n, count=n)
+                yield pd.DataFrame({key: name, "x": x, "y": y, **{c: colors[:, i] for i, c in enumerate("rgba")}, "depth": depths})
+
+    return blobs.select(key, "content").mapInPandas(decode, f"{key} {dict(blobs.dtypes)[key]}, x int, y int, r int, g int, b int, a int, depth float")
+
+
+def tile_images(tiles: DataFrame, tile: int) -> DataFrame:
+    """One image from tiles ``(tx, ty, x, y, r, g, b, depth)`` of ``tile`` x ``tile`` pixels, with each depth also as 0 to 255
+    between the least and the greatest of all; where all are equal that is 0.  The range is one row, joined to all."""
+    span = tiles.agg(F.min("depth").alias("_low"), F.max("depth").alias("_high"))
+    share = F.coalesce(F.try_divide(F.col("depth") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    return tiles.crossJoin(F.broadcast(span)).select(
+        (F.col("tx") * tile + F.col("x")).alias("x"), (F.col("ty") * tile + F.col("y")).alias("y"), "r", "g", "b", "depth", (share * 255 + 0.5).cast("int").alias("shade")
+    )
+
+
 def read_frames(spark: SparkSession, template: str, offset: int, count: int) -> DataFrame:
     """Parquet frames of a printf-style path, with their number as ``frame``."""
     paths = [template % k for k in range(offset, offset + count)]
@@ -93,15 +213,47 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).drop("content")
 
 
-def write_stream(stream: DataFrame, path: str, extend: bool = False) -> None:
-    """A stream as a table partitioned by sequence, in zstd columns; ``extend`` appends."""
-    stream.repartition("sequence_id").write.mode("append" if extend else "error").option("compression", "zstd").partitionBy("sequence_id").parquet(path)
-
-
-def extend_stream(spark: SparkSession, stream: DataFrame, path: str) -> None:
-    """Append a stream whose sequences are numbered from 0 after those of the table."""
-    last = spark.read.parquet(path).agg(F.max("sequence_id")).first()[0]
-    write_stream(stream.withColumn("sequence_id", (F.col("sequence_id") + (-1 if last is None else last) + 1).cast("int")), path, extend=True)
+def write_stream(stream: DataFrame, path: str, extend: bool = False, codec: str = "zstd") -> None:
+    """A stream as a table partitioned by sequence, in compressed columns (``zstd``, or ``lz4`` for speed); ``extend`` appends."""
+    stream.repartition("sequence_id").write.mode("append" if extend else "error").option("compression", codec).partitionBy("sequence_id").parquet(path)
+
+
+def _claim(spark: SparkSession, path: str, count: int) -> int:
+    """The first of ``count`` sequence ids that no other writer of the table has or takes.
+
+    A claim is a file named by its first id; making it fails if it is there, so of two writers that want the same id one looks
+    again."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = fs_path(f"{path.rstrip('/')}/_claims")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    while True:
+        last = spark.read.parquet(path).agg(F.max("sequence_id")).first()[0]
+        first = 0 if last is None else last + 1
+        for status in fs.listStatus(folder):
+            if status.getPath().getName().isdigit():
+                taken = fs.listStatus(fs_path(f"{status.getPath()}.to"))[0].getLen() if fs.exists(fs_path(f"{status.getPath()}.to")) else 0
+                first = max(first, int(status.getPath().getName()) + max(int(taken), 1))
+        if fs.createNewFile(fs_path(folder, str(first))):
+            out = fs.create(fs_path(folder, f"{first}.to"))  # as many bytes as ids
+            out.write(bytearray(count))
+            out.close()
+            return first
+
+
+def extend_stream(spark: SparkSession, stream: DataFrame, path: str, codec: str = "zstd") -> None:
+    """Append a stream whose sequences are numbered from 0 after those of the table; writers at the same time get other ids."""
+    count = stream.agg(F.max("sequence_id")).first()[0]
+    if count is None:
+        return
+    first = _claim(spark, path, count + 1)
+    write_stream(stream.withColumn("sequence_id", (F.col("sequence_id") + first).cast("int")), path, extend=True, codec=codec)
+
+
+def stream_schema(spark: SparkSession, path: str) -> tuple[list[str], list[int]]:
+    """A stream's columns and sequences, from footers and folder names alone; no data is read."""
+    table = spark.read.parquet(path)
+    return table.columns, sorted(r[0] for r in table.select("sequence_id").distinct().collect())
 
 
 def read_sequence(spark: SparkSession, path: str, sequence_id: int) -> DataFrame:

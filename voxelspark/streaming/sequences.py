@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import enum
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -53,11 +57,79 @@ def blend_history(events: DataFrame, blend: float) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Take all that is there now and give the sink's rows: for checks and small results."""
-    name = "sink_" + uuid.uuid4().hex
-    sink = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sink = sink.option("checkpointLocation", f"{shared.rstrip('/')}/{name}")
+    """Take all that is there now and give the sink's rows: a Parquet table in the shared folder, a batch after the other; in
+    mode ``complete`` the last batch replaces the earlier ones.  No row goes to the driver."""
+    spark, name = stream.sparkSession, "sink_" + uuid.uuid4().hex
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="voxelspark-")
+    path = f"{shared.rstrip('/')}/{name}"
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")  # a repeated batch replaces itself
+        last[:] = [number]
+
+    sink = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(keep)
     sink.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{path}/rows/batch={last[0]}") if mode == "complete" else rows.parquet(f"{path}/rows").drop("batch")
+
+
+def on_events(stream: DataFrame, mask: int, call: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Start a query that hands each batch of rows with a bit of ``mask`` in ``events`` to ``call``, with the batch's number;
+    batches without such rows call nothing."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        found = batch.where(F.col("events").bitwiseAND(F.lit(mask)) != 0)
+        if not found.isEmpty():
+            call(found, number)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+
+
+class Availability(enum.Enum):
+    """What a reader of a stream's rows finds."""
+
+    FAILED = 0
+    LOADING = 1
+    SUCCEEDED = 2
+
+
+def availability(query: StreamingQuery) -> Availability:
+    """Failed, still loading, or all there."""
+    if query.exception() is not None:
+        return Availability.FAILED
+    return Availability.LOADING if query.isActive else Availability.SUCCEEDED
+
+
+class Encoding:
+    """Work in a job group of its own, which can be waited for and cancelled; cancelled work leaves no further Spark job."""
+
+    def __init__(self, spark: SparkSession, work: Callable[[], None]):
+        self.spark, self.group, self.error = spark, "encoding-" + uuid.uuid4().hex, None
+        tag = self.group
+
+        def run() -> None:
+            try:
+                spark.addTag(tag)
+                work()
+            except Exception as e:  # told by ``wait``
+                self.error = e
+
+        self.thread = InheritableThread(target=run, session=spark)
+        self.thread.start()
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Whether the work has ended well in that time; its error is raised."""
+        self.thread.join(seconds)
+        if self.error is not None:
+            raise self.error
+        return not self.thread.is_alive()
+
+    def cancel(self) -> None:
+        self.spark.interruptTag(self.group)
