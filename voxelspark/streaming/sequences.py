@@ -112,16 +112,15 @@ class Encoding:
 
     def __init__(self, spark: SparkSession, work: Callable[[], None]):
         self.spark, self.group, self.error = spark, "encoding-" + uuid.uuid4().hex, None
-        tag = self.group
 
         def run() -> None:
             try:
-                spark.addTag(tag)
+                spark.sparkContext.setJobGroup(self.group, "encoding", interruptOnCancel=True)
                 work()
             except Exception as e:  # told by ``wait``
                 self.error = e
 
-        self.thread = InheritableThread(target=run, session=spark)
+        self.thread = InheritableThread(target=run)
         self.thread.start()
 
     def wait(self, seconds: float | None = None) -> bool:
@@ -132,4 +131,4 @@ class Encoding:
         return not self.thread.is_alive()
 
     def cancel(self) -> None:
-        self.spark.interruptTag(self.group)
+        self.spark.sparkContext.cancelJobGroup(self.group)
