@@ -26,19 +26,22 @@ def read_font(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """``(section, key, value)`` of an INI file; comments are skipped, the last value of a key of a section counts.  Keys before
-    the first section have an empty one."""
+    """``(section, key, value, line)`` of an INI file; comments are skipped, the last value of a key of a section counts, with the
+    number of its line from 0.  Keys before the first section have an empty one."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
     head = F.when(F.col("line").rlike(r"^\s*\[[^\]]*\]"), F.regexp_extract("line", r"^\s*\[([^\]]*)\]", 1))
     lines = lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(_in_order()), F.lit("")))
     pairs = lines.where(F.col("line").rlike(r"^\s*[^;#\[=\s][^=]*=")).select(
         "at", "section", F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^=]*=", "")).alias("value")
     )
-    return pairs.groupBy("section", "key").agg(F.max_by("value", "at").alias("value"))
+    return pairs.groupBy("section", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("line"))
 
 
 def setting(settings: DataFrame, keys: DataFrame) -> DataFrame:
-    """Values of ``keys(section, key, default)``, or their defaults."""
+    """Values of ``keys(section, key, default)``, or their defaults; keys without a section have the last value of any."""
+    if "section" not in keys.columns:
+        last = settings.groupBy("key").agg(F.max_by("value", "line").alias("value"))
+        return keys.join(last, "key", "left").select("key", F.coalesce("value", "default").alias("value"))
     return keys.join(settings, ["section", "key"], "left").select("section", "key", F.coalesce("value", "default").alias("value"))
 
 
