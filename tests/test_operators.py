@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from voxelspark.operators import fit, sorting, text, timeline, voxel
+from voxelspark.operators import fit, metrics, sorting, text, timeline, voxel
 from voxelspark.sources import adapters, files
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,23 @@ def test_hex_rows_hold_the_bytes(spark):
     data = bytes(range(20))
     got = text.hex_rows(spark.createDataFrame([(1, data)], "k int, b binary"), "k", "b").orderBy("row").collect()
     assert bytes(int(x, 16) for r in got for x in r["line"].split(", ")) == data and len(got) == 2
+
+
+def test_windows_of_one_key_go_by_runs(spark):
+    random_rows = random.Random(4)
+    ids = random_rows.sample(range(400), 150)
+    data = [(random_rows.choice([1, 1, 1, 2, None]), i, random_rows.randrange(1000), random_rows.randrange(16)) for i in ids]
+    frames = spark.createDataFrame(data, "user_id int, frame_id long, draw_us long, events int")
+    rings = {r["frame_id"]: (r["low"], r["mid"], r["high"]) for r in metrics.ring_markers(frames, "user_id", 7, 32).collect()}
+    edges = {r["frame_id"]: (r["changed"], r["pressed"], r["released"]) for r in metrics.edges(frames, "user_id", "frame_id", "events", 32).collect()}
+    want_rings, want_edges = {}, {}
+    for key in (1, 2, None):
+        rows = sorted((r for r in data if r[0] == key), key=lambda r: r[1])
+        for k, (_, i, _, mask) in enumerate(rows):
+            last = [r[2] for r in rows[max(k - 6, 0) : k + 1]]
+            want_rings[i] = (min(last), round(sum(last) / len(last), 4), max(last))
+            changed = mask ^ (rows[k - 1][3] if k else 0)
+            want_edges[i] = (changed, changed & mask, changed & ~mask)
+    assert edges == want_edges
+    assert rings.keys() == want_rings.keys() and all(rings[i] == pytest.approx(want_rings[i], abs=1e-3) for i in rings)
+    assert metrics.ring_markers(frames.limit(0), "user_id").isEmpty() and metrics.edges(frames.limit(0), "user_id", "frame_id", "events").isEmpty()

@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplie
 
 
 def test_all_starts_enter_the_lookup(spark):
-    got = {r["frame"]: (r["sequence_id"], r["frame_rank"]) for r in catalogue.QUERIES["frame_to_sequence_all"](spark, SF).collect()}
+    got = {r["frame"]: (r["sequence_id"], r["frame_rank"]) for r in catalogue.QUERIES["frame_to_sequence"](spark, SF).collect()}
     events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "user_id", "cast(ts as date) as day").collect()
     first = {}
     for r in events:
@@ -32,7 +32,7 @@ def test_all_starts_enter_the_lookup(spark):
 
 
 def test_every_sequence_is_validated_against_the_next(spark):
-    got = collections.Counter(tuple(r[c] for c in ("sequence_id", "user_id", "event_type", "n", "side")) for r in catalogue.QUERIES["stream_validate_all"](spark, SF).collect())
+    got = collections.Counter(tuple(r[c] for c in ("sequence_id", "user_id", "event_type", "n", "side")) for r in catalogue.QUERIES["stream_validate"](spark, SF).collect())
     found = collections.defaultdict(collections.Counter)
     frames = adapters.frames(spark, SF).collect()
     for r in frames:

@@ -27,8 +27,8 @@ def by_kind(kind: Column, callbacks: dict[str, Column], otherwise: Column) -> Co
     return out.otherwise(otherwise)
 
 
-def path_lengths(paths: DataFrame, key: str, positions: str) -> DataFrame:
+def path_lengths(paths: DataFrame, key: list[str], positions: str) -> DataFrame:
     """Points and length of a path given as an array of structs x, y, z; null or empty paths have length 0."""
     step = F.expr(f"transform(sequence(1, size({positions}) - 1), i -> sqrt(pow({positions}[i].x - {positions}[i - 1].x, 2) + pow({positions}[i].y - {positions}[i - 1].y, 2) + pow({positions}[i].z - {positions}[i - 1].z, 2)))")
     total = F.aggregate(step, F.lit(0.0), lambda a, x: a + x)
-    return paths.select(key, F.greatest(F.size(positions), F.lit(0)).alias("points"), F.when(F.size(positions) > 1, total).otherwise(0.0).alias("length"))
+    return paths.select(*key, F.greatest(F.size(positions), F.lit(0)).alias("points"), F.when(F.size(positions) > 1, total).otherwise(0.0).alias("length"))

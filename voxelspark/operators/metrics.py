@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
-def edges(events: DataFrame, key: str, order: list[str], mask: str) -> DataFrame:
-    """Bits that changed since the row before of the same key, those pressed and those released."""
-    before = F.lag(mask, 1, 0).over(Window.partitionBy(key).orderBy(*order))
-    rows = events.withColumn("changed", F.col(mask).bitwiseXOR(before))
+#: Values of a frame number that one task orders for one key, however many frames the key has.
+RUN = 1 << 16
+
+
+def _earlier(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def edges(events: DataFrame, key: str, order: str, mask: str, run: int = RUN) -> DataFrame:
+    """Bits that changed since the row before of the same key, those pressed and those released; 0 comes before the first.
+
+    ``order`` is an integer, unique for a key.  Runs of it are ordered on their own; the first row of a run takes the last mask
+    of the runs before, of which there is one row each, so that no task sorts a whole key."""
+    rows = events.withColumn("_run", F.expr(f"{order} div {run}"))
+    last = F.last("_last").over(_earlier(Window.partitionBy(key).orderBy("_run")))
+    before = rows.groupBy(key, "_run").agg(F.max_by(mask, order).alias("_last")).select(F.col(key).alias("_key"), F.col("_run").alias("_of"), last.alias("_past"))
+    rows = rows.withColumn("_prior", F.lag(mask).over(Window.partitionBy(key, "_run").orderBy(order)))
+    rows = rows.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_run").eqNullSafe(F.col("_of")))
+    rows = rows.withColumn("changed", F.col(mask).bitwiseXOR(F.coalesce("_prior", "_past", F.lit(0)))).drop("_run", "_key", "_of", "_past", "_prior")
     return rows.withColumn("pressed", F.col("changed").bitwiseAND(F.col(mask))).withColumn("released", F.col("changed").bitwiseAND(F.bitwise_not(F.col(mask))))
 
 
@@ -17,23 +33,31 @@ def has_event(events: Column, mask: int, y: Column, low: float, high: float) ->
     return (events.bitwiseAND(F.lit(mask)) != 0) & y.between(low, high)
 
 
-def ring_markers(frames: DataFrame, key: str, size: int = 4140) -> DataFrame:
-    """Least, mean and greatest draw time of the last ``size`` frames, at each frame of a key.
+def ring_markers(frames: DataFrame, key: str, size: int = 4140, run: int = RUN) -> DataFrame:
+    """Least, mean and greatest draw time of the last ``size`` frames, at each frame of a key; frame ids are unique for a key.
 
     Work grows with the frames, not with ``size``: frames go in blocks of ``size``; a window is the end of one block and the
-    beginning of the next, whose least and greatest are kept from either side; sums are differences of running sums."""
-    order = Window.partitionBy(key).orderBy("frame_id")
-    rows = frames.select(key, "frame_id", "draw_us", (F.row_number().over(order) - 1).alias("_n"), F.sum("draw_us").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"))
+    beginning of the next, whose least and greatest are kept from either side; sums are differences of running sums.  Runs of
+    ``run`` frame ids are numbered and summed on their own, and each row meets the row ``size`` frames before in the block that
+    follows, so a task holds a run or two blocks of a key, however many frames the key has."""
+    rows = frames.select(F.col(key).alias("_key"), "frame_id", "draw_us").withColumn("_run", F.expr(f"frame_id div {run}"))
+    runs = rows.groupBy("_key", "_run").agg(F.count("*").alias("_rows"), F.sum("draw_us").alias("_us"))
+    order = _earlier(Window.partitionBy("_key").orderBy("_run"))
+    runs = runs.select(F.col("_key").alias("_of"), F.col("_run").alias("_of_run"), *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_past") for c in ("_rows", "_us")])
+    inside = Window.partitionBy("_key", "_run").orderBy("frame_id")
+    rows = rows.withColumns({"_nth": F.row_number().over(inside) - 1, "_so_far": F.sum("draw_us").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.join(runs, F.col("_key").eqNullSafe(F.col("_of")) & F.col("_run").eqNullSafe(F.col("_of_run")))
+    rows = rows.select("_key", "frame_id", "draw_us", (F.col("_rows_past") + F.col("_nth")).alias("_n"), (F.coalesce("_so_far", F.lit(0)) + F.col("_us_past")).alias("_sum"))
     rows = rows.withColumn("_block", F.expr(f"_n div {size}"))
-    block = Window.partitionBy(key, "_block").orderBy("_n")
+    block = Window.partitionBy("_key", "_block").orderBy("_n")
     head, tail = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
-    kept = {f"_{f.__name__}_{side}": f("draw_us").over(w) for f in (F.min, F.max) for side, w in (("head", head), ("tail", tail))}
-    rows = rows.withColumns(kept)
-    by_n = Window.partitionBy(key).orderBy("_n")
-    rows = rows.withColumns({"_before": F.lag("_sum", size).over(by_n), **{f"_{f}_past": F.lag(f"_{f}_tail", size - 1).over(by_n) for f in ("min", "max")}})
+    rows = rows.withColumns({f"_{f.__name__}_{side}": f("draw_us").over(w) for f in (F.min, F.max) for side, w in (("head", head), ("tail", tail))})
+    rows = rows.withColumn("_in", F.explode(F.array(F.col("_block"), F.col("_block") + 1)))  # its own block and the next
+    both = Window.partitionBy("_key", "_in").orderBy("_n")
+    rows = rows.withColumns({"_before": F.lag("_sum", size).over(both), **{f"_{f}_past": F.lag(f"_{f}_tail", size - 1).over(both) for f in ("min", "max")}})
     count = F.least(F.col("_n") + 1, F.lit(size))
-    return rows.select(
-        key, "frame_id", (F.col("frame_id") % size).cast("int").alias("slot"), F.least("_min_head", "_min_past").alias("low"),
+    return rows.where("_in = _block").select(
+        F.col("_key").alias(key), "frame_id", (F.col("frame_id") % size).cast("int").alias("slot"), F.least("_min_head", "_min_past").alias("low"),
         F.round((F.col("_sum") - F.coalesce("_before", F.lit(0))) / count, 4).alias("mid"), F.greatest("_max_head", "_max_past").alias("high"),
     )
 

@@ -178,10 +178,13 @@ def hash_u32(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT id, round(list_sum(list_transform(range(31), lambda k: ((id + 1) // (2 ** k)::BIGINT % 2) / (2.0 ** (k + 1)))), 6) AS x, round(list_sum(list_transform(range(20), lambda k: ((id + 1) // (3 ** k)::BIGINT % 3) / (3.0 ** (k + 1)))), 6) AS y,
-  round(list_sum(list_transform(range(14), lambda k: ((id + 1) // (5 ** k)::BIGINT % 5) / (5.0 ** (k + 1)))), 6) AS z FROM (SELECT unnest(range(2000)) AS id)""")
+def _inverse_sql(base: int, digits: int) -> str:
+    return f"round(list_sum(list_transform(range({digits}), lambda k: ((id + 1) // ({base} ** k)::BIGINT % {base}) / ({base}.0 ** (k + 1)))), 6)"
+
+
+@query(f"SELECT id, {_inverse_sql(2, 31)} AS x, {_inverse_sql(3, 20)} AS y, {_inverse_sql(5, 14)} AS z FROM (SELECT o_orderkey AS id FROM orders)")
 def halton(spark: SparkSession, d: str) -> DataFrame:
-    return generators.halton_points(spark, 2000).select("id", *[F.round(c, 6).alias(c) for c in "xyz"])
+    return generators.halton_points(adapters.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select("id", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 @query(f"WITH {CELLS}, keys AS (SELECT DISTINCT (mip::BIGINT << 15) | ((z % 32) << 10) | ((y % 32) << 5) | (x % 32) AS key FROM cells) SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank FROM keys")
@@ -247,20 +250,9 @@ def frames_at(spark: SparkSession, d: str) -> DataFrame:
     return timeline.frame_at(timeline.delta_ranges(adapters.frames(spark, d), KEY, ["n"], RATE), wanted, RATE)
 
 
-@query("""WITH st AS (SELECT (o_orderkey * 13 % 5000) * 3 AS s, CAST(row_number() OVER (ORDER BY (o_orderkey * 13 % 5000) * 3) AS INT) AS sequence_id FROM (SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 11 = 0 GROUP BY (o_orderkey * 13 % 5000) * 3)),
-  fr AS (SELECT DISTINCT l_partkey AS frame FROM lineitem) SELECT frame, st.sequence_id, frame - s AS frame_rank FROM fr ASOF LEFT JOIN st ON frame >= s""")
-def frame_to_sequence(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    starts = adapters.table(spark, d, "orders").where("o_orderkey % 11 = 0").select(((F.col("o_orderkey") * 13 % 5000) * 3).cast("long").alias("start")).distinct()
-    starts = starts.withColumn("sequence_id", F.row_number().over(Window.orderBy("start")))  # numbers the starts, not the frames
-    frames = adapters.table(spark, d, "lineitem").select(F.col("l_partkey").alias("frame")).distinct()
-    return timeline.sequence_lookup(frames, starts)
-
-
 @query("""WITH st AS (SELECT s, CAST(row_number() OVER (ORDER BY s) AS INT) AS sequence_id FROM (SELECT DISTINCT min(event_id) AS s FROM events GROUP BY user_id, CAST(ts AS DATE))),
   fr AS (SELECT DISTINCT event_id AS frame FROM events) SELECT frame, st.sequence_id, frame - s AS frame_rank FROM fr ASOF LEFT JOIN st ON frame >= s""")
-def frame_to_sequence_all(spark: SparkSession, d: str) -> DataFrame:
+def frame_to_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Every event is a frame, the first of each user and day starts a sequence: starts and frames grow with the table."""
     events = adapters.table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("date").alias("day"))
     starts = events.groupBy("user_id", "day").agg(F.min("event_id").alias("start")).select("start", F.lit(1).alias("one")).distinct()
@@ -292,16 +284,9 @@ def stream_trim(spark: SparkSession, d: str) -> DataFrame:
     return timeline.trim_stream(_streams(spark, d), 1, 1)
 
 
-@query(f"WITH {FRAMES}, l AS (SELECT user_id, event_type, n FROM fr WHERE frame < 7), r AS (SELECT user_id, event_type, n FROM fr WHERE frame >= 7 AND frame < 14) SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)")
-def stream_validate(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapters.frames(spark, d)
-    part = lambda lo, hi: rows.where(f"frame >= {lo} and frame < {hi}").select(*KEY, "n")
-    return timeline.difference(part(0, 7), part(7, 14))
-
-
 @query(f"""WITH {FRAMES}, sq AS (SELECT CAST(frame // 7 AS INT) AS sequence_id, user_id, event_type, n FROM fr), l AS (SELECT * FROM sq WHERE sequence_id < (SELECT max(sequence_id) FROM sq)),
   r AS (SELECT CAST(sequence_id - 1 AS INT) AS sequence_id, user_id, event_type, n FROM sq WHERE sequence_id > (SELECT min(sequence_id) FROM sq)) SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)""")
-def stream_validate_all(spark: SparkSession, d: str) -> DataFrame:
+def stream_validate(spark: SparkSession, d: str) -> DataFrame:
     return timeline.sequence_differences(adapters.frames(spark, d), [*KEY, "n"], RATE)
 
 
@@ -440,10 +425,12 @@ def kernel_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return kernels.dispatch(p.select("vec_id", "x", "y", "drawn"), lambda b: b.assign(out=(b["x"] * 2 + b["y"]).round(6))[["vec_id", "out", "drawn"]], "vec_id long, out double, drawn double")
 
 
-@query(f"WITH {POINTS}, s AS (SELECT label, vec_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS l FROM pts WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, CAST(count(*) AS INT) AS points, round(coalesce(sum(l), 0), 4) AS length FROM s GROUP BY label")
+@query(f"WITH {POINTS}, s AS (SELECT label, vec_id // 128 AS part, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS l FROM pts WINDOW w AS (PARTITION BY label, vec_id // 128 ORDER BY vec_id)) SELECT label, part, CAST(count(*) AS INT) AS points, round(coalesce(sum(l), 0), 4) AS length FROM s GROUP BY label, part")
 def scene_paths(spark: SparkSession, d: str) -> DataFrame:
-    paths = adapters.points(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y", "z"))).alias("positions"))
-    return kernels.path_lengths(paths, "label", "positions").withColumn("length", F.round("length", 4))
+    """A path has at most 128 positions, so a label is many paths and no array grows with the table."""
+    points = adapters.points(spark, d).withColumn("part", F.expr("vec_id div 128"))
+    paths = points.groupBy("label", "part").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y", "z"))).alias("positions"))
+    return kernels.path_lengths(paths, ["label", "part"], "positions").withColumn("length", F.round("length", 4))
 
 
 @query("SELECT CAST(id AS INT) AS view_id, CAST(id // 6 AS INT) AS cubemap, CAST(id % 6 AS INT) AS face FROM (SELECT unnest(range(102)) AS id)")
@@ -600,7 +587,7 @@ def side_by_side(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DRAWS}, e AS (SELECT frame_id, user_id, events, xor(events, lag(events, 1, 0) OVER (PARTITION BY user_id ORDER BY frame_id)) AS changed FROM dr) SELECT frame_id, changed, changed & events AS pressed, changed & ~events AS released FROM e")
 def event_edges(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.edges(adapters.draw_times(spark, d), "user_id", ["frame_id"], "events").select("frame_id", "changed", "pressed", "released")
+    return metrics.edges(adapters.draw_times(spark, d), "user_id", "frame_id", "events").select("frame_id", "changed", "pressed", "released")
 
 
 @query(f"WITH {DRAWS} SELECT user_id, frame_id, CAST(frame_id % 4140 AS INT) AS slot, min(draw_us) OVER w AS low, round(avg(draw_us) OVER w, 4) AS mid, max(draw_us) OVER w AS high FROM dr WINDOW w AS (PARTITION BY user_id ORDER BY frame_id ROWS BETWEEN 4139 PRECEDING AND CURRENT ROW)")
@@ -664,10 +651,10 @@ def hex_rows(spark: SparkSession, d: str) -> DataFrame:
     return text.hex_rows(adapters.table(spark, d, "part").select("p_partkey", F.col("p_name").cast("binary").alias("b")), "p_partkey", "b")
 
 
-@query("SELECT o_orderkey, regexp_replace(reverse(regexp_replace(reverse((o_orderkey * 1000)::VARCHAR), '(\\d{3})', '\\1,', 'g')), '^,', '') AS digits, o_orderkey // 1024 AS kb, (o_orderkey + 15) // 16 AS groups, o_orderkey & (o_orderkey - 1) = 0 AS power, CAST(floor(log2(o_orderkey)) AS INT) AS high, round(o_orderkey * (3.1415926 / 180.0)::DOUBLE, 6) AS rad FROM orders WHERE o_orderkey > 0")
+@query("SELECT o_orderkey, regexp_replace(reverse(regexp_replace(reverse((o_orderkey * 1000)::VARCHAR), '(\\d{3})', '\\1,', 'g')), '^,', '') AS digits, o_orderkey // 1024 AS kb, (o_orderkey + 15) // 16 AS groups, o_orderkey & (o_orderkey - 1) = 0 AS power, CASE WHEN o_orderkey = 0 THEN -1 ELSE CAST(floor(log2(nullif(o_orderkey, 0))) AS INT) END AS high, round(o_orderkey * (3.1415926 / 180.0)::DOUBLE, 6) AS rad FROM orders")
 def number_formats(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return adapters.table(spark, d, "orders").where("o_orderkey > 0").select(
+    return adapters.table(spark, d, "orders").select(
         "o_orderkey", scalar.thousands(k * 1000).alias("digits"), scalar.in_unit(k, "KB").alias("kb"), bits.group_count(k, 16).alias("groups"), bits.is_power_of_two(k).alias("power"), bits.highest_bit(k).alias("high"), F.round(scalar.radians(k), 6).alias("rad")
     )
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.hashing import halton, sphere
 
 
-def halton_points(spark: SparkSession, n: int) -> DataFrame:
-    """``(id, x, y, z)`` in the unit cube, by bases 2, 3 and 5."""
-    return spark.range(n).select("id", *[halton(F.col("id"), b).alias(c) for c, b in zip("xyz", (2, 3, 5), strict=True)])
+def halton_points(ids: DataFrame) -> DataFrame:
+    """``(id, x, y, z)`` in the unit cube for each ``id`` from 0, by bases 2, 3 and 5."""
+    return ids.select("id", *[halton(F.col("id"), b).alias(c) for c, b in zip("xyz", (2, 3, 5), strict=True)])
 
 
-def halton_directions(spark: SparkSession, n: int) -> DataFrame:
-    """``(id, x, y, z)`` on the unit sphere."""
-    p = spark.range(n).select("id", halton(F.col("id"), 2).alias("u"), halton(F.col("id"), 3).alias("v"))
+def halton_directions(ids: DataFrame) -> DataFrame:
+    """``(id, x, y, z)`` on the unit sphere for each ``id`` from 0."""
+    p = ids.select("id", halton(F.col("id"), 2).alias("u"), halton(F.col("id"), 3).alias("v"))
     return p.select("id", *[c.alias(a) for a, c in zip("xyz", sphere(F.col("u"), F.col("v")), strict=True)])
 
 
