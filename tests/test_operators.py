@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from voxelspark.operators import fit, metrics, sorting, text, timeline, voxel
+from voxelspark.operators import capture, fit, metrics, sorting, text, timeline, voxel
 from voxelspark.sources import adapters, files
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +112,20 @@ def test_windows_of_one_key_go_by_runs(spark):
     assert edges == want_edges
     assert rings.keys() == want_rings.keys() and all(rings[i] == pytest.approx(want_rings[i], abs=1e-3) for i in rings)
     assert metrics.ring_markers(frames.limit(0), "user_id").isEmpty() and metrics.edges(frames.limit(0), "user_id", "frame_id", "events").isEmpty()
+
+
+def test_faces_of_a_cube_look_along_right_times_up(spark):
+    for forward, right, up in capture.FACES:
+        assert sum(a * b for a, b in zip(forward, right, strict=True)) == sum(a * b for a, b in zip(forward, up, strict=True)) == 0
+        assert all(right[(k + 1) % 3] * up[(k + 2) % 3] - right[(k + 2) % 3] * up[(k + 1) % 3] == forward[k] for k in range(3))
+    views = capture.cube_views(capture.sample_offsets(spark, 17, 0.05))
+    assert sorted(r["view_id"] for r in views.collect()) == list(range(102))
+    with pytest.raises(ValueError):
+        capture.sample_offsets(spark, 33, 0.05)
+
+
+def test_texels_beyond_the_image_and_without_a_place(spark):
+    texels = spark.createDataFrame([(0, 0, 1, 2, 3), (1, 1, 4, 5, 6)], "x int, y int, r int, g int, b int")
+    points = spark.createDataFrame([(1, -5.0, 0.2), (2, 9.0, 1.0), (3, 0.9, 0.1), (4, None, 0.5)], "id int, u double, v double")
+    got = {r["id"]: (r["r"], r["g"], r["b"]) for r in capture.textured(points, texels, "u", "v", 2, 2).collect()}
+    assert got == {1: (1, 2, 3), 2: (4, 5, 6), 3: (0, 0, 0), 4: (0, 0, 0)}

@@ -179,10 +179,10 @@ def hash_u32(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _inverse_sql(base: int, digits: int) -> str:
-    return f"round(list_sum(list_transform(range({digits}), lambda k: ((id + 1) // ({base} ** k)::BIGINT % {base}) / ({base}.0 ** (k + 1)))), 6)"
+    return f"list_sum(list_transform(range({digits}), lambda k: ((id + 1) // ({base} ** k)::BIGINT % {base}) / ({base}.0 ** (k + 1))))"
 
 
-@query(f"SELECT id, {_inverse_sql(2, 31)} AS x, {_inverse_sql(3, 20)} AS y, {_inverse_sql(5, 14)} AS z FROM (SELECT o_orderkey AS id FROM orders)")
+@query(f"SELECT id, round({_inverse_sql(2, 31)}, 6) AS x, round({_inverse_sql(3, 20)}, 6) AS y, round({_inverse_sql(5, 14)}, 6) AS z FROM (SELECT o_orderkey AS id FROM orders)")
 def halton(spark: SparkSession, d: str) -> DataFrame:
     return generators.halton_points(adapters.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select("id", *[F.round(c, 6).alias(c) for c in "xyz"])
 

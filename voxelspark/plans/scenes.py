@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, color, geometry, hashing, scalar
-from ..operators import codec, metrics, scene, sorting, text, trace, voxel
+from ..operators import capture, codec, metrics, scene, sorting, text, trace, voxel
 from ..sources import adapters, files
-from .catalogue import _MIP, _SEEN, BOXES, CAMERA, CELLS, CENTRES, HALVES, IMAGE, LEAVES, POINTS, query
+from .catalogue import _MIP, _SEEN, _inverse_sql, BOXES, CAMERA, CELLS, CENTRES, HALVES, IMAGE, LEAVES, POINTS, query
 
 SKY = 10  # the mip of the sky
 
@@ -17,6 +17,42 @@ def _cols(*names: str) -> tuple:
     return tuple(F.col(n) for n in names)
 
 
+# --- capture -----------------------------------------------------------------------------------------------------------
+
+_OFFSETS = "off AS (SELECT id, " + ", ".join(f"({_inverse_sql(b, n)} * 2 - 1) * 0.05::DOUBLE AS {c}" for c, b, n in (("x", 2, 31), ("y", 3, 20), ("z", 5, 14))) + " FROM (SELECT unnest(range({count})) AS id))"
+_AXES = [f"{name}{c}" for name in "fru" for c in "xyz"]
+_FACES = "face AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, " + ", ".join(f"{float(v)!r}::DOUBLE" for axis in face for v in axis) + ")" for k, face in enumerate(capture.FACES)) + f") t(face, {', '.join(_AXES)}))"
+
+
+@query(f"WITH {_OFFSETS.format(count=32)} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM off")
+def sample_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return capture.sample_offsets(spark, capture.OFFSETS_MOST, 0.05).select("id", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {_OFFSETS.format(count=17)}, {_FACES} SELECT CAST(id * 6 + face AS INT) AS view_id, round(x, 6) AS ox, round(y, 6) AS oy, round(z, 6) AS oz, {', '.join(_AXES)} FROM off, face")
+def capture_views(spark: SparkSession, d: str) -> DataFrame:
+    views = capture.cube_views(capture.sample_offsets(spark, 17, 0.05))
+    return views.withColumns({f"o{c}": F.round(f"o{c}", 6) for c in "xyz"})
+
+
+@query(f"""WITH {CELLS}, {_OFFSETS.format(count=17)}, {_FACES}, p AS (SELECT k, n, (k * 7 + n) % 102 AS view_id, (x + 0.5::DOUBLE) * 0.015625::DOUBLE * 2 - 1 AS sx, (y + 0.5::DOUBLE) * 0.015625::DOUBLE * 2 - 1 AS sy, 1.0::DOUBLE / nullif(z * 0.08::DOUBLE + 0.1::DOUBLE, 0) AS t, r, g, b FROM cells)
+  SELECT k, n, CAST(view_id AS INT) AS view_id, {', '.join(f'round(off.{c} + (f{c} + r{c} * sx - u{c} * sy) * t, 6) AS p{c}' for c in 'xyz')}, {', '.join(f'CAST(trunc(pow({c} / 255.0::DOUBLE, 2.2::DOUBLE) * 255 + 0.5) AS INT) AS {c}' for c in 'rgb')}
+  FROM p JOIN off ON off.id = view_id // 6 JOIN face ON face = view_id % 6""")
+def cube_face_samples(spark: SparkSession, d: str) -> DataFrame:
+    pixels = adapters.cells(spark, d).select("k", "n", ((F.col("k") * 7 + F.col("n")) % 102).cast("int").alias("view_id"), "x", "y", F.col("z").alias("depth"), "r", "g", "b")
+    rows = capture.cube_face_samples(pixels, capture.cube_views(capture.sample_offsets(spark, 17, 0.05)), 64, 0.08, 0.1, srgb=True)
+    return rows.withColumns({c: F.round(c, 6) for c in ("px", "py", "pz")})
+
+
+@query(f"""WITH {CELLS}, {IMAGE}, {POINTS}, t AS (SELECT vec_id, CAST(greatest(least(floor((x * 4 + 0.5) * 64), 63), 0) AS INT) AS tx, CAST(greatest(least(floor((y * 4 + 0.5) * 64), 63), 0) AS INT) AS ty, z FROM pts)
+  SELECT vec_id, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, round(abs(z) * (coalesce(r, 0) / 255.0::DOUBLE * 0.5), 6) AS glyph FROM t LEFT JOIN img ON img.x = tx AND img.y = ty""")
+def textured_points(spark: SparkSession, d: str) -> DataFrame:
+    points = adapters.points(spark, d).select("vec_id", (F.col("x") * 4 + 0.5).alias("u"), (F.col("y") * 4 + 0.5).alias("v"), F.abs("z").alias("ink"))
+    rows = capture.textured(points, adapters.image(spark, d), "u", "v", 64, 64)
+    ink = capture.glyph_colour(F.col("r") / 255.0, (F.col("ink"), F.col("ink"), F.col("ink"), F.lit(0.5)))
+    return rows.select("vec_id", "r", "g", "b", F.round(ink[0], 6).alias("glyph"))
+
+
 # --- samples and filters -----------------------------------------------------------------------------------------------
 
 _LO, _HI = "CAST(-0.75 AS DOUBLE)", "CAST(0.75 AS DOUBLE)"

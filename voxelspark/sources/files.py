@@ -217,8 +217,10 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def write_stream(stream: DataFrame, path: str, extend: bool = False, codec: str = "zstd") -> None:
-    """A stream as a table partitioned by sequence, in compressed columns (``zstd``, or ``lz4`` for speed); ``extend`` appends."""
-    stream.repartition("sequence_id").write.mode("append" if extend else "error").option("compression", codec).partitionBy("sequence_id").parquet(path)
+    """A stream as a table partitioned by sequence, in compressed columns (``zstd``, or ``lz4`` for speed); ``extend`` appends.
+
+    A sequence's rows go to few files: the adaptive plan splits a sequence that is large and joins small ones."""
+    stream.hint("rebalance", "sequence_id").write.mode("append" if extend else "error").option("compression", codec).partitionBy("sequence_id").parquet(path)
 
 
 def _claim(spark: SparkSession, path: str, count: int) -> int:
