@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_blocks, mixing, ngram_join, ordinal_quality, packing, perspectives, repetition, sharding, toxicity
+from . import divergence, exact_dedup, html_blocks, importance, mixing, ngram_join, ordinal_quality, packing, perspectives, repetition, sharding, toxicity
 from .runtime import read
 
 
@@ -69,6 +69,14 @@ def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_html_block_tree": op2_html_block_tree,
@@ -80,8 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_linear_grouping_packing": op10_linear_grouping_packing,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op13_source_divergence": op13_source_divergence,
 }
 
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -145,4 +156,38 @@ ORACLES: dict[str, str] = {
                      coalesce(string_agg(a || '-' || (a + length(text)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask, sum(n) AS n FROM p GROUP BY ALL)
         SELECT conv_id, speaker, run, n_turns, n_own, text, mask,
                coalesce(sum(n) OVER (PARTITION BY conv_id, speaker ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r""",
+    "op11_importance_resampling": rf"""
+        WITH RECURSIVE poly AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+                      UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM poly WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS tab FROM poly WHERE k = 8),
+        words AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id AS id, regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+                  UNION ALL SELECT 1, row_number() OVER (), NULL, regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        feature AS (SELECT side, r, unnest(list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2]))) AS f FROM words),
+        known AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM feature)),
+        slot AS (SELECT f, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT),
+                               4294967295) % 10000 AS bucket FROM known, crc),
+        placed AS (SELECT side, r, bucket FROM feature JOIN slot USING (f)),
+        n AS (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM placed GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS g FROM n),
+        mean AS (SELECT r, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM placed JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+        scored AS (SELECT d.id AS doc_id, d.r, len(d.w)::BIGINT AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                          coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(d.id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+                   FROM words d LEFT JOIN mean USING (r) WHERE d.side = 0),
+        placed_all AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) FILTER (WHERE n_words >= 20) OVER () AS n FROM scored)
+        SELECT doc_id, n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM placed_all""",
+    "op13_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_SMALL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        word AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        n AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT r) AS docs FROM word GROUP BY ALL),
+        kept AS (SELECT lang, term FROM n GROUP BY ALL HAVING sum(docs) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        cell AS (SELECT g.lang, g.source, k.term, coalesce(n.c, 0)::HUGEINT AS c FROM grp g JOIN kept k USING (lang) LEFT JOIN n USING (lang, source, term)),
+        p AS (SELECT lang, source, term, c, 1 + 1000000000::HUGEINT * (c + 1) // (sum(c) OVER (PARTITION BY lang, source) + v)::HUGEINT AS p FROM cell JOIN v USING (lang)),
+        q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (c + 1) // (sum(c) OVER (PARTITION BY lang) + v)::HUGEINT AS q FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM cell GROUP BY ALL) JOIN v USING (lang)),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+                 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source),
+        term AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+        both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+        SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts QUALIFY part = 'pair' OR rank <= 200""",
 }

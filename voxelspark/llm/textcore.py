@@ -1,6 +1,6 @@
 """Vectorised words, hashes and shingles over Arrow text columns.
 
-A word is a maximal run of ``[^\\x20\\x09-\\x0D]+``.  Everything here works on the UTF-8 bytes of a whole
+A word is a maximal run of ``[^\\x20\\x09-\\x0D]+``, or of what is between other bytes.  Everything here works on the UTF-8 bytes of a whole
 batch at once; those separators are single bytes in UTF-8, so bytes and code points give the same words.
 Hashes are 64 bits wide and depend on the word's bytes alone, never on the process or the batch.
 """
@@ -36,7 +36,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a run of texts: byte spans, the first word of each text, and on demand hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE):
         self.offsets = offsets - offsets[0]
         n = int(self.offsets[-1])
         padded = np.zeros(n + 16, dtype=np.uint8)
@@ -44,7 +44,8 @@ class Words:
         if lower:
             padded[:n] = _LOWER[padded[:n]]
         self.bytes, self.n_bytes = padded, n
-        word = ~_SPACE[padded[:n]]
+        word = ~between[padded[:n]]
+        self.inside = word
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         ends = word.copy()
@@ -63,6 +64,11 @@ class Words:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def strings(self) -> pa.Array:
+        """Each word as a string."""
+        ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(self.starts), pa.py_buffer(ends), pa.py_buffer(self.bytes[: self.n_bytes][self.inside]))
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         return hash_spans(self.bytes, self.starts, self.ends)
@@ -124,12 +130,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def passes(column: pa.Array, lower: bool = False, most: int = PASS_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """``(from, to, words)`` for runs of rows of at most ``most`` bytes (one row at least)."""
+def passes(column: pa.Array, lower: bool = False, most: int = PASS_BYTES, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
+    """``(from, to, words)`` for runs of rows of at most ``most`` bytes (one row at least).
+
+    ``between`` tells for each of the 256 bytes whether it stands between words."""
     data, offsets = text_buffers(column)
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
         hi = min(max(hi, lo + 1), n)
-        yield lo, hi, Words(data, offsets[lo : hi + 1], lower)
+        yield lo, hi, Words(data, offsets[lo : hi + 1], lower, between)
         lo = hi
