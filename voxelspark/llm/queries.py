@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, html_blocks, importance, mixing, ngram_join, ordinal_quality, packing, perspectives, repetition, sharding, toxicity
+from . import divergence, exact_dedup, html_blocks, importance, mixing, ngram_join, ordinal_quality, packing, perspectives, repetition, sharding, toxicity, warc
 from .runtime import read
 
 
@@ -73,6 +73,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_linear_grouping_packing": op10_linear_grouping_packing,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_warc_salvage": op12_warc_salvage,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -175,6 +180,11 @@ ORACLES: dict[str, str] = {
                    FROM words d LEFT JOIN mean USING (r) WHERE d.side = 0),
         placed_all AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) FILTER (WHERE n_words >= 20) OVER () AS n FROM scored)
         SELECT doc_id, n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM placed_all""",
+    "op12_warc_salvage": r"""
+        WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS owner FROM p)
+        SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN owner <> page_id THEN owner END AS refers_to FROM o""",
     "op13_source_divergence": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_SMALL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
         word AS (SELECT r, lang, source, unnest(w) AS term FROM d),
