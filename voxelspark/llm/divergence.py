@@ -22,7 +22,6 @@ from .textcore import passes
 #: A term is a run of what is not in ``[\x00-\x40\x5B-\x60\x7B-\x7F]``, with A-Z made small.
 _BETWEEN = np.zeros(256, dtype=bool)
 _BETWEEN[0x00:0x41] = _BETWEEN[0x5B:0x61] = _BETWEEN[0x7B:0x80] = True
-_SCALE = 1_000_000_000
 #: Terms of a block: so many for few groups, more for many, but no more entries of a tile than ``TILE``.
 BLOCK_TERMS, TILE = 512, 1 << 22
 #: Entries of one broadcast of pairs.
@@ -59,7 +58,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def shares(count: np.ndarray, total: np.ndarray, floor: int = _SCALE) -> np.ndarray:
+def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     """``1 + floor(10^9 count / total)`` for ``count <= total``, exact for totals below 9 * 10^15: three digits at a time."""
     whole, rest = np.divmod(count, total)
     for _ in range(3):
