@@ -23,7 +23,7 @@ from .textcore import passes
 _BETWEEN = np.zeros(256, dtype=bool)
 _BETWEEN[0x00:0x41] = _BETWEEN[0x5B:0x61] = _BETWEEN[0x7B:0x80] = True
 #: Terms of a block: so many for few groups, more for many, but no more entries of a tile than ``TILE``.
-BLOCK_TERMS, TILE = 512, 1 << 22
+BLOCK_TERMS, TILE = 4096, 1 << 22
 #: Entries of one broadcast of pairs.
 _BROADCAST = 1 << 20
 
