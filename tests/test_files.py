@@ -102,11 +102,10 @@ def test_streams_extend_with_new_ids(spark, tmp_path, codec):
     path = str(tmp_path / "stream")
     rows = spark.range(20).select((F.col("id") % 4).cast("int").alias("sequence_id"), F.col("id").alias("block"))
     files.write_stream(rows, path, codec=codec)
-    files.extend_stream(spark, rows, path, codec=codec)
-    first = files._claim(spark, path, 3)  # a writer that has its ids and no rows yet
-    files.extend_stream(spark, rows, path, codec=codec)
+    files.extend_stream(rows, path, codec=codec)
+    files.extend_stream(rows, path, first=11, codec=codec)  # another writer has the ids between
     columns, found = files.stream_schema(spark, path)
-    assert first == 8 and set(columns) == {"sequence_id", "block"} and found == [*range(8), *range(11, 15)]
+    assert set(columns) == {"sequence_id", "block"} and found == [*range(8), *range(11, 15)]
     assert files.read_sequence(spark, path, 11).count() == 5
     assert any(codec in p.name for p in (tmp_path / "stream").rglob("*.parquet"))
 
@@ -152,3 +151,21 @@ def test_work_is_waited_for_and_cancelled(spark):
     bad.cancel()
     with pytest.raises(Exception):
         bad.wait(25)
+
+
+def test_two_files_are_read_apart(spark, tmp_path):
+    for name, at, key in (("a", 0.0, "one"), ("b", 9.0, "two")):
+        (tmp_path / f"{name}.ini").write_text(f"top = {name}\n[{key}]\nx = {name}\n\n[{key}]\nx = last {name}\n")
+        (tmp_path / f"{name}.obj").write_text(f"v {at} 0 0\nv {at} 1 0\nvt 0.{int(at)} 1\nv {at} 0 1\nf 1/1 2/1 3/1\nf -3 -2 -1\n")
+        (tmp_path / f"{name}.mtl").write_text(f"newmtl {key}\nKd {at} 0 0\n")
+    settings = files.read_settings(spark, str(tmp_path / "*.ini")).collect()
+    assert {(r["path"][-5:], r["section"], r["key"], r["value"]) for r in settings} == {
+        ("a.ini", "", "top", "a"), ("b.ini", "", "top", "b"), ("a.ini", "one", "x", "last a"), ("b.ini", "two", "x", "last b")
+    }
+    keys = spark.createDataFrame([("top", "none"), ("gone", "none")], "key string, default string")
+    assert {tuple(r) for r in files.setting(files.read_settings(spark, str(tmp_path / "*.ini")), keys).collect()} == {("top", "b"), ("gone", "none")}
+    scene = files.read_obj(spark, str(tmp_path / "*.obj"))
+    assert sorted((r["path"][-5:], r["id"], r["x"]) for r in scene["positions"].collect()) == [(f"{n}.obj", k, x) for n, x in (("a", 0.0), ("b", 9.0)) for k in (1, 2, 3)]
+    corners = sorted((r["path"][-5:], r["triangle"], r["corner"], r["position"]) for r in scene["corners"].collect())
+    assert corners == [(f"{n}.obj", t, c, c + 1) for n in "ab" for t in (1, 2) for c in range(3)]
+    assert {(r["path"][-5:], r["material"], r["values"][0]) for r in files.read_mtl(spark, str(tmp_path / "*.mtl")).collect()} == {("a.mtl", "one", "0.0"), ("b.mtl", "two", "9.0")}

@@ -58,7 +58,7 @@ def test_streams_extend_and_prune(spark, tmp_path):
     path = str(tmp_path / "stream")
     one = spark.createDataFrame([(0, "a"), (1, "b")], "sequence_id int, v string")
     files.write_stream(one, path)
-    files.extend_stream(spark, one, path)
+    files.extend_stream(one, path)
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("sequence_id", "v").collect()) == [(0, "a"), (1, "b"), (2, "a"), (3, "b")]
     plan = files.read_sequence(spark, path, 2)
     assert [r["v"] for r in plan.collect()] == ["a"]

@@ -53,8 +53,9 @@ def sampled(pixels: DataFrame, history: DataFrame, values: list[str], keep: Sequ
 
 
 def reproject(pixels: DataFrame, history: DataFrame, value: str) -> DataFrame:
-    """The history at a pixel's displaced place (``dx``, ``dy``), by the four pixels around it; missing ones count 0."""
-    at = pixels.withColumn("hx", F.col("x") + F.col("dx")).withColumn("hy", F.col("y") + F.col("dy"))
+    """The history at a pixel's place before it moved, (x - dx, y + dy) as rows count down, by the four pixels around it; missing
+    ones count 0."""
+    at = pixels.withColumn("hx", F.col("x") - F.col("dx")).withColumn("hy", F.col("y") + F.col("dy"))
     return sampled(at, history, [value]).select("x", "y", F.round(f"{value}_past", 6).alias("past"))
 
 

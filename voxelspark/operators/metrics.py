@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .scan import LAST, scan
+
 
 #: Values of a frame number that one task orders for one key, however many frames the key has.
 RUN = 1 << 16
@@ -18,14 +20,10 @@ def _earlier(window: WindowSpec) -> WindowSpec:
 def edges(events: DataFrame, key: str, order: str, mask: str, run: int = RUN) -> DataFrame:
     """Bits that changed since the row before of the same key, those pressed and those released; 0 comes before the first.
 
-    ``order`` is an integer, unique for a key.  Runs of it are ordered on their own; the first row of a run takes the last mask
-    of the runs before, of which there is one row each, so that no task sorts a whole key."""
-    rows = events.withColumn("_run", F.expr(f"{order} div {run}"))
-    last = F.last("_last").over(_earlier(Window.partitionBy(key).orderBy("_run")))
-    before = rows.groupBy(key, "_run").agg(F.max_by(mask, order).alias("_last")).select(F.col(key).alias("_key"), F.col("_run").alias("_of"), last.alias("_past"))
-    rows = rows.withColumn("_prior", F.lag(mask).over(Window.partitionBy(key, "_run").orderBy(order)))
-    rows = rows.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_run").eqNullSafe(F.col("_of")))
-    rows = rows.withColumn("changed", F.col(mask).bitwiseXOR(F.coalesce("_prior", "_past", F.lit(0)))).drop("_run", "_key", "_of", "_past", "_prior")
+    ``order`` is an integer, unique for a key.  The mask before is a scan for the last one over runs of runs, so that no task
+    sorts a whole key."""
+    rows = scan(events, order, {"_before": (F.when(F.col(mask).isNotNull(), F.struct(order, F.col(mask).alias("m"))), LAST)}, by=(key,), run=run)
+    rows = rows.withColumn("changed", F.col(mask).bitwiseXOR(F.coalesce("_before.m", F.lit(0)))).drop("_before")
     return rows.withColumn("pressed", F.col("changed").bitwiseAND(F.col(mask))).withColumn("released", F.col("changed").bitwiseAND(F.bitwise_not(F.col(mask))))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import SUM, scan
 
 def bitmap_ranks(keys: DataFrame, key: str) -> DataFrame:
     """``(key, rank)`` of the distinct keys, ranks from 0 in ascending order."""
@@ -21,16 +22,10 @@ def bitmap_ranks(keys: DataFrame, key: str) -> DataFrame:
 
 
 def running_totals(rows: DataFrame, order: str, value: str, run: int) -> DataFrame:
-    """Sum of ``value`` before and at each row, by integer ``order`` (unique): runs of it are summed on their own, runs of
-    ``run`` such runs next, and these last: a task holds a run, or a row for each ``run`` * ``run`` of the order."""
-    rows = rows.withColumn("_run", F.expr(f"{order} div {run}"))
-    sums = rows.groupBy("_run").agg(F.sum(value).alias("_s")).withColumn("_top", F.expr(f"_run div {run}"))
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tops = sums.groupBy("_top").agg(F.sum("_s").alias("_t")).select("_top", F.coalesce(F.sum("_t").over(earlier(Window.orderBy("_top"))), F.lit(0)).alias("_outer"))
-    sums = sums.withColumn("_inner", F.coalesce(F.sum("_s").over(earlier(Window.partitionBy("_top").orderBy("_run"))), F.lit(0))).join(tops, "_top")
-    inside = F.sum(value).over(Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    both = rows.withColumn("_in", inside).join(sums.select("_run", (F.col("_inner") + F.col("_outer")).alias("_before")), "_run")
-    return both.withColumn("total", F.col("_in") + F.col("_before")).drop("_run", "_in", "_before")
+    """Sum of ``value`` before and at each row, by integer ``order`` (unique), by a scan over runs of runs: no task holds more
+    than ``run`` rows, however many there are."""
+    found = scan(rows, order, {"_before": (F.col(value), SUM)}, run=run)
+    return found.withColumn("total", F.coalesce("_before", F.lit(0)) + F.col(value)).drop("_before")
 
 
 def ascending(rows: DataFrame, *keys: str | Column, ties: str | None = None) -> DataFrame:
@@ -48,11 +43,8 @@ def at_most(rows: DataFrame, most: int, what: str) -> DataFrame:
 def dense_ids(rows: DataFrame, kind: str, order: str, most: int, name: str = "id", run: int = 4096) -> DataFrame:
     """Ids 0, 1, ... for each kind by integer ``order`` (unique in a kind); a kind of more than ``most`` rows fails the query.
 
-    Runs of ``order`` are numbered on their own and counted, so that no task sorts a whole kind."""
-    rows = rows.withColumn("_run", F.expr(f"{order} div {run}"))
-    before = F.sum("_n").over(Window.partitionBy(kind).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy(kind, "_run").agg(F.count("*").alias("_n")).select(kind, "_run", F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy(kind, "_run").orderBy(order)) - 1
-    found = rows.withColumn("_nth", nth).join(counts, [kind, "_run"]).withColumn(name, F.col("_before") + F.col("_nth"))
+    Ids are a scan of ones over runs of runs, so that no task sorts a whole kind."""
+    found = scan(rows, order, {"_before": (F.lit(1).cast("long"), SUM)}, by=(kind,), run=run)
     full = F.raise_error(F.concat(F.lit(f"more than {most} of "), F.col(kind).cast("string"))).cast("long")
-    return found.withColumn(name, F.when(F.col(name) < most, F.col(name)).otherwise(full)).drop("_run", "_nth", "_before")
+    nth = F.coalesce("_before", F.lit(0))
+    return found.withColumn(name, F.when(nth < most, nth).otherwise(full)).drop("_before")

@@ -46,8 +46,15 @@ def obj_vertices(vertices: DataFrame) -> DataFrame:
     return vertices.select("vertex_id", F.format_string("v %.4f %.4f %.4f", F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")).alias("line"))
 
 
-#: Corners of the twelve triangles of a box; corner k takes bit 0 of k for x, bit 1 for y, bit 2 for z.
-BOX_TRIANGLES = tuple(t for side in ((0, 2, 3, 1), (1, 3, 7, 5), (5, 7, 6, 4), (4, 6, 2, 0), (2, 6, 7, 3), (1, 5, 4, 0)) for t in ((side[0], side[1], side[2]), (side[0], side[2], side[3])))
+def _side(axis: int, high: bool) -> tuple[int, ...]:
+    """The corners of one side of a box, in a ring that turns left as seen from outside; bit k of a corner is the side of axis k."""
+    u, v = 1 << (axis + 1) % 3, 1 << (axis + 2) % 3
+    ring = [high << axis, high << axis | u, high << axis | u | v, high << axis | v]
+    return tuple(ring if high else ring[::-1])
+
+
+#: Two triangles for each side, cut along a diagonal from the first corner of its ring.
+BOX_TRIANGLES = tuple((r[0], r[k], r[k + 1]) for axis in range(3) for high in (False, True) for r in [_side(axis, high)] for k in (1, 2))
 
 
 def box_shapes(boxes: DataFrame, key: str, wireframe: bool) -> DataFrame:

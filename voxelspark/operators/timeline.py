@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import LAST, scan
 
 def sequence_of(frame: Column, rate: int) -> Column:
     return F.floor(frame / rate).cast("int")
@@ -32,20 +33,15 @@ def frame_at(ranges: DataFrame, frames: DataFrame, rate: int) -> DataFrame:
     return ranges.join(wanted, "sequence_id").where("frame between first_frame and last_frame").drop("first_frame", "last_frame")
 
 
-def sequence_lookup(frames: DataFrame, sequences: DataFrame) -> DataFrame:
+def sequence_lookup(frames: DataFrame, sequences: DataFrame, run: int = 4096) -> DataFrame:
     """The sequence of each frame: the last that starts at or before it, from ``sequences(sequence_id, start)``.
 
-    Starts and frames are sorted together in one pass: a running maximum over buckets of frames, no range join."""
-    both = sequences.select(F.col("start").alias("frame"), F.struct("start", "sequence_id").alias("s"), F.lit(0).alias("kind")).unionByName(
-        frames.select("frame", F.lit(None).cast("struct<start:bigint,sequence_id:int>").alias("s"), F.lit(1).alias("kind"))
+    Starts and frames are put in one order; the last start is a scan over runs of runs, no range join."""
+    both = sequences.select(F.col("start").cast("long").alias("frame"), F.struct(F.col("start").cast("long").alias("start"), "sequence_id").alias("s"), F.lit(0).alias("kind")).unionByName(
+        frames.select(F.col("frame").cast("long").alias("frame"), F.lit(None).cast("struct<start:bigint,sequence_id:int>").alias("s"), F.lit(1).alias("kind"))
     )
-    both = both.withColumn("bucket", F.expr("frame div 1024"))
-    last = both.groupBy("bucket").agg(F.max("s").alias("m"))
-    before = last.withColumn("before", F.max("m").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "before")
-    inside = F.max("s").over(Window.partitionBy("bucket").orderBy("frame", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("inside", inside).join(before, "bucket").where("kind = 1")
-    s = F.coalesce("inside", "before")
-    return found.select("frame", s["sequence_id"].alias("sequence_id"), (F.col("frame") - s["start"]).alias("frame_rank"))
+    found = scan(both, "frame", {"last": (F.col("s"), LAST)}, ties=("kind",), run=run).where("kind = 1")
+    return found.select("frame", F.col("last.sequence_id").alias("sequence_id"), (F.col("frame") - F.col("last.start")).alias("frame_rank"))
 
 
 def frame_changes(frames: DataFrame, key: list[str]) -> DataFrame:
@@ -58,13 +54,20 @@ def frame_changes(frames: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+#: Streams that one merge takes.
+STREAMS_MOST = 16
+
+
 def merge_streams(streams: DataFrame) -> DataFrame:
-    """Streams one after another: sequence ids move up by the number of sequences of the streams before.
+    """Streams one after another: sequence ids move up by the number of sequences of the streams before; more than 16 streams
+    fail the query.
 
     ``streams`` has ``stream`` (order of the streams), ``sequence_id`` from 0, and any other columns."""
     sizes = streams.groupBy("stream").agg((F.max("sequence_id") + 1).alias("__sequences"))
     offset = F.coalesce(F.sum("__sequences").over(Window.orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("stream", offset.alias("__offset"))
+    nth = F.row_number().over(Window.orderBy("stream"))
+    full = F.raise_error(F.lit(f"more than {STREAMS_MOST} streams")).cast("long")
+    offsets = sizes.select("stream", F.when(nth <= STREAMS_MOST, offset).otherwise(full).alias("__offset"))
     return streams.join(offsets, "stream").withColumn("sequence_id", (F.col("sequence_id") + F.col("__offset")).cast("int")).drop("__offset")
 
 

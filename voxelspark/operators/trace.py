@@ -48,16 +48,18 @@ def cull_statistics(boxes: DataFrame, camera: Camera) -> DataFrame:
     return boxes.agg(F.count("*").alias("seen"), *[F.count_if(c).alias(name) for name, c in sides.items()], F.count_if(in_frustum(camera)).alias("kept"))
 
 
-def with_screen_bounds(boxes: DataFrame, camera: Camera, width: int, height: int, near: float = 1e-3) -> DataFrame:
-    """Adds least and greatest pixel of the box's corners, and the depth of the nearest corner; each corner is seen once."""
+def with_screen_bounds(boxes: DataFrame, camera: Camera, width: int, height: int, near: float = 1e-3, far: float = 100.0) -> DataFrame:
+    """Adds least and greatest pixel of the box's corners, the least w of a corner as ``depth`` and the clip-space z of that corner
+    as ``z`` (0 at ``near``, w at ``far``); each corner is seen once."""
     seen = []
     for k in CORNERS:
         r, u, d = camera.view(corner(k))
         seen.append(F.struct(r.alias("r"), u.alias("u"), d.alias("d"), F.greatest(d, F.lit(near)).alias("n")))
     rows = boxes.withColumn("_seen", F.array(*seen))
-    pixel = lambda c: F.struct(((c["r"] / (c["n"] * camera.tan_x) + 1) * (width / 2)).alias("x"), ((F.lit(1.0) - c["u"] / (c["n"] * camera.tan_y)) * (height / 2)).alias("y"), c["d"].alias("d"))
+    pixel = lambda c: F.struct(((c["r"] / (c["n"] * camera.tan_x) + 1) * (width / 2)).alias("x"), ((F.lit(1.0) - c["u"] / (c["n"] * camera.tan_y)) * (height / 2)).alias("y"), c["d"].alias("d"), ((c["d"] - near) * (far / (far - near))).alias("z"))
     rows = rows.withColumn("_seen", F.transform("_seen", pixel))
-    rows = rows.withColumns({"min_x": F.array_min("_seen.x"), "max_x": F.array_max("_seen.x"), "min_y": F.array_min("_seen.y"), "max_y": F.array_max("_seen.y"), "depth": F.array_min("_seen.d")})
+    rows = rows.withColumns({"min_x": F.array_min("_seen.x"), "max_x": F.array_max("_seen.x"), "min_y": F.array_min("_seen.y"), "max_y": F.array_max("_seen.y"), "_first": F.array_min(F.transform("_seen", lambda c: F.struct(c["d"], c["z"])))})
+    rows = rows.withColumns({"depth": F.col("_first.d"), "z": F.col("_first.z")}).drop("_first")
     return rows.drop("_seen")
 
 

@@ -332,7 +332,7 @@ def _any(test: str) -> str:
 _IN = " AND ".join(_any(t) for t in ("r{k} <= d{k} * " + repr(CAMERA.tan_x), "-r{k} <= d{k} * " + repr(CAMERA.tan_x), "u{k} <= d{k} * " + repr(CAMERA.tan_y), "-u{k} <= d{k} * " + repr(CAMERA.tan_y)))
 _PX = [f"(r{k} / (greatest(d{k}, 0.001) * {CAMERA.tan_x!r}) + 1) * {WIDTH // 2}.0" for k in range(8)]
 _PY = [f"(1.0 - u{k} / (greatest(d{k}, 0.001) * {CAMERA.tan_y!r})) * {HEIGHT // 2}.0" for k in range(8)]
-_BOUNDS = f"bnd AS (SELECT block_id, least({', '.join(_PX)}) AS min_x, greatest({', '.join(_PX)}) AS max_x, least({', '.join(_PY)}) AS min_y, greatest({', '.join(_PY)}) AS max_y, least({', '.join(f'd{k}' for k in range(8))}) AS depth FROM seen WHERE {_IN})"
+_BOUNDS = f"bnd AS (SELECT block_id, least({', '.join(_PX)}) AS min_x, greatest({', '.join(_PX)}) AS max_x, least({', '.join(_PY)}) AS min_y, greatest({', '.join(_PY)}) AS max_y, least({', '.join(f'd{k}' for k in range(8))}) AS depth, list_sort([{', '.join(f"{{'w': d{k}, 'z': (d{k} - 0.001::DOUBLE) * (100.0::DOUBLE / (100.0::DOUBLE - 0.001::DOUBLE))}}" for k in range(8))}])[1].z AS z FROM seen WHERE {_IN})"
 _TILES = f"""til AS (SELECT block_id, ty, unnest(range(tx0, tx1 + 1)) AS tx FROM (SELECT *, unnest(range(ty0, ty1 + 1)) AS ty FROM (SELECT block_id, CAST(floor(greatest(0, least(min_x, {WIDTH - 1})) / 8) AS INT) AS tx0, CAST(floor(greatest(0, least(max_x, {WIDTH - 1})) / 8) AS INT) AS tx1,
   CAST(floor(greatest(0, least(min_y, {HEIGHT - 1})) / 8) AS INT) AS ty0, CAST(floor(greatest(0, least(max_y, {HEIGHT - 1})) / 8) AS INT) AS ty1 FROM bnd WHERE max_x >= 0 AND min_x < {WIDTH} AND max_y >= 0 AND min_y < {HEIGHT})))"""
 _TO_VIEW = f"{POINTS}, {BOXES}, {_SEEN}"
@@ -351,10 +351,10 @@ def frustum_cull(spark: SparkSession, d: str) -> DataFrame:
     return _visible(spark, d).select("block_id")
 
 
-@query(f"WITH {_TO_VIEW}, {_BOUNDS} SELECT block_id, round(min_x, 4) AS min_x, round(max_x, 4) AS max_x, round(min_y, 4) AS min_y, round(max_y, 4) AS max_y, round(depth, 4) AS depth FROM bnd")
+@query(f"WITH {_TO_VIEW}, {_BOUNDS} SELECT block_id, round(min_x, 4) AS min_x, round(max_x, 4) AS max_x, round(min_y, 4) AS min_y, round(max_y, 4) AS max_y, round(depth, 4) AS depth, round(z, 4) AS z FROM bnd")
 def screen_bounds(spark: SparkSession, d: str) -> DataFrame:
     bounds = trace.with_screen_bounds(_visible(spark, d), CAMERA, WIDTH, HEIGHT)
-    return bounds.select("block_id", *[F.round(n, 4).alias(n) for n in ("min_x", "max_x", "min_y", "max_y", "depth")])
+    return bounds.select("block_id", *[F.round(n, 4).alias(n) for n in ("min_x", "max_x", "min_y", "max_y", "depth", "z")])
 
 
 @query(f"WITH {_TO_VIEW}, {_BOUNDS}, {_TILES} SELECT tx::INT AS tx, ty::INT AS ty, count(*) AS blocks FROM til GROUP BY 1, 2")
@@ -504,7 +504,7 @@ def sharpen(spark: SparkSession, d: str) -> DataFrame:
     return image.sharpen(adapters.image(spark, d))
 
 
-@query(f"""WITH {CELLS}, {IMAGE}, p AS (SELECT x, y, x + 0.25 AS hx, y - 0.5 AS hy FROM img), t AS (SELECT p.x, p.y, CAST(floor(hx) AS INT) + i AS tx, CAST(floor(hy) AS INT) + j AS ty, (CASE i WHEN 1 THEN hx - floor(hx) ELSE 1 - (hx - floor(hx)) END) * (CASE j WHEN 1 THEN hy - floor(hy) ELSE 1 - (hy - floor(hy)) END) AS w
+@query(f"""WITH {CELLS}, {IMAGE}, p AS (SELECT x, y, x - 0.25 AS hx, y - 0.5 AS hy FROM img), t AS (SELECT p.x, p.y, CAST(floor(hx) AS INT) + i AS tx, CAST(floor(hy) AS INT) + j AS ty, (CASE i WHEN 1 THEN hx - floor(hx) ELSE 1 - (hx - floor(hx)) END) * (CASE j WHEN 1 THEN hy - floor(hy) ELSE 1 - (hy - floor(hy)) END) AS w
   FROM p, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)) SELECT t.x, t.y, round(sum(coalesce(g, 0) * w), 6)::DOUBLE AS past FROM t LEFT JOIN img ON img.x = tx AND img.y = ty GROUP BY t.x, t.y""")
 def history_reproject(spark: SparkSession, d: str) -> DataFrame:
     img = adapters.image(spark, d)

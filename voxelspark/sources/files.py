@@ -26,34 +26,33 @@ def read_font(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """``(section, key, value, line)`` of an INI file; comments are skipped, the last value of a key of a section counts, with the
-    number of its line from 0.  Keys before the first section have an empty one."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    """``(path, section, key, value, line)`` of INI files; comments are skipped, the last value of a key of a file's section counts,
+    with the number of its line from 0.  Keys before the first section of a file have an empty one."""
+    lines = _lines(spark, path)
     head = F.when(F.col("line").rlike(r"^\s*\[[^\]]*\]"), F.regexp_extract("line", r"^\s*\[([^\]]*)\]", 1))
     lines = lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(_in_order()), F.lit("")))
     pairs = lines.where(F.col("line").rlike(r"^\s*[^;#\[=\s][^=]*=")).select(
-        "at", "section", F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^=]*=", "")).alias("value")
+        "path", "at", "section", F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^=]*=", "")).alias("value")
     )
-    return pairs.groupBy("section", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("line"))
+    return pairs.groupBy("path", "section", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("line"))
 
 
 def setting(settings: DataFrame, keys: DataFrame) -> DataFrame:
-    """Values of ``keys(section, key, default)``, or their defaults; keys without a section have the last value of any."""
-    if "section" not in keys.columns:
-        last = settings.groupBy("key").agg(F.max_by("value", "line").alias("value"))
-        return keys.join(last, "key", "left").select("key", F.coalesce("value", "default").alias("value"))
-    return keys.join(settings, ["section", "key"], "left").select("section", "key", F.coalesce("value", "default").alias("value"))
+    """Values of ``keys(section, key, default)``, or their defaults; keys without a section have the last value of any.  Where
+    several files set a key, the last file by path counts."""
+    by = [c for c in ("section", "key") if c in keys.columns]
+    last = settings.groupBy(*by).agg(F.max_by("value", F.struct("path", "line")).alias("value"))
+    return keys.join(last, by, "left").select(*by, F.coalesce("value", "default").alias("value"))
 
 
 def read_mtl(spark: SparkSession, path: str) -> DataFrame:
-    """``(material, property, values)`` of an MTL file: numbers as they are written, file names as one value."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    words = lines.where(F.col("line").rlike(r"^\s*[^#\s]")).select("at", F.split(F.trim("line"), r"\s+").alias("w"))
+    """``(path, material, property, values)`` of MTL files: numbers as they are written, file names as one value."""
+    words = _lines(spark, path).where(F.col("line").rlike(r"^\s*[^#\s]")).select("path", "at", F.split(F.trim("line"), r"\s+").alias("w"))
     name = F.when(F.lower(F.col("w")[0]) == "newmtl", F.get("w", F.lit(1)))
     rows = words.withColumn("material", F.last(name, ignorenulls=True).over(_in_order())).where(F.lower(F.col("w")[0]) != "newmtl")
     rest = F.slice("w", 2, F.size("w"))
     values = F.when(F.lower(F.col("w")[0]).startswith("map_"), F.array(F.concat_ws(" ", rest))).otherwise(rest)
-    return rows.select("material", F.lower(F.col("w")[0]).alias("property"), values.alias("values"))
+    return rows.select("path", "material", F.lower(F.col("w")[0]).alias("property"), values.alias("values"))
 
 
 #: Capacities of a scene's paths.
@@ -76,18 +75,18 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``positions``, ``normals``, ``uvs`` (id from 1 and coordinates) and ``corners`` (triangle, corner, ids) of an OBJ file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    words = lines.select("at", F.split(F.trim("line"), r"\s+").alias("w"))
+    """``positions``, ``normals``, ``uvs`` (id from 1 and coordinates) and ``corners`` (triangle, corner, ids) of OBJ files; ids and
+    triangles count from 1 in each file, whose ``path`` all four tables have."""
+    words = _lines(spark, path).select("path", "at", F.split(F.trim("line"), r"\s+").alias("w"))
 
     def numbered(kind: str, names: str) -> DataFrame:
-        rows = words.where(F.col("w")[0] == kind).select(F.row_number().over(_in_order()).alias("id"), *[F.get("w", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate(names)])
+        rows = words.where(F.col("w")[0] == kind).select("path", F.row_number().over(_in_order()).alias("id"), *[F.get("w", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate(names)])
         return rows
 
     made = [F.sum(F.when(F.col("w")[0] == kind, 1).otherwise(0)).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias(f"n{i}") for i, kind in enumerate(("v", "vt", "vn"))]
-    faces = words.select("at", "w", *made).where(F.col("w")[0] == "f").select("at", F.slice("w", 2, F.size("w")).alias("c"), "n0", "n1", "n2")
-    fan = faces.select("at", "n0", "n1", "n2", F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> array(c[0], c[i], c[i + 1]))")).alias("t"))
-    corners = fan.select(F.row_number().over(_in_order()).alias("triangle"), "t", "n0", "n1", "n2").select("triangle", F.posexplode("t").alias("corner", "ids"), "n0", "n1", "n2")
+    faces = words.select("path", "at", "w", *made).where(F.col("w")[0] == "f").select("path", "at", F.slice("w", 2, F.size("w")).alias("c"), "n0", "n1", "n2")
+    fan = faces.select("path", "at", "n0", "n1", "n2", F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> array(c[0], c[i], c[i + 1]))")).alias("t"))
+    corners = fan.select("path", F.row_number().over(_in_order()).alias("triangle"), "t", "n0", "n1", "n2").select("path", "triangle", F.posexplode("t").alias("corner", "ids"), "n0", "n1", "n2")
 
     def absolute(i: int) -> Column:  # ids below 0 count back from the last one read
         k = F.get(F.split("ids", "/"), F.lit(i))
@@ -95,12 +94,18 @@ def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return F.when(k < 0, F.col(f"n{i}") + k + 1).otherwise(k)
 
     ids = [absolute(i).alias(n) for i, n in enumerate(("position", "uv", "normal"))]
-    return {"positions": numbered("v", "xyz"), "normals": numbered("vn", "xyz"), "uvs": numbered("vt", "uv"), "corners": corners.select("triangle", "corner", *ids)}
+    return {"positions": numbered("v", "xyz"), "normals": numbered("vn", "xyz"), "uvs": numbered("vt", "uv"), "corners": corners.select("path", "triangle", "corner", *ids)}
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, at, line)`` of text files, lines numbered from 0 in each."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
 
 
 def _in_order():
-    """One file's lines in order: the ids of an OBJ file are places in it, and a file is read whole by one task anyway."""
-    return Window.orderBy("at")
+    """Each file's lines in order: the ids of an OBJ file are places in it, and a file is read whole by one task anyway."""
+    return Window.partitionBy("path").orderBy("at")
 
 
 def _tga_pixels(name: str, data: bytes) -> pd.DataFrame:
@@ -223,35 +228,13 @@ def write_stream(stream: DataFrame, path: str, extend: bool = False, codec: str
     stream.hint("rebalance", "sequence_id").write.mode("append" if extend else "error").option("compression", codec).partitionBy("sequence_id").parquet(path)
 
 
-def _claim(spark: SparkSession, path: str, count: int) -> int:
-    """The first of ``count`` sequence ids that no other writer of the table has or takes.
+def extend_stream(stream: DataFrame, path: str, first: int | None = None, codec: str = "zstd") -> None:
+    """Append a stream whose sequences are numbered from 0; its first becomes ``first``, or the next after those of the table.
 
-    A claim is a file named by its first id; making it fails if it is there, so of two writers that want the same id one looks
-    again."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    folder = fs_path(f"{path.rstrip('/')}/_claims")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(folder)
-    while True:
-        last = spark.read.parquet(path).agg(F.max("sequence_id")).first()[0]
+    Writers at the same time must give ids of their own: the table keeps no lock."""
+    if first is None:
+        last = stream.sparkSession.read.parquet(path).agg(F.max("sequence_id")).first()[0]
         first = 0 if last is None else last + 1
-        for status in fs.listStatus(folder):
-            if status.getPath().getName().isdigit():
-                taken = fs.listStatus(fs_path(f"{status.getPath()}.to"))[0].getLen() if fs.exists(fs_path(f"{status.getPath()}.to")) else 0
-                first = max(first, int(status.getPath().getName()) + max(int(taken), 1))
-        if fs.createNewFile(fs_path(folder, str(first))):
-            out = fs.create(fs_path(folder, f"{first}.to"))  # as many bytes as ids
-            out.write(bytearray(count))
-            out.close()
-            return first
-
-
-def extend_stream(spark: SparkSession, stream: DataFrame, path: str, codec: str = "zstd") -> None:
-    """Append a stream whose sequences are numbered from 0 after those of the table; writers at the same time get other ids."""
-    count = stream.agg(F.max("sequence_id")).first()[0]
-    if count is None:
-        return
-    first = _claim(spark, path, count + 1)
     write_stream(stream.withColumn("sequence_id", (F.col("sequence_id") + first).cast("int")), path, extend=True, codec=codec)
 
 
