@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from voxelspark.plans import catalogue, scenes  # noqa: F401
+from voxelspark.plans import catalogue, scenes, volumes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -65,12 +65,23 @@ def face_id(sign: Column, axis: Column) -> Column:
     return put((sign, 2), (axis, 0))
 
 
+def morton(x: Column, y: Column, z: Column, levels: int) -> Column:
+    """The low ``levels`` bits of three coordinates interleaved, x lowest: 3 bits for each level, 63 at most."""
+    terms = [F.shiftleft(F.shiftright(v.cast("long"), k).bitwiseAND(F.lit(1)), 3 * k + a) for k in range(levels) for a, v in enumerate((x, y, z))]
+    return reduce(lambda a, b: a.bitwiseOR(b), terms, F.lit(0).cast("long"))
+
+
 def octant(x: Column, y: Column, z: Column) -> Column:
     """Morton order inside a parent, x lowest."""
     one = F.lit(1)
     return put((z.bitwiseAND(one), 2), (y.bitwiseAND(one), 1), (x.bitwiseAND(one), 0)).cast("int")
 
 
+def single_bit(k: Column) -> Column:
+    """The integer that has bit ``k`` alone."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+
+
 def popcount(c: Column) -> Column:
     return F.bit_count(c).cast("int")
 

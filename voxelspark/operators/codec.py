@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,15 +82,20 @@ def block_colors(cells: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def cell_color(channel: str, cell: str) -> Column:
+    """A channel of the colour that a coded block has for a cell, 0 to 63, by its two ends and index words."""
+    shift = dict(_ENDS)[channel]
+    index = f"cast(shiftright(element_at(array(idx0, idx1, idx2, idx3), cast({cell} div 16 as int) + 1), 2 * ({cell} % 16)) & 3 as int)"
+    a, b = (f"(shiftright(end{k}, {shift}) & 255)" for k in (0, 1))
+    return F.expr(f"cast(case {index} when 0 then {a} when 1 then {b} when 2 then (2 * {a} + {b}) div 3 else ({a} + 2 * {b}) div 3 end as int)")
+
+
 def block_cells(blocks: DataFrame, *extra: str) -> DataFrame:
     """Cells and colours of blocks as ``block_colors`` codes them; only cells that are present."""
     cell = blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(63))))
     cell = cell.where("(shiftright(if(c < 32, presence0, presence1), c % 32) & 1) = 1")
-    cell = cell.withColumn("i", F.expr("cast(shiftright(element_at(array(idx0, idx1, idx2, idx3), cast(c div 16 as int) + 1), 2 * (c % 16)) & 3 as int)"))
-    cell = cell.withColumns({f"{c}{k}": F.expr(f"cast(shiftright(end{k}, {s}) & 255 as int)") for c, s in _ENDS for k in (0, 1)})
-    pick = "cast(case i when 0 then {c}0 when 1 then {c}1 when 2 then (2 * {c}0 + {c}1) div 3 else ({c}0 + 2 * {c}1) div 3 end as int)"
     at = [F.expr(f"b{a} * 4 + (shiftright(c, {s}) & 3)").alias(a) for a, s in (("x", 0), ("y", 2), ("z", 4))]
-    return cell.select(*extra, *at, *[F.expr(pick.format(c=c)).alias(c) for c in "rgb"])
+    return cell.select(*extra, *at, *[cell_color(c, "c").alias(c) for c in "rgb"])
 
 
 def mip_images(pixels: DataFrame, levels: int) -> DataFrame:
