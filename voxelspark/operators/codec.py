@@ -13,20 +13,32 @@ def bc1_blocks(pixels: DataFrame, size: int = 4, quality: int = 0) -> DataFrame:
     """Two end colours for each tile of ``size`` x ``size`` pixels, and 2 bits for each pixel, from ``(x, y, r, g, b)``.
 
     Ends are the tile's least and greatest channel values (``quality`` 0), or the colours of its darkest and its brightest
-    pixel by r + 2 g + b, ties by colour (``quality`` 1).  The palette is both ends, then one third and two thirds of the way,
+    pixel by r + 2 g + b, ties by colour (``quality`` 1), or of its extreme pixels along the principal axis of its colours, where
+    that gives a smaller error than ``quality`` 0 (``quality`` 2).  The palette is both ends, then one third and two thirds of the way,
     rounded toward zero; a pixel takes the nearest by squared distance, the first of equal ones.  One shuffle: a tile's pixels,
     ``size`` * ``size`` at most, are gathered in its row."""
     tile = pixels.select(*[F.expr(f"{c} div {size}").cast("int").alias("t" + c) for c in "xy"], F.expr(f"cast(x % {size} + {size} * (y % {size}) as int)").alias("c"), "r", "g", "b")
+    if quality == 2:
+        return _principal_blocks(tile)
     if quality:
         ends = lambda k, f: f(F.struct(F.expr("r + 2 * g + b").alias("l"), "r", "g", "b"))
         aggregates = [ends(0, F.min).alias("e0"), ends(1, F.max).alias("e1")]
     else:
         aggregates = [F.struct(*[f(c).alias(c) for c in "rgb"]).alias(f"e{k}") for k, f in ((0, F.min), (1, F.max))]
     block = tile.groupBy("tx", "ty").agg(*aggregates, F.collect_list(F.struct("c", "r", "g", "b")).alias("cells"))
-    parts = ["e0.{c}", "e1.{c}", "(2 * e0.{c} + e1.{c}) div 3", "(e0.{c} + 2 * e1.{c}) div 3"]
+    return _words(block.withColumn("coded", F.expr(_coded("e0", "e1"))))
+
+
+def _coded(e0: str, e1: str) -> str:
+    """The nearest of a block's four colours for each of its pixels, with the squared distance."""
+    parts = [f"{e0}.{{c}}", f"{e1}.{{c}}", f"(2 * {e0}.{{c}} + {e1}.{{c}}) div 3", f"({e0}.{{c}} + 2 * {e1}.{{c}}) div 3"]
     distance = [" + ".join(f"(v.{c} - ({p.format(c=c)})) * (v.{c} - ({p.format(c=c)}))" for c in "rgb") for p in parts]
     best = "array_min(array(" + ", ".join(f"struct(cast({d} as bigint) as d, {k} as k)" for k, d in enumerate(distance)) + "))"
-    coded = block.withColumn("coded", F.expr(f"transform(cells, v -> struct(v.c as c, {best} as best))"))
+    return f"transform(cells, v -> struct(v.c as c, {best} as best))"
+
+
+def _words(coded: DataFrame) -> DataFrame:
+    """Ends, index words and error of coded tiles."""
     end = lambda k: F.expr(" | ".join(f"shiftleft(cast(e{k}.{c} as bigint), {s})" for c, s in _ENDS))
     return coded.select(
         "tx", "ty", end(0).alias("end0"), end(1).alias("end1"), F.expr("aggregate(coded, 0L, (a, v) -> a | shiftleft(cast(v.best.k as bigint), 2 * v.c))").alias("indexes"),
@@ -34,6 +46,35 @@ def bc1_blocks(pixels: DataFrame, size: int = 4, quality: int = 0) -> DataFrame:
     )
 
 
+#: Rounds of the power iteration.
+ROUNDS = 8
+
+
+def _principal_blocks(tile: DataFrame) -> DataFrame:
+    """Tiles coded between the extreme pixels along their principal axis, or between least and greatest channels where that is no
+    worse.
+
+    Sums, products and pixels of a tile come from one aggregate; its covariance is exact, n times over, in integers.  The axis is
+    that of a power iteration from (1, 1, 1), scaled by its largest component; a tile of one colour has none and keeps that."""
+    moment = [F.sum(F.col(a).cast("long") * F.col(b)).alias(f"{a}{b}") for a, b in ("rr", "rg", "rb", "gg", "gb", "bb")]
+    block = tile.groupBy("tx", "ty").agg(
+        *[F.struct(*[f(c).alias(c) for c in "rgb"]).alias(n) for n, f in (("l0", F.min), ("l1", F.max))],
+        *[F.sum(F.col(c).cast("long")).alias(f"s{c}") for c in "rgb"], *moment, F.count("*").alias("n"), F.collect_list(F.struct("c", "r", "g", "b")).alias("cells"),
+    )
+    block = block.withColumns({f"v{a}{b}": F.expr(f"cast(n * {a}{b} - s{a} * s{b} as double)") for a, b in ("rr", "rg", "rb", "gg", "gb", "bb")})
+    turned = "struct(vrr * a.x + vrg * a.y + vrb * a.z as x, vrg * a.x + vgg * a.y + vgb * a.z as y, vrb * a.x + vgb * a.y + vbb * a.z as z)"
+    longest = "greatest(abs(w.x), abs(w.y), abs(w.z))"
+    scaled = f"transform(array({turned}), w -> if({longest} = 0, a, struct(w.x / {longest} as x, w.y / {longest} as y, w.z / {longest} as z)))[0]"
+    block = block.withColumn("axis", F.expr(f"aggregate(sequence(1, {ROUNDS}), struct(1D as x, 1D as y, 1D as z), (a, i) -> {scaled})"))
+    placed = "transform(cells, v -> struct(v.r * axis.x + v.g * axis.y + v.b * axis.z as at, v.r as r, v.g as g, v.b as b))"
+    block = block.withColumn("placed", F.expr(placed)).withColumns({"p0": F.expr("array_min(placed)"), "p1": F.expr("array_max(placed)")})
+    block = block.withColumns({"by_box": F.expr(_coded("l0", "l1")), "by_axis": F.expr(_coded("p0", "p1"))})
+    error = "aggregate({}, 0L, (a, v) -> a + v.best.d)"
+    block = block.withColumn("_axis", F.expr(f"{error.format('by_axis')} < {error.format('by_box')}"))
+    ends = {f"e{k}": F.expr(f"if(_axis, struct(p{k}.r as r, p{k}.g as g, p{k}.b as b), l{k})") for k in (0, 1)}
+    return _words(block.withColumns(ends | {"coded": F.expr("if(_axis, by_axis, by_box)")}))
+
+
 def texture(pixels: DataFrame, width: int, quality: int = 0) -> DataFrame:
     """Coded tiles of a square image and of its halvings down to 4 pixels, each with its level and its byte offset in the file:
     levels follow each other, tiles go by row, 8 bytes each."""

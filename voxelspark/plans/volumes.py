@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import codec, grid, octree, trace, voxel
-from ..sources import adapters
-from .catalogue import CAMERA, CELLS, LEAVES, ORACLES, query
+from ..operators import changes, codec, grid, octree, voxel
+from ..sources import adapters, folders, layout
+from .catalogue import CAMERA, CELLS, FRAMES, IMAGE, KEY, ORACLES, RATE, query
 
 LEVELS = 6  # of the 64 x 64 x 64 grid
 
@@ -95,7 +95,7 @@ def _customer_rays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cell_hit_sql() -> str:
-    ctes = ORACLES["block_color_decode"].rsplit("SELECT", 1)[0] if "block_color_decode" in ORACLES else ORACLES["block_colors"].split(" SELECT bx,", 1)[0]
+    ctes = ORACLES["block_colors"].split(" SELECT bx,", 1)[0]
     index = "list_position([e0, e1, e2, e3], least(e0, e1, e2, e3)) - 1"
     shown = ", ".join(f"CAST(CASE {index} WHEN 0 THEN {c}0 WHEN 1 THEN {c}1 WHEN 2 THEN (2 * {c}0 + {c}1) // 3 ELSE ({c}0 + 2 * {c}1) // 3 END AS INT) AS {c}" for c in "rgb")
     low = ", ".join(f"least(({c} - o{c}) / nullif(d{c}, 0), ({c} + 1 - o{c}) / nullif(d{c}, 0))" for c in "xyz")
@@ -111,3 +111,68 @@ def ray_cell_hit(spark: SparkSession, d: str) -> DataFrame:
     """The twin tests every ray against every present cell."""
     blocks = codec.block_colors(voxel.leaf_colors(voxel.leaves(adapters.cells(spark, d))))
     return grid.cell_hits(_customer_rays(spark, d), blocks, GRID)
+
+
+# --- key frames and changes --------------------------------------------------------------------------------------------
+
+_SAME = " AND ".join(f"a.{c} = b.{c}" for c in KEY)
+_LOG = f"""{FRAMES}, sq AS (SELECT CAST(frame // {RATE} AS INT) AS sequence_id, * FROM fr),
+  lg AS (SELECT a.sequence_id, a.frame, CASE WHEN a.frame % {RATE} = 0 THEN 'key' WHEN b.frame IS NULL THEN 'added' ELSE 'recoloured' END AS kind, a.user_id, a.event_type, a.n
+    FROM sq a LEFT JOIN sq b ON b.sequence_id = a.sequence_id AND b.frame = a.frame - 1 AND {_SAME} WHERE a.frame % {RATE} = 0 OR b.frame IS NULL OR a.n <> b.n
+  UNION ALL SELECT b.sequence_id, CAST(b.frame + 1 AS INT), 'removed', b.user_id, b.event_type, NULL FROM sq b LEFT JOIN sq a ON a.frame = b.frame + 1 AND {_SAME} WHERE a.frame IS NULL AND (b.frame + 1) % {RATE} <> 0)"""
+
+
+@query(f"WITH {_LOG} SELECT * FROM lg")
+def change_log(spark: SparkSession, d: str) -> DataFrame:
+    return changes.change_log(adapters.frames(spark, d), KEY, ["n"], RATE)
+
+
+@query(f"WITH {FRAMES} SELECT CAST(frame // {RATE} AS INT) AS sequence_id, user_id, event_type, n, frame FROM fr")
+def rebuilt_frames(spark: SparkSession, d: str) -> DataFrame:
+    """All frames from a log that was written, partitioned by sequence, and read again; the twin has the frames themselves."""
+    path = folders.shared_folder(spark, "log") + "/table"
+    changes.write_log(changes.change_log(adapters.frames(spark, d), KEY, ["n"], RATE), path)
+    return changes.rebuild(spark.read.parquet(path), KEY, RATE)
+
+
+# --- layout along a curve ----------------------------------------------------------------------------------------------
+
+BOX = ((8, 5, 2), (23, 20, 6))
+
+
+@query(f"WITH {CELLS} SELECT k, n, x, y, z FROM cells WHERE " + " AND ".join(f"{c} BETWEEN {a} AND {b}" for c, a, b in zip("xyz", *BOX, strict=True)))
+def morton_box(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of a box, from a table laid out along the Morton order; the twin filters all of them."""
+    path = folders.shared_folder(spark, "morton") + "/table"
+    layout.write_morton(adapters.cells(spark, d).select("k", "n", "x", "y", "z"), path, LEVELS)
+    return layout.read_box(spark, path, *BOX, LEVELS)
+
+
+# --- ends along the principal axis -------------------------------------------------------------------------------------
+
+
+def _principal_sql() -> str:
+    parts = lambda a, b: [f"{a}{{c}}", f"{b}{{c}}", f"(2 * {a}{{c}} + {b}{{c}}) // 3", f"({a}{{c}} + 2 * {b}{{c}}) // 3"]
+    distance = lambda p: "(" + " + ".join(f"({c} - ({p.format(c=c)})) * ({c} - ({p.format(c=c)}))" for c in "rgb") + ")::BIGINT"
+    errors = ", ".join(f"{distance(p)} AS {n}{k}" for n, a, b in (("e", "l", "h"), ("f", "p", "q")) for k, p in enumerate(parts(a, b)))
+    moments = ", ".join(f"(count(*) * sum({a}::BIGINT * {b}) - sum({a}) * sum({b}))::DOUBLE AS v{a}{b}" for a, b in ("rr", "rg", "rb", "gg", "gb", "bb"))
+    steps = ["a0 AS (SELECT *, 1::DOUBLE AS x_, 1::DOUBLE AS y_, 1::DOUBLE AS z_ FROM mo)"]
+    for k in range(8):
+        steps.append(f"w{k} AS (SELECT * EXCLUDE (x_, y_, z_), x_, y_, z_, vrr * x_ + vrg * y_ + vrb * z_ AS wx, vrg * x_ + vgg * y_ + vgb * z_ AS wy, vrb * x_ + vgb * y_ + vbb * z_ AS wz FROM a{k})")
+        big = "greatest(abs(wx), abs(wy), abs(wz))"
+        steps.append(f"a{k + 1} AS (SELECT * EXCLUDE (x_, y_, z_, wx, wy, wz), {', '.join(f'CASE WHEN {big} = 0 THEN {c}_ ELSE w{c} / {big} END AS {c}_' for c in 'xyz')} FROM w{k})")
+    index = lambda n: f"list_position([{n}0, {n}1, {n}2, {n}3], least({n}0, {n}1, {n}2, {n}3)) - 1"
+    least = lambda n: f"least({n}0, {n}1, {n}2, {n}3)"
+    word = lambda n: f"bit_or(({index(n)})::BIGINT << (2 * (x % 4 + 4 * (y % 4))))"
+    end = lambda n: f"any_value(({n}r::BIGINT << 16) | ({n}g::BIGINT << 8) | {n}b)"
+    pick = lambda box, axis: f"CASE WHEN err_f < err_e THEN {axis} ELSE {box} END"
+    return f"""WITH {CELLS}, {IMAGE}, t AS (SELECT *, x // 4 AS tx, y // 4 AS ty FROM img), mo AS (SELECT tx, ty, {moments}, {', '.join(f'min({c}) AS l{c}, max({c}) AS h{c}' for c in 'rgb')} FROM t GROUP BY tx, ty), {', '.join(steps)},
+  pl AS (SELECT t.*, {', '.join(f'l{c}, h{c}' for c in 'rgb')}, r * x_ + g * y_ + b * z_ AS place FROM t JOIN a8 USING (tx, ty)),
+  en AS (SELECT *, {', '.join(f'first_value({c}) OVER (PARTITION BY tx, ty ORDER BY place, r, g, b) AS p{c}, first_value({c}) OVER (PARTITION BY tx, ty ORDER BY place DESC, r DESC, g DESC, b DESC) AS q{c}' for c in 'rgb')} FROM pl),
+  er AS (SELECT *, {errors} FROM en), bl AS (SELECT tx, ty, sum({least('e')})::BIGINT AS err_e, sum({least('f')})::BIGINT AS err_f, {word('e')} AS word_e, {word('f')} AS word_f, {', '.join(f'{end(n)} AS end_{n}' for n in 'lhpq')}, count(*) AS pixels FROM er GROUP BY tx, ty)
+  SELECT CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, {pick('end_l', 'end_p')} AS end0, {pick('end_h', 'end_q')} AS end1, {pick('word_e', 'word_f')} AS indexes, least(err_e, err_f) AS error, pixels FROM bl"""
+
+
+@query(_principal_sql())
+def bc1_principal_axis(spark: SparkSession, d: str) -> DataFrame:
+    return codec.bc1_blocks(adapters.image(spark, d), quality=2)

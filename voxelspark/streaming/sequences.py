@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import enum
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.folders import shared_folder
+
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """A stream over a folder or file of Parquet events; ``ts`` becomes a timestamp, which watermarks need.
@@ -59,13 +60,8 @@ def blend_history(events: DataFrame, blend: float) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Take all that is there now and give the sink's rows: a Parquet table in the shared folder, a batch after the other; in
     mode ``complete`` the last batch replaces the earlier ones.  No row goes to the driver."""
-    spark, name = stream.sparkSession, "sink_" + uuid.uuid4().hex
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="voxelspark-")
-    path = f"{shared.rstrip('/')}/{name}"
+    spark = stream.sparkSession
+    path = shared_folder(spark, "sink")
     last: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
