@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import from_ycocg, luminance, to_ycocg
+from ..functions.hashing import halton
+from ..sources.folders import shared_folder
+from .scan import SUM, scan
 
 
 def cross(pixels: DataFrame, values: list[str]) -> DataFrame:
@@ -67,14 +70,20 @@ def _wide(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns(dict(zip(YCOCG, wide, strict=True))).drop("r", "g", "b")
 
 
-def temporal_step(pixels: DataFrame, history: DataFrame, blend: float, width: int, height: int) -> DataFrame:
+def temporal_step(pixels: DataFrame, history: DataFrame, blend: float, width: int, height: int, jitter: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """One frame blended with its history, both whole images in YCoCg with ``a``; ``pixels`` has displacements too.
 
-    The history is taken at (x - dx, y + dy) and clamped to the range of the pixel and its four neighbours, in proportion to
-    the displacement: wholly from 2 pixels on.  The response is 1 where that place is off the image or ``a`` of the pixel or
-    of its history is above 0, else ``blend``.  ``a`` of the result is 1 or 0.  Colours of the frame are taken at the centres
-    of pixels, without jitter."""
+    The frame's own colour and ``a`` are taken where the jitter put the pixel's sample: at (x + 1 - jx, y + jy), pixel centres
+    being at a half, by the four pixels around, held at the border; (0.5, 0.5) is the pixel itself.  The history is taken at
+    (x - dx, y + dy) and clamped to the range of that colour and the pixel's four neighbours, in proportion to the displacement:
+    wholly from 2 pixels on.  The response is 1 where that place is off the image or ``a`` of the pixel or of its history is
+    above 0, else ``blend``.  ``a`` of the result is 1 or 0."""
     at = cross(pixels, [*YCOCG, "dx", "dy", "a"]).withColumns({"hx": F.col("x") - F.col("dx"), "hy": F.col("y") + F.col("dy")})
+    if jitter != (0.5, 0.5):
+        held = lambda c, by, most: F.greatest(F.least(F.col(c) + by, F.lit(most - 1.0)), F.lit(0.0))
+        places = pixels.select("x", "y", held("x", 0.5 - jitter[0], width).alias("hx"), held("y", jitter[1] - 0.5, height).alias("hy"))
+        moved = sampled(places, pixels, [*YCOCG, "a"])
+        at = at.drop(*YCOCG, "a").join(moved.select("x", "y", *[F.col(f"{c}_past").alias(c) for c in (*YCOCG, "a")]), ["x", "y"])
     keep = ["dx", "dy", "a", "hx", "hy", *[c + k for c in YCOCG for k in ("", "_l", "_r", "_u", "_d")]]
     both = sampled(at, history, [*YCOCG, "a"], keep)
     inside = F.col("hx").between(-0.5, width - 0.5) & F.col("hy").between(-0.5, height - 0.5)
@@ -89,21 +98,67 @@ def temporal_step(pixels: DataFrame, history: DataFrame, blend: float, width: in
     return both.select("x", "y", *[blended(c) for c in YCOCG], F.when(F.col("a") > 0, 1.0).otherwise(0.0).alias("a"))
 
 
-def temporal_resolve(frames: DataFrame, blend: float, width: int, height: int) -> DataFrame:
-    """The last image of a sequence after ``temporal_step`` frame by frame, from ``(frame, x, y, r, g, b, dx, dy, a)``; the first
-    frame has no history and stays as it is.
+def unchanged_counts(frames: DataFrame, values: Sequence[str] = ("r", "g", "b", "a")) -> DataFrame:
+    """``(frame, unchanged)``: how many frames in a row before this one, it included but the first, have shown the same image."""
+    before = F.lag(F.struct(*values)).over(Window.partitionBy("x", "y").orderBy("frame"))
+    rows = frames.select("frame", (before.isNull() | ~before.eqNullSafe(F.struct(*values))).cast("long").alias("new"))
+    each = rows.groupBy("frame").agg(F.max("new").alias("new"))  # a row for each frame
+    island = scan(each, "frame", {"past": (F.col("new"), SUM)}).select("frame", (F.coalesce("past", F.lit(0)) + F.col("new")).alias("island"))
+    return island.select("frame", (F.row_number().over(Window.partitionBy("island").orderBy("frame")) - 1).alias("unchanged"))
+
+
+#: Jitters before they come again.
+JITTERS = 16
+
+
+def jitter_offsets(counts: DataFrame) -> DataFrame:
+    """``(frame, unchanged, jx, jy)``: the sample's place within the pixel.  A new image begins at the centre; each further frame
+    of it takes the next of ``JITTERS`` Halton points by bases 2 and 3."""
+    k = F.col("unchanged") % JITTERS
+    at = lambda base: F.when(k == 0, 0.5).otherwise(halton(k - 1, base))
+    return counts.select("frame", "unchanged", at(2).alias("jx"), at(3).alias("jy"))
 
-    A pixel's history depends on its neighbours', so frames go one after the other, each as one distributed step."""
+
+def _last_image(spark: SparkSession, folder: str) -> int | None:
+    """The last frame whose image was written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [status.getPath() for status in fs.listStatus(path)]
+    done = [int(p.getName()[6:]) for p in names if p.getName().startswith("image=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def temporal_resolve(frames: DataFrame, blend: float, width: int, height: int, jitter: bool = False, every: int = 8, folder: str | None = None) -> DataFrame:
+    """The last image of a sequence after ``temporal_step`` frame by frame, from ``(frame, x, y, r, g, b, dx, dy, a)``; the first
+    frame has no history and stays as it is.  With ``jitter`` samples move as ``jitter_offsets`` tells.
+
+    A pixel's history depends on its neighbours', so frames go one after the other, each as one distributed step.  Frames are
+    written by number first, so that a step reads its own; every ``every`` frames the image is written and read again, so plans
+    do not grow with the sequence, and work that was lost goes on from the last image.  ``folder`` keeps these tables: a later
+    call with the same folder and more frames goes on from its last image too."""
+    spark = frames.sparkSession
+    folder = folder or shared_folder(spark, "resolve")
+    offsets = {r["frame"]: (r["jx"], r["jy"]) for r in jitter_offsets(unchanged_counts(frames)).collect()} if jitter else {}  # a row for each frame
     order = sorted(r["frame"] for r in frames.select("frame").distinct().collect())
-    image = None
-    for k in order:
-        now = _wide(frames.where(F.col("frame") == k).drop("frame"))
+    done = _last_image(spark, folder)
+    names = ["x", "y", *YCOCG, "a"]
+    image = None if done is None else spark.read.parquet(f"{folder}/image={done}")
+    left = [k for k in order if done is None or k > done]
+    path = f"{folder}/frames-{left[0] if left else 'none'}"
+    frames.where(F.col("frame").isin(left) if done is not None else F.lit(True)).hint("rebalance", "frame").write.mode("overwrite").partitionBy("frame").parquet(path)
+    for n, k in enumerate(left):
+        now = _wide(spark.read.parquet(f"{path}/frame={k}"))
         first = now.select("x", "y", *YCOCG, F.when(F.col("a") > 0, 1.0).otherwise(0.0).alias("a"))
-        image = first if image is None else temporal_step(now, image, blend, width, height)
+        image = first if image is None else temporal_step(now, image, blend, width, height, offsets.get(k, (0.5, 0.5)))
+        if n % every == every - 1:
+            image.write.mode("overwrite").parquet(f"{folder}/image={k}")
+            image = spark.read.parquet(f"{folder}/image={k}")
     if image is None:
-        image = _wide(frames.drop("frame")).select("x", "y", *YCOCG, "a")
+        image = _wide(frames.drop("frame")).select(*names)
     back = from_ycocg(tuple(F.col(c) for c in YCOCG))
-    return image.select("x", "y", *[F.round(v, 6).alias(c) for c, v in zip("rgb", back, strict=True)], "a")
+    return image.select("x", "y", *[(F.round(v, 6) + 0.0).alias(c) for c, v in zip("rgb", back, strict=True)], "a")  # no zero below 0
 
 
 def blend_over_time(frames: DataFrame, key: list[str], value: str, blend: float) -> DataFrame:

@@ -545,30 +545,44 @@ def temporal_blend(spark: SparkSession, d: str) -> DataFrame:
     return image.blend_over_time(rows, KEY, "n", 0.25)
 
 
-def _resolve_sql(frames: int) -> str:
-    """A step for each frame but the first; supplied tables have ``frames`` line numbers."""
+def _moved_sql(k: int, channels: tuple[str, ...], ox: float, oy: float) -> list[str]:
+    """``o{k}``: a frame as it is; ``c{k}``: with colours taken off the centres of pixels, and places in the history."""
+    own = f"o{k} AS (SELECT *, x - dx AS hx, y + dy AS hy FROM yc WHERE frame = {k})"
+    if not ox and not oy:
+        return [own, f"c{k} AS (SELECT * FROM o{k})"]
+    held = f"greatest(least(x + ({ox!r}::DOUBLE), 63.0::DOUBLE), 0.0::DOUBLE) AS px, greatest(least(y + ({oy!r}::DOUBLE), 63.0::DOUBLE), 0.0::DOUBLE) AS py"
+    weight = "(CASE i WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE j WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END)"
+    taps = f"(SELECT m.x, m.y, CAST(floor(px) AS INT) + i AS tx, CAST(floor(py) AS INT) + j AS ty, {weight} AS w FROM (SELECT x, y, {held} FROM o{k}) m, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))"
+    sums = ", ".join(f"sum(coalesce(s.{c}, 0) * w) AS {c}" for c in (*channels, "a"))
+    return [own, f"j{k} AS (SELECT t.x, t.y, {sums} FROM {taps} t LEFT JOIN o{k} s ON s.x = tx AND s.y = ty GROUP BY t.x, t.y)", f"c{k} AS (SELECT o.x, o.y, o.dx, o.dy, o.hx, o.hy, {', '.join(f'j.{c}' for c in (*channels, 'a'))} FROM o{k} o JOIN j{k} j USING (x, y))"]
+
+
+def _resolve_sql(frames: int, offsets: dict[int, tuple[float, float]] | None = None, source: str = "mov") -> str:
+    """A step for each frame but the first; supplied tables have ``frames`` line numbers.  ``offsets``: how far the sample of a
+    frame's pixels is from their centres."""
+    offsets = offsets or {}
     channels = ("lum", "co", "cg")
     ctes = ["""places AS (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y FROM (SELECT unnest(range(4096)) AS i))""",
         """found AS (SELECT n AS frame, x, y, sum(r) // count(*) AS r, sum(g) // count(*) AS g, sum(b) // count(*) AS b FROM cells GROUP BY n, x, y)""",
         """mov AS (SELECT f.frame, x, y, coalesce(r, 0)::DOUBLE AS r, coalesce(g, 0)::DOUBLE AS g, coalesce(b, 0)::DOUBLE AS b, ((x + f.frame) % 5 - 2) * 0.4::DOUBLE AS dx, ((y + f.frame * 2) % 5 - 2) * 0.3::DOUBLE AS dy,
   CASE WHEN (x + y + f.frame) % 7 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS a FROM (SELECT DISTINCT n AS frame FROM cells) f CROSS JOIN places LEFT JOIN found USING (frame, x, y))""",
-        """yc AS (SELECT frame, x, y, dx, dy, a, t + (g - t) * 0.5::DOUBLE AS lum, r - b AS co, g - t AS cg FROM (SELECT *, b + (r - b) * 0.5::DOUBLE AS t FROM mov))""",
+        """yc AS (SELECT frame, x, y, dx, dy, a, t + (g - t) * 0.5::DOUBLE AS lum, r - b AS co, g - t AS cg FROM (SELECT *, b + (r - b) * 0.5::DOUBLE AS t FROM """ + source + "))",
         "h1 AS (SELECT x, y, lum, co, cg, a FROM yc WHERE frame = 1)"]
     for k in range(2, frames + 1):
         ends = ", ".join(f"{f}(c.{c}, " + ", ".join(f"coalesce({s}.{c}, 0)" for s in "lrud") + f") AS {c}{e}" for c in channels for e, f in ((0, "least"), (1, "greatest")))
-        joins = " ".join(f"LEFT JOIN c{k} {s} ON {s}.x = c.x {i} AND {s}.y = c.y {j}" for s, i, j in (("l", "- 1", ""), ("r", "+ 1", ""), ("u", "", "- 1"), ("d", "", "+ 1")))
+        joins = " ".join(f"LEFT JOIN o{k} {s} ON {s}.x = c.x {i} AND {s}.y = c.y {j}" for s, i, j in (("l", "- 1", ""), ("r", "+ 1", ""), ("u", "", "- 1"), ("d", "", "+ 1")))
         past = ", ".join(f"sum(coalesce(h.{c}, 0) * w) AS {c}_p" for c in (*channels, "a"))
         pull = ", ".join(f"{c}_p + (greatest(least({c}_p, {c}1), {c}0) - {c}_p) * least(sqrt(dx * dx + dy * dy) * 0.5::DOUBLE, 1.0::DOUBLE) AS {c}_q" for c in channels)
         ctes += [
-            f"c{k} AS (SELECT *, x - dx AS hx, y + dy AS hy FROM yc WHERE frame = {k})",
+            *_moved_sql(k, channels, *offsets.get(k, (0.0, 0.0))),
             f"n{k} AS (SELECT c.*, {ends} FROM c{k} c {joins})",
             f"t{k} AS (SELECT x, y, CAST(floor(hx) AS INT) + i AS tx, CAST(floor(hy) AS INT) + j AS ty, (CASE i WHEN 1 THEN hx - floor(hx) ELSE 1 - (hx - floor(hx)) END) * (CASE j WHEN 1 THEN hy - floor(hy) ELSE 1 - (hy - floor(hy)) END) AS w FROM c{k}, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))",
             f"p{k} AS (SELECT t.x, t.y, {past} FROM t{k} t LEFT JOIN h{k - 1} h ON h.x = tx AND h.y = ty GROUP BY t.x, t.y)",
             f"q{k} AS (SELECT *, {pull}, CASE WHEN hx < -0.5 OR hx > 63.5 OR hy < -0.5 OR hy > 63.5 OR a_p > 0 OR a > 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS w FROM n{k} JOIN p{k} USING (x, y))",
-            f"h{k} AS (SELECT x, y, {', '.join(f'{c}_q + ({c} - {c}_q) * w AS {c}' for c in channels)}, a FROM q{k})",
+            f"h{k} AS (SELECT x, y, {', '.join(f'{c}_q + ({c} - {c}_q) * w AS {c}' for c in channels)}, CASE WHEN a > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS a FROM q{k})",
         ]
     back = "lum - cg * 0.5::DOUBLE - co * 0.5::DOUBLE"
-    return f"WITH {CELLS}, {', '.join(ctes)} SELECT x, y, round({back} + co, 6) AS r, round(cg + (lum - cg * 0.5::DOUBLE), 6) AS g, round({back}, 6) AS b, a FROM h{frames}"
+    return f"WITH {CELLS}, {', '.join(ctes)} SELECT x, y, round({back} + co, 6) + 0.0::DOUBLE AS r, round(cg + (lum - cg * 0.5::DOUBLE), 6) + 0.0::DOUBLE AS g, round({back}, 6) + 0.0::DOUBLE AS b, a FROM h{frames}"
 
 
 @query(_resolve_sql(7))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, codec, grid, octree, voxel
+from ..operators import changes, codec, grid, image, octree, voxel
 from ..sources import adapters, folders, layout
-from .catalogue import CAMERA, CELLS, FRAMES, IMAGE, KEY, ORACLES, RATE, query
+from .catalogue import CAMERA, CELLS, FRAMES, IMAGE, KEY, ORACLES, RATE, _resolve_sql, query
 
 LEVELS = 6  # of the 64 x 64 x 64 grid
 
@@ -176,3 +176,28 @@ def _principal_sql() -> str:
 @query(_principal_sql())
 def bc1_principal_axis(spark: SparkSession, d: str) -> DataFrame:
     return codec.bc1_blocks(adapters.image(spark, d), quality=2)
+
+
+# --- blending over time with jitter ------------------------------------------------------------------------------------
+
+SHOWN = 2  # frames that each image of the sequence is shown for
+_HALTON = [(0.5, 1 / 3)]
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    """Each image of the supplied sequence for ``SHOWN`` frames, numbered from 1."""
+    return adapters.moving_images(spark, d).withColumn("frame", F.explode(F.array(*[(F.col("frame") - 1) * SHOWN + 1 + k for k in range(SHOWN)])))
+
+
+@query(_resolve_sql(14, {2 * k: (0.5 - _HALTON[0][0], _HALTON[0][1] - 0.5) for k in range(1, 8)}, f"(SELECT (frame - 1) * {SHOWN} + 1 + s AS frame, x, y, r, g, b, dx, dy, a FROM mov, (SELECT unnest(range({SHOWN})) AS s))"))
+def temporal_jitter(spark: SparkSession, d: str) -> DataFrame:
+    """The second showing of an image takes the first jitter, a new image resets it."""
+    return image.temporal_resolve(_shown(spark, d), 0.25, 64, 64, jitter=True)
+
+
+@query(f"""WITH RECURSIVE {CELLS}, px AS (SELECT n AS frame, x, y, sum(r) // count(*) AS r, sum(g) // count(*) AS g, sum(b) // count(*) AS b FROM cells GROUP BY n, x, y), fr AS (SELECT DISTINCT frame FROM px),
+  df AS (SELECT f.frame, f.frame = (SELECT min(frame) FROM fr) OR EXISTS (SELECT 1 FROM px a WHERE a.frame = f.frame AND NOT EXISTS (SELECT 1 FROM px b WHERE b.frame = f.frame - 1 AND b.x = a.x AND b.y = a.y AND b.r = a.r AND b.g = a.g AND b.b = a.b)) AS new FROM fr f)
+  SELECT CAST((frame - 1) * {SHOWN} + 1 + s AS INT) AS frame, CAST(s AS INT) AS unchanged, 0.5::DOUBLE AS jx, round(CASE WHEN s = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE / 3 END, 6) AS jy FROM df, (SELECT unnest(range({SHOWN})) AS s) WHERE new""")
+def jitter_sequence(spark: SparkSession, d: str) -> DataFrame:
+    found = image.jitter_offsets(image.unchanged_counts(_shown(spark, d)))
+    return found.select("frame", "unchanged", F.round("jx", 6).alias("jx"), F.round("jy", 6).alias("jy"))
