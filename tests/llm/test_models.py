@@ -1,6 +1,7 @@
 """Classifiers, page extraction and dialogue views on small fixtures."""
 
 import random
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -296,11 +297,49 @@ def test_whole_articles_of_held_out_pages(held_out_pages):
         assert [b.text for b, k in zip(ours, html_blocks.is_article(ours)[1], strict=True) if k] == [t for t, inside in theirs if inside]
 
 
+def test_no_block_gets_in_by_what_a_page_declares(held_out_pages):
+    class Always:
+        def __init__(self, value):
+            self.value = value
+
+        def decide(self, x):
+            return np.full(len(x), self.value)
+
+    pages = [ours for ours, theirs in held_out_pages if ours]
+    kept = [html_blocks.is_article(b)[1] for b in pages]
+    none = [html_blocks.is_article(b, Always(False))[1] for b in pages]
+    assert not any(k.any() for k in none) and sum(k.any() for k in kept) > 0.9 * len(pages)
+    alone = [html_blocks.is_article(b, second=None)[1] for b in pages]
+    assert 0 < sum((a != k).sum() for a, k in zip(alone, kept, strict=True)) < 0.01 * sum(k.sum() for k in kept)
+    # pages that declare nothing at all: the two trees alone
+    plain = [[html_blocks.Block(b.text, b.words, b.link_density, 1) for b in page] for page in pages]
+    assert all((html_blocks.is_article(b)[1] | ~k).all() for b, k in zip(plain, kept, strict=True))
+    everything = [html_blocks.is_article(b, Always(True))[1] for b in plain]
+    assert sum((e != k).any() for e, k in zip(everything, kept, strict=True)) > 0.9 * len(pages)
+
+
 def test_a_very_long_page():
-    page = "<nav><a href=1>x</a></nav><article>" + "<p>" + "word " * 60 + "</p>" * 1 + "<p>short</p>" * 30000 + "<a name=1>" * 20000 + "<button>" * 20000 + "</article>"
+    page = "<nav><a href=1>x</a></nav><article>" + "<p>" + "word " * 60 + "</p>" * 1 + "<p>short</p>" * 30000 + "<a name=1>" * 20000 + "<button>" * 20000 + "</article><footer>c</footer>"
     assert html_blocks.main_text(page).count("short") == 30000
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<div>x" * 180_000, "<span>x " * 130_000, "<div>" * 100_000 + "</section>x" * 60_000, "<td>x " * 160_000, "<li>x<ul>" * 90_000, "<p><span class=ad>x" * 50_000, "<b><div><span>x</div></span>" * 40_000],
+    ids=["div", "span", "stray ends", "td", "li", "spans that are adverts", "crossed"],
+)
+def test_a_megabyte_of_elements_without_end_takes_seconds(page):
+    began = time.process_time()
+    found = html_blocks.blocks(page)
+    html_blocks.is_article(found)
+    assert time.process_time() - began < 5 and len(found) < 500_000
+
+
+def test_what_open_elements_tell():
+    found = html_blocks.blocks('<div class=comments><article>a<p>b</p></article></div><div class=ad>c<main>d</main>e</div>f<p>g<span class=ad>gone</span>h<div>i</section>j</div>k')
+    assert [(b.text, b.place) for b in found] == [("a", 0), ("b", 0), ("c", 0), ("d", 2), ("e", 0), ("f", 1), ("gh", 1), ("i", 1), ("j", 1), ("k", 1)]
+
+
 def render(turns, speaker):
     text, mask = "", []
     for _, role, t in turns:

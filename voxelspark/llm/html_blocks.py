@@ -2,9 +2,10 @@
 tree trained on a small labelled table.
 
 A page is cut into blocks at block-level tags.  The tree decides from six counts which blocks are article: words and link
-density of the block, of the one before and of the one after.  An exact check follows: what a page itself declares not to
-be article (menus, sidebars, adverts, comments, ... by element and name) is taken out of the tree's choice, and what it
-declares to be article stays in.  Blocks that a page declares nothing of are the tree's alone.
+density of the block, of the one before and of the one after.  What a page itself declares not to be article (menus,
+sidebars, adverts, comments, ... by element and name) is taken out of its choice.  A second tree, from the same labelled
+table, then looks at the blocks that the first left, beside what it chose: it finds short paragraphs within an article.
+No block gets in because of what a page declares.
 """
 
 from __future__ import annotations
@@ -62,6 +63,19 @@ _OPEN_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 _HREF = re.compile(r"(?<![^\s\"'/])href(?![^\s=/])", re.IGNORECASE)
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element, with what it and those around it tell: all that a piece of text needs to know of the stack."""
+
+    tag: str
+    #: what the outermost strong element tells, and else the innermost that tells anything
+    strong: int | None = None
+    told: int = 1
+    #: elements that are declared outside the article: spans, and others
+    spans: int = 0
+    others: int = 0
+
+
 @dataclass
 class Block:
     text: str
@@ -104,6 +118,19 @@ def _kind(tag: str, attributes: str) -> tuple[int, bool] | None:
     return (0, False) if told or tag in ("header", "form") else None
 
 
+def _within(around: _Open, tag: str, kind: tuple[int, bool] | None) -> _Open:
+    """An element that is opened in another."""
+    place, strong = kind or (1, False)
+    outside = int(place == 0)
+    return _Open(
+        tag,
+        place if strong and around.strong is None else around.strong,
+        place if place != 1 else around.told,
+        around.spans + outside * (tag == "span"),
+        around.others + outside * (tag != "span"),
+    )
+
+
 def _ends(page: str) -> dict[int, int]:
     """Where elements of RAW that are no raw text end, by the place of their start tag; those without an end tag are left out.
 
@@ -133,7 +160,8 @@ def blocks(page: str) -> list[Block]:
     A link without an end tag ends with its block; an anchor without an address is no link.  Text of a span that is
     declared outside the article, in a paragraph that is not, goes."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, place, strong
+    stack = [_Open("")]
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
     parts: list[str] = []
     linked: list[str] = []
     links, pos, n = 0, 0, len(page)  # links: 1 in a link without end tag, 2 in one with
@@ -147,9 +175,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = text.count(" ") + 1
             in_links = len(html.unescape(" ".join(linked)).split())
-            place = next((p for _, p, strong in stack if strong), None)
-            if place is None:
-                place = next((p for _, p, _ in reversed(stack) if p != 1), 1)
+            place = stack[-1].told if stack[-1].strong is None else stack[-1].strong
             out.append(Block(text, words, min(in_links / words, 1.0), place))
         parts.clear()
         linked.clear()
@@ -157,7 +183,7 @@ def blocks(page: str) -> list[Block]:
             links = 0
 
     def add(piece: str) -> None:
-        if any(t == "span" and p == 0 for t, p, _ in stack) and not any(p == 0 for t, p, _ in stack if t != "span"):
+        if stack[-1].spans and not stack[-1].others:
             return
         parts.append(piece)
         if links:
@@ -217,16 +243,14 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag in _STACKED:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                for _ in range(len(stack) - places[tag][-1] if places.get(tag) else 0):
+                    places[stack.pop().tag].pop()
             else:
-                while stack and tag in _IMPLIED.get(stack[-1][0], ()):
-                    stack.pop()
-                told = _kind(tag, attributes)
+                while tag in _IMPLIED.get(stack[-1].tag, ()):
+                    places[stack.pop().tag].pop()
                 if not attributes.endswith("/"):
-                    stack.append((tag, *(told or (1, False))))
+                    places.setdefault(tag, []).append(len(stack))
+                    stack.append(_within(stack[-1], tag, _kind(tag, attributes)))
     flush()
     return out
 
@@ -322,16 +346,42 @@ def features(found: list[Block]) -> np.ndarray:
     return np.column_stack([words, density, before(words), before(density), after(words), after(density)])
 
 
-def is_article(found: list[Block], tree: Tree = TREE) -> tuple[np.ndarray, np.ndarray]:
-    """Which blocks of a page the tree takes for article, and which are article after the check of what the page declares.
+def _beside(x: np.ndarray, article: np.ndarray) -> np.ndarray:
+    """What the second tree sees of blocks: words and link density, whether the one before and the one after are article, and
+    words and link density of the one after."""
+    before, after = np.concatenate([[0.0], article[:-1]]), np.concatenate([article[1:], [0.0]])
+    return np.column_stack([x[:, :2], before, after, x[:, 4:6]])
+
+
+def _second_tree(table: tuple[tuple[float, ...], ...]) -> Tree:
+    """A tree over what the neighbours of the labelled blocks are: those rows of the table that follow each other on a page tell
+    it of one another; where a neighbour is no row, one of nothing but links is none, and one of words is taken for article."""
+    data = np.array(table, dtype=float)
+    x, label = data[:, :6], data[:, 6]
+    follow = np.concatenate([[False], (x[1:, 2] == x[:-1, 0]) & (x[1:, 0] == x[:-1, 4]) & (x[1:, 3] == x[:-1, 1])])
+    before = np.where(follow, np.concatenate([[0.0], label[:-1]]), (x[:, 2] > 0) & (x[:, 3] < 0.5))
+    leads = np.concatenate([follow[1:], [False]])
+    after = np.where(leads, np.concatenate([label[1:], [0.0]]), (x[:, 4] > 0) & (x[:, 5] < 0.5))
+    return Tree(tuple(map(tuple, np.column_stack([x[:, :2], before, after, x[:, 4:6], label]))))
+
+
+SECOND = _second_tree(LABELLED)
+
+
+def is_article(found: list[Block], tree: Tree = TREE, second: Tree | None = SECOND) -> tuple[np.ndarray, np.ndarray]:
+    """Which blocks of a page the tree takes for article, and which are article in the end: those of its choice, and of the
+    second tree's beside it, that the page does not declare to be something else.
 
-    Inside a declared article the check keeps what the tree leaves, but for blocks of nothing but links among their like."""
+    The second tree takes a block that the first left only next to a block that the first chose."""
     if not found:
         return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
-    x, place = features(found), np.array([b.place for b in found])
+    x, allowed = features(found), np.array([b.place != 0 for b in found])
     chosen = tree.decide(x).astype(bool)
-    links = (x[:, 1] == 1) & ((x[:, 3] == 1) | (x[:, 5] == 1))
-    return chosen, (chosen & (place != 0)) | ((place == 2) & ~links)
+    kept = chosen & allowed
+    if second is not None:
+        beside = _beside(x, kept.astype(float))
+        kept = kept | (second.decide(beside).astype(bool) & ((beside[:, 2] > 0) | (beside[:, 3] > 0)) & allowed)
+    return chosen, kept
 
 
 def main_text(page: str | None) -> str:
