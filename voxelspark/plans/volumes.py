@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, codec, grid, image, octree, voxel
-from ..sources import adapters, folders, layout
+from ..sources import adapters, files, folders, images, layout
 from .catalogue import CAMERA, CELLS, FRAMES, IMAGE, KEY, ORACLES, RATE, _resolve_sql, query
 
 LEVELS = 6  # of the 64 x 64 x 64 grid
@@ -201,3 +201,52 @@ def temporal_jitter(spark: SparkSession, d: str) -> DataFrame:
 def jitter_sequence(spark: SparkSession, d: str) -> DataFrame:
     found = image.jitter_offsets(image.unchanged_counts(_shown(spark, d)))
     return found.select("frame", "unchanged", F.round("jx", 6).alias("jx"), F.round("jy", 6).alias("jy"))
+
+
+# --- image files -------------------------------------------------------------------------------------------------------
+
+_MOV = ORACLES["temporal_resolve"].split(", yc AS", 1)[0]
+
+
+def _frame_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.moving_images(spark, d).select("frame", "x", "y", "r", "g", "b", (F.col("a") * 255).cast("int").alias("a"), ((F.col("x") + F.col("y")) / 4).cast("float").alias("depth"))
+
+
+@query(f"{_MOV} SELECT CAST(frame AS INT) AS frame, x, y, r::INT AS r, g::INT AS g, b::INT AS b, (a * 255)::INT AS a, (x + y) / 4.0::DOUBLE AS depth FROM mov")
+def raw_frame_files(spark: SparkSession, d: str) -> DataFrame:
+    """Frames written as raw frame files and read again."""
+    path = folders.shared_folder(spark, "frames") + "/raw"
+    images.write_images(_frame_pixels(spark, d), path, "rawframe")
+    pixels = images.read_images(spark, path, "rawframe", "frame int, x int, y int, r int, g int, b int, a int, depth float")
+    return pixels.withColumn("depth", F.col("depth").cast("double"))
+
+
+@query(f"{_MOV} SELECT CAST(frame AS INT) AS frame, x, y, r::INT AS r, g::INT AS g, b::INT AS b, (a * 255)::INT AS a FROM mov")
+def tga_files(spark: SparkSession, d: str) -> DataFrame:
+    path = folders.shared_folder(spark, "frames") + "/tga"
+    images.write_images(_frame_pixels(spark, d), path, "tga")
+    return images.read_images(spark, path, "tga", "frame int, x int, y int, r int, g int, b int, a int")
+
+
+@query(f"{_MOV} SELECT x, y, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, count(*) AS frames FROM mov GROUP BY x, y")
+def bmp_files(spark: SparkSession, d: str) -> DataFrame:
+    path = folders.shared_folder(spark, "frames") + "/bmp"
+    images.write_images(_frame_pixels(spark, d), path, "bmp")
+    pixels = images.read_images(spark, path, "bmp", "x int, y int, r int, g int, b int")
+    return pixels.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in "rgb"], F.count("*").alias("frames"))
+
+
+@query(f"""WITH {CELLS}, pl AS (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y FROM (SELECT unnest(range(4096)) AS i)),
+  px AS (SELECT x, y, sum(r) // count(*) AS r, sum(g) // count(*) AS g, sum(b) // count(*) AS b, count(*) AS n FROM cells GROUP BY x, y), wh AS (SELECT x, y, coalesce(r, 0)::INT AS r, coalesce(g, 0)::INT AS g, coalesce(b, 0)::INT AS b, coalesce(n, 0)::DOUBLE AS depth FROM pl LEFT JOIN px USING (x, y))
+  SELECT x, y, r, g, b, depth, CAST(trunc(coalesce((depth - (SELECT min(depth) FROM wh)) / nullif((SELECT max(depth) FROM wh) - (SELECT min(depth) FROM wh), 0), 0) * 255 + 0.5) AS INT) AS shade FROM wh""")
+def tile_files(spark: SparkSession, d: str) -> DataFrame:
+    """An image written as 64 tiles, read as one with its range of depths."""
+    c = adapters.cells(spark, d)
+    found = c.groupBy("x", "y").agg(*[F.expr(f"cast(sum(cast({v} as bigint)) div count(*) as int)").alias(v) for v in "rgb"], F.count("*").cast("float").alias("depth"))
+    places = spark.range(64 * 64).select(F.expr("cast(id % 64 as int)").alias("x"), F.expr("cast(id div 64 as int)").alias("y"))
+    whole = places.join(found, ["x", "y"], "left").fillna(0)
+    tiles = whole.select(F.expr("cast(x div 8 as int)").alias("tx"), F.expr("cast(y div 8 as int)").alias("ty"), (F.col("x") % 8).alias("x"), (F.col("y") % 8).alias("y"), "r", "g", "b", "depth")
+    path = folders.shared_folder(spark, "tiles") + "/raw"
+    images.write_images(tiles, path, "rawframe")
+    one = files.tile_images(images.read_images(spark, path, "rawframe", "tx int, ty int, x int, y int, r int, g int, b int, depth float"), 8)
+    return one.select("x", "y", "r", "g", "b", F.col("depth").cast("double").alias("depth"), "shade")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.text import key_values
+from . import images
+from .images import RAW_MAGIC
 
 
 def read_font(spark: SparkSession, path: str) -> DataFrame:
@@ -108,41 +110,9 @@ def _in_order():
     return Window.partitionBy("path").orderBy("at")
 
 
-def _tga_pixels(name: str, data: bytes) -> pd.DataFrame:
-    skip, _, kind, _, _, _, _, _, width, height, depth, flags = struct.unpack("<BBBHHBHHHHBB", data[:18])
-    if kind not in (2, 10) or depth not in (24, 32):
-        raise ValueError(f"{name}: only true-colour images are read")
-    step, body = depth // 8, np.frombuffer(data, dtype=np.uint8, offset=18 + skip)
-    if kind == 10:  # runs: a count, then one pixel to repeat or so many pixels
-        parts, at, left = [], 0, width * height
-        while left:
-            n = int(body[at] & 127) + 1
-            if body[at] & 128:
-                parts.append(np.tile(body[at + 1 : at + 1 + step], n))
-                at += 1 + step
-            else:
-                parts.append(body[at + 1 : at + 1 + n * step])
-                at += 1 + n * step
-            left -= n
-        body = np.concatenate(parts) if parts else body[:0]
-    pixels = body[: width * height * step].reshape(height, width, step).astype(np.int32)
-    if not flags & 0x20:
-        pixels = pixels[::-1]
-    y, x = np.divmod(np.arange(width * height, dtype=np.int32), max(width, 1))
-    pixels = pixels.reshape(-1, step)
-    alpha = pixels[:, 3] if step == 4 else np.full(len(pixels), 255, dtype=np.int32)
-    return pd.DataFrame({"path": name, "x": x, "y": y, "r": pixels[:, 2], "g": pixels[:, 1], "b": pixels[:, 0], "a": alpha})
-
-
 def read_tga(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, x, y, r, g, b, a)`` of 24 and 32 bit TGA images, plain or in runs, rows from the top."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                yield _tga_pixels(name, data)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, x int, y int, r int, g int, b int, a int")
+    """``(path, x, y, r, g, b, a)`` of TGA images of all kinds, rows from the top; a folder or a file."""
+    return images.read_images(spark, path, "tga", "path string, x int, y int, r int, g int, b int, a int")
 
 
 def bmp_images(pixels: DataFrame, key: str) -> DataFrame:
@@ -161,10 +131,6 @@ def bmp_images(pixels: DataFrame, key: str) -> DataFrame:
     return pixels.groupBy(key).applyInPandas(encode, f"key {kind}, content binary").withColumnRenamed("key", key)
 
 
-#: Fixed value: the first bytes of a raw frame.
-RAW_MAGIC = b"V6F0"
-
-
 def raw_frames(pixels: DataFrame, key: str) -> DataFrame:
     """``(key, content)``: each frame ``(key, x, y, r, g, b, a, depth)`` as one blob: magic, width and height (32-bit), colours
     (4 bytes a pixel), depths (32-bit floats); missing pixels are 0."""
