@@ -557,7 +557,7 @@ def _moved_sql(k: int, channels: tuple[str, ...], ox: float, oy: float) -> list[
     return [own, f"j{k} AS (SELECT t.x, t.y, {sums} FROM {taps} t LEFT JOIN o{k} s ON s.x = tx AND s.y = ty GROUP BY t.x, t.y)", f"c{k} AS (SELECT o.x, o.y, o.dx, o.dy, o.hx, o.hy, {', '.join(f'j.{c}' for c in (*channels, 'a'))} FROM o{k} o JOIN j{k} j USING (x, y))"]
 
 
-def _resolve_sql(frames: int, offsets: dict[int, tuple[float, float]] | None = None, source: str = "mov") -> str:
+def _resolve_sql(frames: int, offsets: dict[int, tuple[float, float]] | None = None, source: str = "mov", nudge: str = "") -> str:
     """A step for each frame but the first; supplied tables have ``frames`` line numbers.  ``offsets``: how far the sample of a
     frame's pixels is from their centres."""
     offsets = offsets or {}
@@ -582,7 +582,7 @@ def _resolve_sql(frames: int, offsets: dict[int, tuple[float, float]] | None = N
             f"h{k} AS (SELECT x, y, {', '.join(f'{c}_q + ({c} - {c}_q) * w AS {c}' for c in channels)}, CASE WHEN a > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS a FROM q{k})",
         ]
     back = "lum - cg * 0.5::DOUBLE - co * 0.5::DOUBLE"
-    return f"WITH {CELLS}, {', '.join(ctes)} SELECT x, y, round({back} + co, 6) + 0.0::DOUBLE AS r, round(cg + (lum - cg * 0.5::DOUBLE), 6) + 0.0::DOUBLE AS g, round({back}, 6) + 0.0::DOUBLE AS b, a FROM h{frames}"
+    return f"WITH {CELLS}, {', '.join(ctes)} SELECT x, y, round({back} + co{nudge}, 6) + 0.0::DOUBLE AS r, round(cg + (lum - cg * 0.5::DOUBLE){nudge}, 6) + 0.0::DOUBLE AS g, round({back}{nudge}, 6) + 0.0::DOUBLE AS b, a FROM h{frames}"
 
 
 @query(_resolve_sql(7))
@@ -690,11 +690,14 @@ def box_wireframes(spark: SparkSession, d: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_sequence_counts(spark: SparkSession, d: str) -> DataFrame:
     return sequences.run_to_end(sequences.sequence_counts(sequences.read_events(spark, f"{d}/events.parquet")), "complete")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT user_id, i, value::DOUBLE AS v FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, f.v + (o.value - f.v) * 0.25::DOUBLE FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) SELECT user_id, max(i) AS seen, round(arg_max(v, i), 6) AS value FROM f GROUP BY user_id""")
 def stream_temporal_blend(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.run_to_end(sequences.blend_history(sequences.read_events(spark, f"{d}/events.parquet"), 0.25), "update")
+    """What each user's history is after the last batch, however the table was dealt into batches."""
+    rows = sequences.run_to_end(sequences.blend_history(sequences.read_events(spark, f"{d}/events.parquet"), 0.25), "update")
+    return rows.groupBy("user_id").agg(F.max(F.struct("seen", "value")).alias("v")).select("user_id", "v.*")

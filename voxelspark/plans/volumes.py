@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes, codec, grid, image, octree, voxel
 from ..sources import adapters, files, folders, images, layout
+from ..streaming import sequences, tiles
 from .catalogue import CAMERA, CELLS, FRAMES, IMAGE, KEY, ORACLES, RATE, _resolve_sql, query
 
 LEVELS = 6  # of the 64 x 64 x 64 grid
@@ -250,3 +251,19 @@ def tile_files(spark: SparkSession, d: str) -> DataFrame:
     images.write_images(tiles, path, "rawframe")
     one = files.tile_images(images.read_images(spark, path, "rawframe", "tx int, ty int, x int, y int, r int, g int, b int, depth float"), 8)
     return one.select("x", "y", "r", "g", "b", F.col("depth").cast("double").alias("depth"), "shade")
+
+
+# --- tiles of images as a stream ---------------------------------------------------------------------------------------
+
+
+@query(_resolve_sql(7, nudge=" + 1e-9::DOUBLE"))
+def stream_tile_blend(spark: SparkSession, d: str) -> DataFrame:
+    """The last image of the sequence, blended as a stream with state for each tile; the twin blends whole images.  Both
+    round up what is half a millionth but for its last digits, as their sums go in other orders."""
+    path = folders.shared_folder(spark, "stream") + "/frames"
+    frames = adapters.moving_images(spark, d)
+    frames.write.parquet(path)
+    stream = spark.readStream.schema(frames.schema).parquet(path)  # all that is there in one batch, so frames are in order
+    shown = sequences.run_to_end(tiles.blend_tiles(stream, 0.25, 64, 64), "append")
+    last = shown.groupBy("x", "y").agg(F.max_by(F.struct("r", "g", "b", "a"), "frame").alias("v"))
+    return last.select("x", "y", *[(F.round(F.col(f"v.{c}") + 1e-9, 6) + 0.0).alias(c) for c in "rgb"], "v.a")

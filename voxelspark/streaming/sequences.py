@@ -37,23 +37,29 @@ def sequence_counts(events: DataFrame, length: str = "1 day", late: str = "1 day
     return by.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def blend_history(events: DataFrame, blend: float) -> DataFrame:
+def blend_history(events: DataFrame, blend: float, idle_ms: int | None = None) -> DataFrame:
     """The blended value of each user after each batch, kept as state; within a batch rows go by time, then id, and batches
-    go as they come.  Where events have a column ``cut``, the history starts again at rows where it is true."""
+    go as they come.  Where events have a column ``cut``, the history starts again at rows where it is true.  The state of a user
+    without rows for ``idle_ms`` goes, at the next batch."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         seen, value = state.get if state.exists else (0, 0.0)
         for v, cut in zip(rows["value"], rows["cut"], strict=True):
             value = float(v) if seen == 0 or cut else value + (float(v) - value) * blend
             seen += 1
         state.update((seen, value))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "value": [round(value, 6)]})
 
     cut = F.coalesce(F.col("cut"), F.lit(False)) if "cut" in events.columns else F.lit(False)
     rows = events.select("user_id", "ts", "event_id", "value", cut.alias("cut"))
     return rows.groupBy("user_id").applyInPandasWithState(
-        fold, "user_id long, seen long, value double", "seen long, value double", "update", GroupStateTimeout.NoTimeout
+        fold, "user_id long, seen long, value double", "seen long, value double", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
