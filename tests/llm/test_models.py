@@ -61,6 +61,7 @@ def test_swaps_spare_neutral_mentions():
     assert fair.mean() < plain.mean() - 0.3
     assert abs((fair - without).std()) < 0.2
     assert toxicity.swapped("A Muslim, and menhir") == "A jewish, and menhir"
+    assert toxicity.swapped("an old house, old people and le vieux port") == "an old house, young people and le vieux port"
 
 
 def slope_by_hand(f, theta, at, h=1e-5):

@@ -49,22 +49,30 @@ IDENTITY_TERMS = (
     ("extranjeros", "inmigrantes", "refugiados", "nativos"),
     ("discapacitados", "ciegos", "ancianos", "gais"),
 )
+#: Terms that are everyday adjectives too: they count before a word for persons only, and stand so where they are put in.
+EVERYDAY = {t: "people" for t in ("old", "young", "straight", "native", "blind", "deaf", "black", "white")} | {"alte": "menschen", "blinde": "menschen", "weiße": "menschen", "schwarze": "menschen", "vieux": "messieurs"}
+_PERSONS = "people|persons?|men|women|man|woman|folks?|kids|students|workers|menschen|leute|männer|frauen|messieurs|gens|hommes"
 _NEXT = {t: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, t in enumerate(g)}
-_TERM = re.compile(r"(?<![^\W_])(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
+_TERM = re.compile(
+    rf"(?<![^\W_])(?:{'|'.join(sorted(set(_NEXT) - set(EVERYDAY), key=len, reverse=True))}|(?:{'|'.join(EVERYDAY)})(?=\s+(?:{_PERSONS})(?![^\W_])))(?![^\W_])",
+    re.IGNORECASE,
+)
 PREFIXES = (4, 5, 6)
 #: Labelled rows of each class that the fit takes, those with the least hash of their id.
 SAMPLE = 3000
 
 
 def swapped(text: str) -> str:
-    """The text with every identity term exchanged for the next of its group."""
+    """The text with every identity term exchanged for the next of its group; an everyday adjective is one before a word for
+    persons."""
     return _TERM.sub(lambda m: _NEXT[m[0].lower()], text)
 
 
 def mention(k: int) -> str:
     """The ``k``-th term, over all groups in turn, so that terms of all languages come equally often."""
     group = IDENTITY_TERMS[k % len(IDENTITY_TERMS)]
-    return group[k // len(IDENTITY_TERMS) % len(group)]
+    term = group[k // len(IDENTITY_TERMS) % len(group)]
+    return f"{term} {EVERYDAY[term]}" if term in EVERYDAY else term
 
 
 def counterfactual(text: str, k: int) -> str:
