@@ -169,3 +169,10 @@ def test_two_files_are_read_apart(spark, tmp_path):
     corners = sorted((r["path"][-5:], r["triangle"], r["corner"], r["position"]) for r in scene["corners"].collect())
     assert corners == [(f"{n}.obj", t, c, c + 1) for n in "ab" for t in (1, 2) for c in range(3)]
     assert {(r["path"][-5:], r["material"], r["values"][0]) for r in files.read_mtl(spark, str(tmp_path / "*.mtl")).collect()} == {("a.mtl", "one", "0.0"), ("b.mtl", "two", "9.0")}
+
+
+def test_paths_that_exist(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("x")
+    asked = spark.createDataFrame([(str(tmp_path / "a b.txt"),), (f"file://{tmp_path}/a b.txt",), (str(tmp_path / "none"),), (None,)], "p string")
+    got = files.with_existence(asked, "p", files.list_files(spark, str(tmp_path)).withColumn("path", F.regexp_replace("path", "%20", " ")))
+    assert sorted((r["p"] or "", r["exists"]) for r in got.collect()) == sorted([("", False), (str(tmp_path / "a b.txt"), True), (f"file://{tmp_path}/a b.txt", True), (str(tmp_path / "none"), False)])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +15,21 @@ MIPS = 15  # candidates; beyond them a point has mip 16
 OUT_OF_MIPS = 16
 
 
-def dot(a: Vec, b: Vec) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+def dot(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Of two vectors of any equal length, as are those of the functions below."""
+    return reduce(lambda x, y: x + y, [x * y for x, y in zip(a, b, strict=True)])
 
 
-def length(a: Vec) -> Column:
+def each(f: Callable[..., Column], *vectors: tuple[Column, ...]) -> tuple[Column, ...]:
+    """A function of components, component by component: ``each(F.least, a, b)``, ``each(lambda x, y: x + y, a, b)``."""
+    return tuple(f(*v) for v in zip(*vectors, strict=True))
+
+
+def length(a: tuple[Column, ...]) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def normalised(a: Vec, epsilon: float = 1.1920929e-07) -> Vec:
+def normalised(a: tuple[Column, ...], epsilon: float = 1.1920929e-07) -> tuple[Column, ...]:
     """Unit vector; unchanged if not longer than ``epsilon``."""
     n = length(a)
     return tuple(F.when(n > epsilon, F.try_divide(x, n)).otherwise(x) for x in a)
@@ -176,3 +184,18 @@ def view_rows(spark: SparkSession, views: list[Camera]) -> DataFrame:
     rows = [(k, *v.origin, *v.forward, *v.right, *v.up, v.tan_x, v.tan_y) for k, v in enumerate(views)]
     names = [f"{v}{c}" for v in ("o", "f", "r", "u") for c in "xyz"] + ["tan_x", "tan_y"]
     return spark.createDataFrame([(r[0], *map(float, r[1:])) for r in rows], "eye int, " + ", ".join(f"{n} double" for n in names))
+
+
+def view_basis(yaw: Column, pitch: Column) -> dict[str, Column]:
+    """``fx .. uz``: forward, right and up of views that rows describe, as ``Camera.looking`` has them for one."""
+    cy, sy, cp, sp = F.cos(yaw), F.sin(yaw), F.cos(pitch), F.sin(pitch)
+    forward, right = (-sy * cp, sp, -cy * cp), (cy, F.lit(0.0), -sy)
+    up = tuple(right[i] * forward[j] - right[j] * forward[i] for i, j in ((1, 2), (2, 0), (0, 1)))
+    return {f"{n}{c}": v for n, axis in (("f", forward), ("r", right), ("u", up)) for c, v in zip("xyz", axis, strict=True)}
+
+
+def stereo_views(rows: DataFrame, yaw: Column, pitch: Column, distance: float) -> DataFrame:
+    """Two rows for each row with an origin ``ox, oy, oz``: eye 0 (left) and 1, ``distance`` apart along the view's right axis,
+    with its basis."""
+    views = rows.withColumns(view_basis(yaw, pitch)).withColumn("eye", F.explode(F.array(F.lit(0), F.lit(1))))
+    return views.withColumns({f"o{c}": F.col(f"o{c}") + (F.col("eye") - 0.5) * distance * F.col(f"r{c}") for c in "xyz"})

@@ -91,3 +91,19 @@ def nearest_hits(rays: DataFrame, boxes: DataFrame, on: list[str]) -> DataFrame:
     pairs = rays.join(boxes, on).withColumn("t0", F.round(enter, 6)).withColumn("t1", F.round(leave, 6)).where("t0 <= t1 and t1 >= 0")
     best = F.min(F.struct(F.greatest(F.col("t0"), F.lit(0.0)).alias("t"), F.col("block_id")))
     return pairs.groupBy("ray_id").agg(best.alias("best"), F.count("*").alias("hits")).select("ray_id", "best.block_id", "best.t", "hits")
+
+
+def trace_statistics(rays: DataFrame, boxes: DataFrame, on: list[str]) -> DataFrame:
+    """Work of a trace for each tile: rays, boxes, pairs that are tested, pairs that hit, and rays that hit nothing."""
+    enter, leave = slab(("ox", "oy", "oz"), ("dx", "dy", "dz"))
+    hit = (F.round(enter, 6) <= F.round(leave, 6)) & (F.round(leave, 6) >= 0)
+    by_ray = rays.join(boxes, on).groupBy(*on, "ray_id").agg(F.count("*").alias("tested"), F.count_if(hit).alias("hit"))
+    found = by_ray.groupBy(*on).agg(F.sum("tested").alias("tested"), F.sum("hit").alias("hit"), F.count_if(F.col("hit") > 0).alias("met"))
+    counts = rays.groupBy(*on).agg(F.count("*").alias("rays")).join(boxes.groupBy(*on).agg(F.count("*").alias("boxes")), on, "left").join(found, on, "left").fillna(0)
+    return counts.select(*on, "rays", "boxes", "tested", "hit", (F.col("rays") - F.col("met")).alias("missed"))
+
+
+def overdraw(rays: DataFrame, boxes: DataFrame, on: list[str]) -> DataFrame:
+    """How many rays hit how many boxes; those that hit none too."""
+    hits = nearest_hits(rays, boxes, on).select("ray_id", "hits")
+    return rays.select("ray_id").join(hits, "ray_id", "left").fillna(0).groupBy("hits").agg(F.count("*").alias("rays"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, codec, grid, image, octree, voxel
+from ..functions import geometry
+from ..operators import changes, codec, grid, image, octree, trace, voxel
 from ..sources import adapters, files, folders, images, layout
 from ..streaming import sequences, tiles
-from .catalogue import CAMERA, CELLS, FRAMES, IMAGE, KEY, ORACLES, RATE, _resolve_sql, query
+from .catalogue import _BOUNDS, _RAYS, _SLAB, _TILES, _TO_VIEW, CAMERA, CELLS, FRAMES, IMAGE, KEY, ORACLES, RATE, _binned, _rays, _resolve_sql, query
 
 LEVELS = 6  # of the 64 x 64 x 64 grid
 
@@ -267,3 +268,57 @@ def stream_tile_blend(spark: SparkSession, d: str) -> DataFrame:
     shown = sequences.run_to_end(tiles.blend_tiles(stream, 0.25, 64, 64), "append")
     last = shown.groupBy("x", "y").agg(F.max_by(F.struct("r", "g", "b", "a"), "frame").alias("v"))
     return last.select("x", "y", *[(F.round(F.col(f"v.{c}") + 1e-9, 6) + 0.0).alias(c) for c in "rgb"], "v.a")
+
+
+# --- statistics of a trace, vectors, views -----------------------------------------------------------------------------
+
+_PAIRS = f"""{_TO_VIEW}, {_BOUNDS}, {_TILES}, {_RAYS}, pr AS (SELECT ray_id, tx, ty, round(greatest({_SLAB['least']}), 6) AS t0, round(least({_SLAB['greatest']}), 6) AS t1 FROM ray JOIN til USING (tx, ty) JOIN bx USING (block_id)),
+  br AS (SELECT ray_id, tx, ty, count(*) AS tested, count(*) FILTER (WHERE t0 <= t1 AND t1 >= 0) AS hit FROM pr GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PAIRS}, tr AS (SELECT tx, ty, count(*) AS rays FROM ray GROUP BY ALL), tb AS (SELECT tx, ty, count(*) AS boxes FROM til GROUP BY ALL), ts AS (SELECT tx, ty, sum(tested) AS tested, sum(hit) AS hit, count(*) FILTER (WHERE hit > 0) AS met FROM br GROUP BY ALL)
+  SELECT tx::INT AS tx, ty::INT AS ty, rays, coalesce(boxes, 0) AS boxes, coalesce(tested, 0)::BIGINT AS tested, coalesce(hit, 0)::BIGINT AS hit, rays - coalesce(met, 0) AS missed FROM tr LEFT JOIN tb USING (tx, ty) LEFT JOIN ts USING (tx, ty)""")
+def trace_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return trace.trace_statistics(_rays(spark), _binned(spark, d), ["tx", "ty"])
+
+
+@query(f"WITH {_PAIRS} SELECT hits, count(*) AS rays FROM (SELECT ray.ray_id, coalesce(hit, 0) AS hits FROM ray LEFT JOIN br USING (ray_id)) GROUP BY hits")
+def overdraw(spark: SparkSession, d: str) -> DataFrame:
+    return trace.overdraw(_rays(spark), _binned(spark, d), ["tx", "ty"])
+
+
+_VECTOR = {n: [f"embedding[{k}]::DOUBLE" for k in range(1, n + 1)] for n in (2, 4)}
+_UNIT = {n: f"sqrt({' + '.join(f'{c} * {c}' for c in v)})" for n, v in _VECTOR.items()}
+
+
+@query("SELECT vec_id, " + ", ".join(
+    f"round({_UNIT[n]}, 6) AS length{n}, round({v[-1]} / {_UNIT[n]}, 6) AS unit{n}, round({' + '.join(f'{a} * {b}' for a, b in zip(v, v[::-1], strict=True))}, 6) AS dot{n}, round(least({v[0]}, {v[-1]}), 6) AS low{n}, round(greatest({v[0]}, {v[-1]}), 6) AS high{n}, round({v[0]} - {v[-1]} / 2, 6) AS moved{n}"
+    for n, v in _VECTOR.items()) + " FROM embeddings")
+def vectors_2_and_4(spark: SparkSession, d: str) -> DataFrame:
+    """Length, unit vector, dot product, least, greatest and difference of vectors with 2 and with 4 components."""
+    out = []
+    for n in (2, 4):
+        v = tuple(F.col("embedding")[k].cast("double") for k in range(n))
+        back = v[::-1]
+        found = {
+            "length": geometry.length(v), "unit": geometry.normalised(v)[-1], "dot": geometry.dot(v, back), "low": geometry.each(F.least, v, back)[0],
+            "high": geometry.each(F.greatest, v, back)[0], "moved": geometry.each(lambda a, b: a - b / 2, v, back)[0],
+        }
+        out += [F.round(c, 6).alias(f"{name}{n}") for name, c in found.items()]
+    return adapters.table(spark, d, "embeddings").select("vec_id", *out)
+
+
+_YAW, _PITCH = "(c_custkey % 63 * 0.1::DOUBLE)", "(c_custkey % 13 * 0.05::DOUBLE - 0.3::DOUBLE)"
+_BASIS = {"fx": "-sin(yaw) * cos(pitch)", "fy": "sin(pitch)", "fz": "-cos(yaw) * cos(pitch)", "rx": "cos(yaw)", "ry": "0.0::DOUBLE", "rz": "-sin(yaw)"}
+_BASIS |= {"ux": "ry * fz - rz * fy", "uy": "rz * fx - rx * fz", "uz": "rx * fy - ry * fx"}
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_YAW} AS yaw, {_PITCH} AS pitch, c_custkey % 7::DOUBLE AS px, c_custkey % 5::DOUBLE AS py FROM customer), v AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in list(_BASIS.items())[:6])} FROM c),
+  w AS (SELECT *, {', '.join(f'{_BASIS[n]} AS {n}' for n in ('ux', 'uy', 'uz'))} FROM v) SELECT c_custkey, eye::INT AS eye, round(px + (eye - 0.5::DOUBLE) * 0.06::DOUBLE * rx, 6) + 0.0::DOUBLE AS ox, round(py + (eye - 0.5::DOUBLE) * 0.06::DOUBLE * ry, 6) + 0.0::DOUBLE AS oy,
+  round((eye - 0.5::DOUBLE) * 0.06::DOUBLE * rz, 6) + 0.0::DOUBLE AS oz, {', '.join(f'round({n}, 6) + 0.0::DOUBLE AS {n}' for n in _BASIS)} FROM w, (SELECT unnest([0, 1]) AS eye)""")
+def customer_views(spark: SparkSession, d: str) -> DataFrame:
+    """Both eyes of a view for each customer."""
+    k = F.col("c_custkey")
+    rows = adapters.table(spark, d, "customer").select(k, (k % 7).cast("double").alias("ox"), (k % 5).cast("double").alias("oy"), F.lit(0.0).alias("oz"))
+    views = geometry.stereo_views(rows, k % 63 * 0.1, k % 13 * 0.05 - 0.3, 0.06)
+    return views.select("c_custkey", "eye", *[(F.round(c, 6) + 0.0).alias(c) for c in ("ox", "oy", "oz", *_BASIS)])

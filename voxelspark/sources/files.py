@@ -187,6 +187,14 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).drop("content")
 
 
+def with_existence(rows: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """Rows with ``exists``: whether a path is among those of ``list_files``, with or without its scheme."""
+    plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    there = listed.select(plain(F.col("path")).alias("__path")).distinct().withColumn("__there", F.lit(True))
+    found = rows.join(there, plain(F.col(column)) == F.col("__path"), "left")
+    return found.withColumn("exists", F.coalesce("__there", F.lit(False))).drop("__path", "__there")
+
+
 def write_stream(stream: DataFrame, path: str, extend: bool = False, codec: str = "zstd") -> None:
     """A stream as a table partitioned by sequence, in compressed columns (``zstd``, or ``lz4`` for speed); ``extend`` appends.
 
