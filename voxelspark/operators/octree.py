@@ -41,6 +41,12 @@ def linked_nodes(cells: DataFrame, levels: int, run: int = 4096) -> DataFrame:
     )
 
 
+def stored(nodes: DataFrame, path: str) -> DataFrame:
+    """The node table written by level and read again: each step of a descent or a cull then reads its own level."""
+    nodes.hint("rebalance", "level").write.mode("error").partitionBy("level").parquet(path)
+    return nodes.sparkSession.read.schema(nodes.schema).parquet(path)
+
+
 def child_of(octant: Column) -> Column:
     """The id of a node's child in an octant; null if there is none."""
     bit = bits.single_bit(octant)

@@ -39,7 +39,8 @@ def octree_nodes(spark: SparkSession, d: str) -> DataFrame:
 def octree_descent(spark: SparkSession, d: str) -> DataFrame:
     """Each sample finds its leaf along the links from the root."""
     cells = adapters.cells(spark, d)
-    return octree.descend(cells.select("k", "n", "x", "y", "z"), octree.linked_nodes(cells, LEVELS), LEVELS).select("k", "n", "leaf")
+    nodes = octree.stored(octree.linked_nodes(cells, LEVELS), folders.shared_folder(spark, "octree") + "/nodes")
+    return octree.descend(cells.select("k", "n", "x", "y", "z"), nodes, LEVELS).select("k", "n", "leaf")
 
 
 # --- hierarchical cull -------------------------------------------------------------------------------------------------
@@ -66,7 +67,8 @@ _CULLED = f"""lb AS (SELECT DISTINCT x >> 2 AS x, y >> 2 AS y, z >> 2 AS z FROM
 
 def _culled(spark: SparkSession, d: str) -> DataFrame:
     blocks = adapters.cells(spark, d).select(*[F.shiftright(c, 2).alias(c) for c in "xyz"])
-    return octree.frontier_cull(octree.linked_nodes(blocks, BLOCK_LEVELS), CAMERA, BLOCK_LEVELS, BLOCK_ORIGIN, BLOCK_SIZE)
+    nodes = octree.stored(octree.linked_nodes(blocks, BLOCK_LEVELS), folders.shared_folder(spark, "octree") + "/nodes")
+    return octree.frontier_cull(nodes, CAMERA, BLOCK_LEVELS, BLOCK_ORIGIN, BLOCK_SIZE)
 
 
 @query(f"WITH {CELLS}, {_CULLED} SELECT level, count(*) AS tested, count(*) FILTER (WHERE NOT kept) AS rejected, count(*) FILTER (WHERE kept) AS kept FROM tested GROUP BY level")
