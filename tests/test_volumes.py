@@ -92,3 +92,13 @@ def test_masks_decide_and_not_boxes(spark):
     one = voxel.leaf_colors(voxel.leaves(spark.createDataFrame([(3, 3, 3, 9, 9, 9)], "x int, y int, z int, r int, g int, b int")))
     rays = spark.createDataFrame([(1, -1.0, 0.5, 0.5, 1.0, 0.0, 0.0), (2, -1.0, 3.5, 3.5, 1.0, 0.0, 0.0)], "ray_id int, ox double, oy double, oz double, dx double, dy double, dz double")
     assert [(h["ray_id"], h["t"]) for h in grid.cell_hits(rays, codec.block_colors(one), 2).collect()] == [(2, 4.0)]
+
+
+def test_more_views_than_a_capture_holds(spark):
+    from voxelspark.operators import capture
+
+    views = capture.cube_views(capture.sample_offsets(spark, 32, 0.05))
+    pixels = spark.range(4).selectExpr("cast(id as int) view_id", "0 x", "0 y", "0.5D depth", "1 r", "2 g", "3 b")
+    assert capture.cube_face_samples(pixels, views, 4, 0.08, 0.1, False).count() == 4
+    with pytest.raises(Exception, match="more than 192 views"):
+        capture.cube_face_samples(pixels, views.union(views), 4, 0.08, 0.1, False).count()

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..sources import generators
+from .sorting import at_most
 
 #: Offsets that a capture holds at most.
 OFFSETS_MOST = 32
+#: Views of six faces each.
+VIEWS_MOST = 6 * OFFSETS_MOST
 #: Forward, right and up of the six faces of a cube.
 FACES = (
     ((1, 0, 0), (0, 0, -1), (0, 1, 0)),
@@ -41,8 +44,8 @@ def cube_face_samples(pixels: DataFrame, views: DataFrame, size: int, scale: flo
     pixel's depth, which is linear after ``scale`` and ``bias``, and its colour.
 
     ``srgb`` tells that colours are coded with a gamma of 2.2, which is taken off.  Pixels of no view are dropped, those whose
-    depth has no linear form keep null places.  Other columns stay.  Views are 192 at most, so they are broadcast."""
-    rows = pixels.join(F.broadcast(views), "view_id")
+    depth has no linear form keep null places.  Other columns stay.  Views are broadcast; more than 192 fail the query."""
+    rows = pixels.join(F.broadcast(at_most(views, VIEWS_MOST, "views")), "view_id")
     at = lambda name: tuple(F.col(f"{name}{c}") for c in "xyz")
     ray = geometry.ray(F.col("x"), F.col("y"), F.lit(1.0 / size), at("f"), at("r"), at("u"))
     place = geometry.along(at("o"), ray, geometry.linear_depth(F.col("depth"), scale, bias))
