@@ -57,7 +57,7 @@ def mix_sources(
 ) -> DataFrame:
     """How often, and how much of, each document the mix takes.
 
-    ``weights(source, weight)`` holds positive integers; without it sources weigh 1, 2, 3 in turn (``cycle_weights``).
+    ``weights(source, weight)`` holds positive integers, each source once (one given twice would give its documents twice); without it sources weigh 1, 2, 3 in turn (``cycle_weights``).
     The mix is as large as the input.  Returns a row for each row of ``docs``: ``doc_id``; ``source``; ``size`` (words
     ``[^\\x20\\x09-\\x0D]+``); ``source_size``; ``target`` (words of its source, rounded to six places); ``epochs``
     (whole repetitions); ``part`` (words of one more repetition); ``taken`` = epochs * size + part.
