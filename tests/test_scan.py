@@ -51,6 +51,8 @@ def test_users_of_scans(spark):
         total += v
         want[o] = total
     assert {r["o"]: r["total"] for r in sorting.running_totals(df, "o", "v", 6).collect()} == want
+    holes = df.withColumn("v", F.when(F.col("v") != 2, F.col("v")))
+    assert [r["total"] for r in sorting.running_totals(holes, "o", "v", 6).orderBy("o").collect()] == [t - 2 * sum(v == 2 for _, v in rows[: k + 1]) for k, t in enumerate(want.values())]
     ids = sorting.dense_ids(df, "v", "o", 1000, run=6).collect()
     for v in range(5):
         assert [r["id"] for r in sorted((r for r in ids if r["v"] == v), key=lambda r: r["o"])] == list(range(200))

@@ -23,9 +23,9 @@ def bitmap_ranks(keys: DataFrame, key: str) -> DataFrame:
 
 def running_totals(rows: DataFrame, order: str, value: str, run: int) -> DataFrame:
     """Sum of ``value`` before and at each row, by integer ``order`` (unique), by a scan over runs of runs: no task holds more
-    than ``run`` rows, however many there are."""
+    than ``run`` rows, however many there are.  A null value adds nothing."""
     found = scan(rows, order, {"_before": (F.col(value), SUM)}, run=run)
-    return found.withColumn("total", F.coalesce("_before", F.lit(0)) + F.col(value)).drop("_before")
+    return found.withColumn("total", F.coalesce("_before", F.lit(0)) + F.coalesce(F.col(value), F.lit(0))).drop("_before")
 
 
 def ascending(rows: DataFrame, *keys: str | Column, ties: str | None = None) -> DataFrame:
